@@ -130,3 +130,8 @@ NUM_PERM = 128
 THRESHOLD = 0.7
 MAX_ATTEMPTS = 5
 RETRY_WAIT_SECONDS = (1, 30)
+
+# --- fixed sampling options of the two model backends ---------------------------
+
+API_OPTIONS = {"temperature": 1.0}
+BATCH_MODEL_OPTIONS = {"n": 1, "temperature": 0.6, "top_p": 0.9, "max_tokens": 4096}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import partial
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from pagemill.fixed_values import MAX_ATTEMPTS, RETRY_WAIT_SECONDS
 
 KEYS = ("seq", "stage", "category")
-Backend = Callable[[list[str]], list[str | None]]
+Backend = Callable[..., list[str | None]]
 
 
 def _call_with_retries(
@@ -56,6 +58,7 @@ def generate(
     prompt: Column,
     backend: Backend,
     *,
+    options: Mapping[str, Any] | None = None,
     batch_size: int = 64,
     concurrency: int | None = None,
     attempts: int = MAX_ATTEMPTS,
@@ -64,13 +67,16 @@ def generate(
     """Add ``completion`` (null if all attempts failed), ``attempts`` and
     ``prompt_hash``.
 
-    The backend is any picklable callable; sampling parameters are its own
-    matter. Only the prompt travels to Python. The UDF is marked
+    The backend is any picklable callable of a list of prompts that returns one
+    answer or None for each; sampling ``options`` are handed to it as keywords.
+    Only the prompt travels to Python. The UDF is marked
     nondeterministic, so that the optimizer never evaluates it twice for a row;
     write the result to a stage table before reading it more than once.
     ``concurrency`` bounds the calls in flight by the number of partitions.
     """
 
+    backend = partial(backend, **(options or {}))
+
     @F.pandas_udf("completion string, attempts int")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -92,13 +98,13 @@ def generate(
     )
 
 
-def succeeded(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("completion").isNotNull())
+def succeeded(df: DataFrame, answer: str = "completion") -> DataFrame:
+    return df.filter(F.col(answer).isNotNull())
 
 
-def failures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows to list in a side table, so that they do not vanish."""
-    return df.filter(F.col("completion").isNull()).select(*columns, "attempts", "prompt_hash")
+def failures(df: DataFrame, columns: Sequence[str], answer: str = "completion") -> DataFrame:
+    """Rows that failed every attempt, to be listed and not to vanish."""
+    return df.filter(F.col(answer).isNull()).select(*columns, "attempts", "prompt_hash")
 
 
 def attach_completions(df: DataFrame, completions: DataFrame, on: Sequence[str] = KEYS) -> DataFrame:

@@ -107,28 +107,34 @@ def band_text(signature_column: Column, bands: int, rows: int) -> Column:
     )
 
 
-def band_hashes(signature_column: Column, bands: int, rows: int) -> Column:
-    """Compact band keys: two differently keyed 64-bit hashes per band, flat.
+def pair_of_hashes(*columns: Column) -> Column:
+    """Two differently keyed 64-bit hashes, as ``array<bigint>``.
 
     128 bits leave no realistic chance of a false match at 10^11 rows, where 64
-    would not, and fixed-width keys keep the bucket aggregations hash-based.
+    would not, and fixed-width keys keep aggregations hash-based.
     """
+    return F.array(F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns))
 
-    def pair(band: Column) -> Column:
-        values = F.slice(signature_column, band * rows + 1, F.lit(rows))
-        return F.array(F.xxhash64(F.lit(1), band, values), F.xxhash64(F.lit(2), band, values))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), pair))
+def band_hashes(pool: Column, signature_column: Column, bands: int, rows: int) -> Column:
+    """Compact band keys: a pair of hashes per band, as one flat array.
+
+    The pool is hashed in, so rows of different pools share no key.
+    """
+    return F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(bands - 1)),
+            lambda band: pair_of_hashes(pool, band, F.slice(signature_column, band * rows + 1, F.lit(rows))),
+        )
+    )
 
 
 def explode_bands(df: DataFrame, hashes: str, bands: int) -> DataFrame:
-    """One row per band: ``band``, ``k1``, ``k2`` in place of the flat array."""
-    keyed = F.transform(
+    """One row per band, with its key ``k1, k2`` in place of the flat array."""
+    keys = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda band: F.struct(
-            band.alias("band"),
-            F.get(F.col(hashes), band * 2).alias("k1"),
-            F.get(F.col(hashes), band * 2 + 1).alias("k2"),
+            F.get(F.col(hashes), band * 2).alias("k1"), F.get(F.col(hashes), band * 2 + 1).alias("k2")
         ),
     )
-    return df.select(*[c for c in df.columns if c != hashes], F.inline(keyed))
+    return df.select(*[c for c in df.columns if c != hashes], F.inline(keys))

@@ -16,12 +16,19 @@ from pyspark.sql import functions as F
 
 from pagemill.fixed_values import NUM_PERM, THRESHOLD
 from pagemill.functions.text import token_set
-from pagemill.operators.minhash import band_hashes, band_shape, explode_bands, signature
+from pagemill.operators.minhash import (
+    band_hashes,
+    band_shape,
+    explode_bands,
+    pair_of_hashes,
+    signature,
+)
 from pagemill.operators.numbering import bounded
 from pagemill.session import MAX_BROADCAST_ROWS, materialize
 
 # Members of a bucket that one task may be given.
 BUCKET_SPLIT = 200_000
+BUCKET_KEY = ("k1", "k2")
 
 
 def shared_buckets(
@@ -47,7 +54,6 @@ def shared_buckets(
     sizes = materialize(sizes, "bucket_sizes")
     hot = sizes.filter("_shards > 1").select(*bucket, "_shards")
     hot_rows = hot.limit(MAX_BROADCAST_ROWS + 1).count()
-    sharded = table
     if hot_rows:
         sharded = table.join(bounded(hot, hot_rows), bucket, "left")
     else:
@@ -79,8 +85,8 @@ def least_candidate(table: DataFrame, idx: str, bucket: Sequence[str], split: in
 def two_hop_removed(table: DataFrame, idx: str, bucket: Sequence[str], split: int = BUCKET_SPLIT) -> DataFrame:
     """The removed rows of a (row, bucket) table, as distinct ``idx``.
 
-    ``idx`` must be unique per row of the pool and follow list order; put the
-    pool into ``bucket`` to keep pools apart.
+    ``idx`` must be unique per row and follow list order; the pool must be part
+    of the bucket key where there is more than one. ``table`` is read twice.
     """
     bucket = list(bucket)
     edges = materialize(shared_buckets(table, idx, bucket, split), "edges")
@@ -118,15 +124,19 @@ def collapse_equal_signatures(
         "pool",
         "seq",
         *carry,
-        F.xxhash64(F.lit(1), "_sig").alias("_s1"),
-        F.xxhash64(F.lit(2), "_sig").alias("_s2"),
-        band_hashes(F.col("_sig"), bands, rows).alias("_bands"),
+        pair_of_hashes(F.col("pool"), F.col("_sig")).alias("_key"),
+        band_hashes(F.col("pool"), F.col("_sig"), bands, rows).alias("_bands"),
+    )
+    return (
+        keyed.groupBy(F.col("_key")[0].alias("_s1"), F.col("_key")[1].alias("_s2"))
+        .agg(
+            F.first("pool").alias("pool"),
+            F.min("seq").alias("seq"),
+            *[F.min_by(c, "seq").alias(c) for c in carry],
+            F.first("_bands").alias("_bands"),
+        )
+        .drop("_s1", "_s2")
     )
-    return keyed.groupBy("pool", "_s1", "_s2").agg(
-        F.min("seq").alias("seq"),
-        *[F.min_by(c, "seq").alias(c) for c in carry],
-        F.first("_bands").alias("_bands"),
-    ).drop("_s1", "_s2")
 
 
 def surviving_rows(
@@ -145,8 +155,8 @@ def surviving_rows(
     tokens = token_set(F.col("request")) if tokens is None else tokens
     bands, _ = band_shape(threshold, num_perm)
     firsts = materialize(collapse_equal_signatures(df, tokens, carry, threshold, num_perm), "signatures")
-    table = explode_bands(firsts.select("pool", "seq", "_bands"), "_bands", bands)
-    removed = two_hop_removed(table, "seq", ["pool", "band", "k1", "k2"], split)
+    table = explode_bands(firsts.select("seq", "_bands"), "_bands", bands)
+    removed = two_hop_removed(table, "seq", BUCKET_KEY, split)
     return firsts.drop("_bands").join(removed, "seq", "left_anti")
 
 

@@ -11,7 +11,7 @@ Three forms, from cheap to general:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +53,11 @@ def global_row_number(df: DataFrame, order: Sequence[str], name: str = "position
     )
 
 
-def position_cutoffs(df: DataFrame, key: str, positions: Sequence[int]) -> list[int | None]:
-    """For each 0-based position, the unique BIGINT ``key`` at it (None past the end).
+def position_cutoffs(
+    df: DataFrame, key: str, positions: Callable[[int], Sequence[int]]
+) -> list[int | None]:
+    """For each of the 0-based ``positions(row count)``, the unique BIGINT ``key``
+    at it (None past the end).
 
     Counts keys in at most FAN_OUT equal ranges and looks again inside the range
     that holds the position: at most six passes for 64-bit keys of any
@@ -62,7 +65,7 @@ def position_cutoffs(df: DataFrame, key: str, positions: Sequence[int]) -> list[
     """
     low, high, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
     found: list[int | None] = []
-    for position in positions:
+    for position in positions(rows):
         lo, hi, rest = low, high, position
         if not 0 <= position < rows:
             found.append(None)

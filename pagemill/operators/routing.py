@@ -32,5 +32,5 @@ def route_categories(df: DataFrame, key: str = "seq") -> DataFrame:
     Slices are ranges of the key, so three key values decide them all and the
     routing itself is a projection: page text is neither sorted nor shuffled.
     """
-    keys = df.select(key)
-    return df.withColumn("category", category_column(position_cutoffs(keys, key, slice_bounds(keys.count())), key))
+    cutoffs = position_cutoffs(df.select(key), key, slice_bounds)
+    return df.withColumn("category", category_column(cutoffs, key))

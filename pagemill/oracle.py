@@ -249,7 +249,7 @@ BODIES: dict[str, str] = {
     "chat_messages": f"""SELECT seq, 'system,user' AS roles, 'You are a helpful assistant.' AS first,
         {AUTHOR_PROMPT} AS second FROM webpages""",
     "chat_template": f"SELECT seq, {fill(fixed.LLAMA3_CHAT, prompt='(' + AUTHOR_PROMPT + ')')} AS prompt FROM webpages",
-    "stage_projection_columns": """SELECT p.seq, p.webpage, w.author, p.request, p.response
+    "stage_projection": """SELECT p.seq, p.webpage, w.author, p.request, p.response
         FROM pairs p JOIN webpages w USING (seq)""",
     "filter_special_pattern": "SELECT * FROM usable",
     "filter_special_pattern_turns": f"SELECT * FROM turn_pairs WHERE {USABLE}",
@@ -290,7 +290,7 @@ BODIES: dict[str, str] = {
     "dedup_report": """SELECT pool, count(*) - count(*) FILTER (WHERE kept) AS deleted,
         round(count(*) FILTER (WHERE kept) / count(*) * 100, 2) AS remain_percent
         FROM (SELECT pool, seq NOT IN (SELECT seq FROM d_removed) AS kept FROM usable) GROUP BY pool""",
-    "global_row_number_pairs": "SELECT pool, seq, row_number() OVER (ORDER BY pool, seq) - 1 AS position FROM pairs",
+    "global_row_number": "SELECT pool, seq, row_number() OVER (ORDER BY pool, seq) - 1 AS position FROM pairs",
     "quota_sample": "SELECT seq, position FROM u_wi",
     "wi_pages_distinct": f"SELECT DISTINCT {PAGE} FROM u_wi",
     "first_per_page": f"SELECT {PAGE}, seq FROM u_first",

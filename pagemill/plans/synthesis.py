@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -12,8 +13,10 @@ from pagemill.fixed_values import REFINE_CATEGORY
 from pagemill.functions.messages import stage_prompt
 from pagemill.functions.text import SECTION_METHODS, clean_completion, cut_sections
 from pagemill.operators.completions import Backend, failures, generate, succeeded
+from pagemill.operators.numbering import position_cutoffs
 from pagemill.operators.routing import route_categories
 from pagemill.plans.mix import build_mix
+from pagemill.sources.records import PAGES, read_json_in_order
 from pagemill.sources.stages import StageStore
 
 # The columns each stage hands on.
@@ -24,17 +27,29 @@ STAGE_COLUMNS = {
 }
 
 
-def stage_projection(df: DataFrame, stage: str, keys: tuple[str, ...] = ("seq",)) -> DataFrame:
+def stage_projection(df: DataFrame, stage: str, keys: Sequence[str] = ("seq",)) -> DataFrame:
     return df.select(*keys, *STAGE_COLUMNS[stage])
 
 
+def plain(prompt: Column) -> Column:
+    return prompt
+
+
 @dataclass
 class Synthesis:
-    """One run over ``pages (seq, webpage)``, with a table per stage.
+    """One run over ``pages (seq, webpage, ...)``, with a table per stage.
+
+    A stage calls the model once per row and writes its table before the next
+    one reads it. Rows whose call failed stay in the table with a null answer;
+    they go no further and ``failed`` lists them. Other columns of the pages are
+    passed through, unless ``project`` is set.
 
-    Each stage calls the model once per row and is written before the next one
-    reads it. A run that is started again on the same store goes on behind the
-    last stage that was finished.
+    A stage may be written in several ``waves`` of consecutive rows. A run that
+    is started again on the same store calls the model only for the waves that
+    are not finished.
+
+    ``envelope`` wraps a prompt into what the backend expects, for example
+    ``lambda p: chat_text(p, model)`` or ``lambda p: F.to_json(api_messages(p))``.
     """
 
     store: StageStore
@@ -42,34 +57,68 @@ class Synthesis:
     clean: bool = True
     section_method: str = "uniform"
     seed: str = ""
+    project: bool = False
+    waves: int = 1
+    envelope: Callable[[Column], Column] = plain
     generate_options: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.section_method not in SECTION_METHODS:
             raise ValueError(f"section method {self.section_method!r} is not one of {SECTION_METHODS}")
 
-    def _answers(self, stage: str, df: DataFrame, prompt: Column) -> DataFrame:
-        """All answers of a stage, failed ones included, as its raw table."""
-        return self.store.ensure(
-            f"{stage}_answers", lambda: generate(df, prompt, self.backend, **self.generate_options)
+    def ingest(self, paths: Sequence[str], schema=PAGES, lines: bool = False) -> DataFrame:
+        """Read page files in order into a table. ``seq`` is fixed by writing it:
+        read ids depend on how the files were split."""
+        read = read_json_in_order(self.store.spark, paths, schema, lines)
+        self.store.ensure("pages", lambda: read.withColumn("seq", F.monotonically_increasing_id()))
+        return self.store.read("pages").drop("wave")
+
+    def _run(self, stage: str, rows: DataFrame, prompt: Column, answer: str) -> DataFrame:
+        """The answered rows of a stage, after calling the model where needed."""
+        cleaner = clean_completion if self.clean and answer != "author" else plain
+
+        def answered(part: DataFrame) -> DataFrame:
+            replies = generate(part, self.envelope(prompt), self.backend, **self.generate_options)
+            return replies.withColumn(answer, cleaner(F.col("completion"))).drop("completion")
+
+        todo = [wave for wave in range(self.waves) if not self.store.finished(stage, wave)]
+        if todo:
+            for wave, within in enumerate(self._wave_ranges(rows)):
+                if wave in todo:
+                    self.store.write(stage, answered(rows.filter(within)), wave)
+        done = succeeded(self.store.read(stage), answer).drop("wave", "attempts", "prompt_hash")
+        if not self.project:
+            return done
+        keys = [c for c in ("seq", "category") if c in done.columns]
+        return stage_projection(done, "response" if stage == "refine" else stage, keys)
+
+    def _wave_ranges(self, rows: DataFrame) -> list[Column]:
+        seq = F.col("seq")
+        if self.waves == 1:
+            return [F.lit(True)]
+        starts = position_cutoffs(
+            rows.select("seq"), "seq", lambda n: [n * wave // self.waves for wave in range(1, self.waves)]
         )
-
-    def _take(self, stage: str, answers: DataFrame, column: str) -> DataFrame:
-        """Successful answers under the stage's column name; the others are
-        listed in the stage's failures table."""
-        keys = [c for c in ("seq", "category") if c in answers.columns]
-        self.store.ensure(f"{stage}_failures", lambda: failures(answers, keys))
-        text = F.col("completion")
-        if self.clean and column != "author":
-            text = clean_completion(text)
-        return succeeded(answers).withColumn(column, text).drop("completion", "attempts", "prompt_hash")
+        bounds = [None, *starts, None]
+        ranges = []
+        for wave, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            within = F.lit(wave == 0 or low is not None)
+            if low is not None:
+                within = within & (seq >= low)
+            if high is not None:
+                within = within & (seq < high)
+            ranges.append(within)
+        return ranges
+
+    def failed(self, stage: str) -> DataFrame:
+        table = self.store.read(stage)
+        keys = [c for c in ("seq", "category") if c in table.columns]
+        return failures(table, keys, "response" if stage == "refine" else stage)
 
     def author(self, pages: DataFrame) -> DataFrame:
         """Authors are inferred from the full page; later stages see the cut one."""
-        answers = self._answers("author", pages, stage_prompt("author", web=F.col("webpage")))
-        return cut_sections(
-            self._take("author", answers, "author"), method=self.section_method, seed=self.seed
-        )
+        answered = self._run("author", pages, stage_prompt("author", web=F.col("webpage")), "author")
+        return cut_sections(answered, method=self.section_method, seed=self.seed)
 
     def request(self, sections: DataFrame) -> DataFrame:
         prompt = stage_prompt(
@@ -80,13 +129,13 @@ class Synthesis:
             key=F.col("seq"),
             seed=self.seed,
         )
-        return self._take("request", self._answers("request", route_categories(sections), prompt), "request")
+        return self._run("request", route_categories(sections), prompt, "request")
 
     def response(self, requests: DataFrame) -> DataFrame:
         prompt = stage_prompt(
             "response", category=F.col("category"), web=F.col("webpage"), request=F.col("request")
         )
-        return self._take("response", self._answers("response", requests, prompt), "response")
+        return self._run("response", requests, prompt, "response")
 
     def refine(self, responses: DataFrame) -> DataFrame:
         """Improve the answers of the WR categories, which keep their names."""
@@ -98,17 +147,14 @@ class Synthesis:
             response=F.col("response"),
         )
         wr = responses.filter(F.col("category").isin("WR_all", "WR_part"))
-        return self._take("refine", self._answers("refine", wr, prompt), "response")
+        return self._run("refine", wr, prompt, "response")
 
     def pairs(self, pages: DataFrame) -> DataFrame:
         """``pool, seq, webpage, request, response``: WI rows from the response
         stage and WR rows from the refine stage. Slices follow ``seq``, so its
         order is also that of the appended category files."""
-        store = self.store
-        sections = store.ensure("author_section", lambda: self.author(pages))
-        requests = store.ensure("request", lambda: self.request(sections))
-        responses = store.ensure("response", lambda: self.response(requests))
-        refined = store.ensure("refine", lambda: self.refine(responses))
+        responses = self.response(self.request(self.author(pages)))
+        refined = self.refine(responses)
         columns = ["seq", "webpage", "request", "response"]
         wi = responses.filter(F.col("category").isin("WI_all", "WI_part"))
         return wi.select(F.lit("WI").alias("pool"), *columns).unionByName(

@@ -29,7 +29,7 @@ NO_WAIT = {"wait": (0.0, 0.0)}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    QUERIES[function.__name__.removesuffix("_query")] = function
     return function
 
 
@@ -105,8 +105,8 @@ def parquet_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stage_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = StageStore(spark, scratch_path(spark, "store"), "pages", "stub")
-    written = store.write("request", route_categories(fixtures.webpages(spark, sf_dir)))
-    return written.groupBy(F.col("category").cast("string").alias("category")).agg(
+    store.write("request", route_categories(fixtures.webpages(spark, sf_dir)))
+    return store.read("request").groupBy(F.col("category").cast("string").alias("category")).agg(
         F.count("*").alias("pages"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
     )
 
@@ -207,7 +207,7 @@ def chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def stage_projection_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stage_projection_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fixtures.webpages(spark, sf_dir).select("seq", "author")
     pairs = fixtures.pairs(spark, sf_dir).join(pages, "seq")
     return stage_projection(pairs, "response")
@@ -329,14 +329,11 @@ def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bucket_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands, rows = minhash.band_shape(fixed.THRESHOLD)
     hashed = _signed(spark, sf_dir).select(
-        "pool", "seq", minhash.band_hashes(F.col("signature"), bands, rows).alias("_bands")
+        "seq", minhash.band_hashes(F.col("pool"), F.col("signature"), bands, rows).alias("_bands")
     )
     return minhash.explode_bands(hashed, "_bands", bands)
 
 
-BUCKET = ["pool", "band", "k1", "k2"]
-
-
 @query
 def minhash_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = text.token_set(F.col("request"))
@@ -363,7 +360,7 @@ def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.least_candidate(_bucket_table(spark, sf_dir), "seq", BUCKET)
+    return neardup.least_candidate(_bucket_table(spark, sf_dir), "seq", neardup.BUCKET_KEY)
 
 
 @query
@@ -373,7 +370,7 @@ def lsh_candidates_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def near_dup_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.two_hop_removed(_bucket_table(spark, sf_dir), "seq", BUCKET)
+    return neardup.two_hop_removed(_bucket_table(spark, sf_dir), "seq", neardup.BUCKET_KEY)
 
 
 @query
@@ -427,7 +424,7 @@ def page_hex() -> Column:
 
 
 @query
-def global_row_number_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def global_row_number_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return global_row_number(fixtures.pairs(spark, sf_dir).select("pool", "seq"), ["pool", "seq"])
 
 

@@ -25,28 +25,32 @@ class StageStore:
     def path(self, stage: str) -> str:
         return f"{self.root.rstrip('/')}/{self.data}_{self.model}/{stage}"
 
-    def write(self, stage: str, df: DataFrame) -> DataFrame:
+    def write(self, stage: str, df: DataFrame, wave: int = 0) -> None:
+        """Write one wave, a disjoint part of the rows, of a stage."""
         # A partitioned table without rows has no file to take a schema from.
         df.limit(0).write.mode("overwrite").parquet(self._schema_path(stage))
-        writer = df.write
+        writer = df.write.mode("overwrite")  # of an unfinished earlier attempt
         if "category" in df.columns:
             writer = writer.partitionBy("category")
-        writer.parquet(self.path(stage))
-        return self.read(stage)
+        writer.parquet(self._wave_path(stage, wave))
 
     def read(self, stage: str) -> DataFrame:
         schema = self.spark.read.parquet(self._schema_path(stage)).schema
         return self.spark.read.schema(schema).parquet(self.path(stage))
 
-    def _schema_path(self, stage: str) -> str:
-        return f"{self.path(stage)}.schema"
+    def finished(self, stage: str, wave: int = 0) -> bool:
+        """Whether a wave was written to its end (its success marker is there)."""
+        sc = self.spark.sparkContext
+        marker = sc._jvm.org.apache.hadoop.fs.Path(f"{self._wave_path(stage, wave)}/_SUCCESS")
+        return marker.getFileSystem(sc._jsc.hadoopConfiguration()).exists(marker)
+
+    def ensure(self, stage: str, build: Callable[[], DataFrame], wave: int = 0) -> None:
+        """Write a wave, unless an earlier run has finished it."""
+        if not self.finished(stage, wave):
+            self.write(stage, build(), wave)
 
-    def exists(self, stage: str) -> bool:
-        """Whether the stage was written to its end (its success marker is there)."""
-        jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{self.path(stage)}/_SUCCESS")
-        return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    def _wave_path(self, stage: str, wave: int) -> str:
+        return f"{self.path(stage)}/wave={wave}"
 
-    def ensure(self, stage: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The stage table, built only if an earlier run has not finished it."""
-        return self.read(stage) if self.exists(stage) else self.write(stage, build())
+    def _schema_path(self, stage: str) -> str:
+        return f"{self.path(stage)}.schema"
