@@ -1,13 +1,18 @@
 """MinHash signatures and their bands.
 
-A token hashes to h = md5-based mod p; permutation k maps it to
-(a_k h + b_k) mod p, and the signature keeps the least value of each. All
-products fit a BIGINT, so the same numbers come out of plain SQL.
+With p = 2^31 - 1, a token hashes to h = g^5 mod p, where g is the polynomial
+hash of its UTF-8 bytes: g <- (g * BASE + byte + 1) mod p. The fifth power is a
+permutation of the residues and scatters tokens that differ little, which a
+polynomial alone maps to neighbours. Permutation k takes h to (a_k h + b_k) mod
+p, and the signature keeps the least value of each. All products fit a BIGINT, so
+SQL can compute the same numbers, and all steps vectorise over the bytes of an
+Arrow batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -15,21 +20,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.fixed_values import NUM_PERM
+from pagemill.fixed_values import BEGIN_OF_TEXT, NUM_PERM
 
 PRIME = 2**31 - 1
-TOKENS_PER_CHUNK = 32_768
+BASE = 911_382_323
+PIECE_BYTES = 1 << 18  # text bytes worked on at a time: arrays stay in cache
 
 
-def _hash32(text: str) -> int:
-    return int(hashlib.md5(text.encode("utf-8")).hexdigest()[:8], 16)
-
-
-@cache
 def permutations(num_perm: int = NUM_PERM) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers in [1, p) and offsets in [0, p), from a rule."""
-    a = [_hash32(f"a:{k}") % (PRIME - 1) + 1 for k in range(num_perm)]
-    b = [_hash32(f"b:{k}") % PRIME for k in range(num_perm)]
+
+    def number(name: str) -> int:
+        return int(hashlib.md5(name.encode()).hexdigest()[:8], 16)
+
+    a = [number(f"a:{k}") % (PRIME - 1) + 1 for k in range(num_perm)]
+    b = [number(f"b:{k}") % PRIME for k in range(num_perm)]
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
@@ -48,55 +53,210 @@ def band_shape(threshold: float, num_perm: int = NUM_PERM) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def _sign(tokens: pa.Array, num_perm: int) -> pa.Array:
-    """Signatures of a batch of token sets.
-
-    Works through the flat token list in chunks of fixed size, so that memory is
-    bounded for any batch and any text. A chunk hashes each of its distinct
-    tokens once and looks the permuted values up for every occurrence.
+# --- in a task: one Arrow batch at a time ------------------------------------------
+
+
+def _string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string array and the len + 1 offsets into them."""
+    if len(texts) == 0:
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(data if data is not None else b"", dtype=np.uint8), bounds
+
+
+def _byte_classes() -> np.ndarray:
+    """0 for white space, 1 for word bytes, 2 for all others, as the token
+    pattern has it; bytes of non-ASCII characters are all of class 2."""
+    classes = np.full(256, 2, dtype=np.uint8)
+    classes[np.frombuffer(b" \t\n\x0b\f\r", dtype=np.uint8)] = 0
+    word = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
+    classes[np.frombuffer(word, dtype=np.uint8)] = 1
+    return classes
+
+
+def _pieces(bounds: np.ndarray, spaces: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cut the bytes into pieces that split no token: at the end of a text if
+    possible, else at white space, else as far on as needed."""
+    start, end = int(bounds[0]), int(bounds[-1])
+    while start < end:
+        stop = min(start + PIECE_BYTES, end)
+        if stop < end:
+            text_end = int(bounds[np.searchsorted(bounds, stop, side="right") - 1])
+            space = int(spaces[np.searchsorted(spaces, stop, side="left") - 1]) if len(spaces) else -1
+            if text_end > start:
+                stop = text_end
+            elif start < space < stop:
+                stop = space
+            else:
+                following = np.searchsorted(spaces, stop)
+                next_space = int(spaces[following]) if following < len(spaces) else end
+                stop = min(next_space, int(bounds[np.searchsorted(bounds, stop)]))
+        yield start, stop
+        start = stop
+
+
+def _text_tokens(
+    data: np.ndarray, bounds: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens in the bytes of texts, piece by piece: their bytes end to end, their
+    lengths and the texts they are of."""
+    classes = _byte_classes()
+    spaces = np.flatnonzero(classes[data[bounds[0] : bounds[-1]]] == 0) + bounds[0]
+    for start, stop in _pieces(bounds, spaces):
+        piece = data[start:stop]
+        kind = classes[piece]
+        edge = np.empty(len(kind) + 1, dtype=bool)
+        edge[0] = edge[-1] = True
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+        edge[bounds[np.searchsorted(bounds, start) : np.searchsorted(bounds, stop, side="right")] - start] = True
+        cuts = np.flatnonzero(edge)
+        is_token = kind[cuts[:-1]] != 0
+        if is_token.any():
+            owner = np.searchsorted(bounds, cuts[:-1][is_token] + start, side="right") - 1
+            yield piece[kind != 0], np.diff(cuts)[is_token], owner
+
+
+def _listed_tokens(
+    data: np.ndarray, bounds: np.ndarray, owners: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for ready tokens; empty ones are left out."""
+    group = (bounds[1:] - bounds[0]) // PIECE_BYTES
+    for part in np.split(np.arange(len(owners)), np.flatnonzero(np.diff(group)) + 1):
+        lengths = bounds[part + 1] - bounds[part]
+        filled = lengths > 0
+        if filled.any():
+            yield data[bounds[part[0]] : bounds[part[-1] + 1]], lengths[filled], owners[part][filled]
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Congruent modulo p and, for x < 2^62, below 2^32."""
+    return (x & PRIME) + (x >> 31)
+
+
+def _powers(count: int) -> np.ndarray:
+    """BASE^0, BASE^1, ... mod p, at least ``count`` of them, by doubling."""
+    table = np.ones(1, dtype=np.int64)
+    while len(table) < count:
+        table = np.concatenate([table, table * pow(BASE, len(table), PRIME) % PRIME])
+    return table
+
+
+def _hash_tokens(token_bytes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """h of each token, from the bytes of all tokens end to end."""
+    last = np.cumsum(lengths)
+    power = np.repeat(last - 1, lengths)
+    power -= np.arange(len(power))
+    terms = _powers(int(lengths.max())).take(power)
+    terms *= token_bytes.astype(np.int64) + 1
+    g = np.add.reduceat(_fold(terms), last - lengths) % PRIME
+    g2 = g * g % PRIME
+    return g2 * g2 % PRIME * g % PRIME
+
+
+def _take_minima(out: np.ndarray, owner: np.ndarray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Lower ``out[k, row]`` to the permuted values of the row's tokens.
+
+    A fold leaves x = a h + b congruent and below 2p, in 32 bits; the lesser of v
+    and v - p, which wraps to a large number where negative, is x mod p.
+    """
+    pairs = np.sort((owner << 31) | h)
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+    owner, h = pairs >> 31, pairs & PRIME
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    rows = owner[first]
+    value, high = np.empty_like(h), np.empty_like(h)
+    folded, reduced = np.empty(len(h), dtype=np.uint32), np.empty(len(h), dtype=np.uint32)
+    for k in range(len(a)):
+        np.multiply(h, a[k], out=value)
+        value += b[k]
+        np.right_shift(value, 31, out=high)
+        value &= PRIME
+        np.add(value, high, out=folded, casting="unsafe")
+        np.subtract(folded, np.uint32(PRIME), out=reduced)
+        np.minimum(folded, reduced, out=reduced)
+        out[k, rows] = np.minimum(out[k, rows], np.minimum.reduceat(reduced, first))
+
+
+def _as_lists(out: np.ndarray) -> pa.Array:
+    num_perm, rows = out.shape
+    flat = pa.array(np.ascontiguousarray(out.T, dtype=np.int32).ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * num_perm), flat)
+
+
+def _sign_texts(texts: pa.Array, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    mark = np.frombuffer(BEGIN_OF_TEXT.encode(), dtype=np.uint8)
+    start = (a * _hash_tokens(mark, np.array([len(mark)])) + b) % PRIME
+    out = np.repeat(start[:, None], len(texts), axis=1)
+    for token_bytes, lengths, owner in _text_tokens(*_string_buffers(texts)):
+        _take_minima(out, owner, _hash_tokens(token_bytes, lengths), a, b)
+    return _as_lists(out)
+
+
+def _sign_token_lists(tokens: pa.Array, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    out = np.full((len(a), len(tokens)), PRIME, dtype=np.int64)
+    owners = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy())
+    for token_bytes, lengths, owner in _listed_tokens(*_string_buffers(tokens.flatten()), owners):
+        _take_minima(out, owner, _hash_tokens(token_bytes, lengths), a, b)
+    return _as_lists(out)
+
+
+# --- columns ------------------------------------------------------------------------
+
+
+def text_signature(text: Column, num_perm: int = NUM_PERM) -> Column:
+    """MinHash signature of the ``token_set`` of a text, as ``array<int>``.
+
+    Finds the tokens itself, in the bytes of the batch: a list of token strings
+    would cost several times what the signature does.
     """
     a, b = permutations(num_perm)
-    lengths = np.asarray(tokens.value_lengths().fill_null(0), dtype=np.int64)
-    flat = tokens.flatten()
-    rows = np.repeat(np.arange(len(tokens)), lengths)
-    signature = np.full((len(tokens), num_perm), PRIME, dtype=np.int32)
-    for start in range(0, len(flat), TOKENS_PER_CHUNK):
-        encoded = flat.slice(start, TOKENS_PER_CHUNK).dictionary_encode()
-        h = np.array([_hash32(t) % PRIME for t in encoded.dictionary.to_pylist()], dtype=np.int64)
-        table = ((h[:, None] * a + b) % PRIME).astype(np.int32)
-        owner = rows[start : start + TOKENS_PER_CHUNK]
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
-        least = np.minimum.reduceat(table[encoded.indices.to_numpy()], first, axis=0)
-        # An owner appears once per chunk; its row goes on in the next one.
-        signature[owner[first]] = np.minimum(signature[owner[first]], least)
-    return pa.FixedSizeListArray.from_arrays(pa.array(signature.ravel()), num_perm).cast(pa.list_(pa.int32()))
+
+    @F.arrow_udf("array<int>")
+    def sign(batch: pa.Array) -> pa.Array:
+        return _sign_texts(batch, a, b)
+
+    return sign(text)
 
 
 def signature(tokens: Column, num_perm: int = NUM_PERM) -> Column:
-    """MinHash signature of a token-set column, as ``array<int>``."""
+    """MinHash signature of a column of token lists, such as one from a model's
+    own tokenizer (ids cast to strings); empty tokens do not count."""
+    a, b = permutations(num_perm)
 
     @F.arrow_udf("array<int>")
     def sign(batch: pa.Array) -> pa.Array:
-        return _sign(batch, num_perm)
+        return _sign_token_lists(batch, a, b)
 
     return sign(tokens)
 
 
 def signature_in_sql(df: DataFrame, tokens: str, name: str, num_perm: int = NUM_PERM) -> DataFrame:
-    """The same signature from built-in functions alone, to check the other by.
+    """The same signature from built-in functions alone, to check the others by.
 
     ``explode(array(h))`` keeps the token hashes from being computed anew for
     every permutation when projections are collapsed.
     """
     a, b = permutations(num_perm)
-    hashed = F.transform(
-        F.col(tokens), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % PRIME
-    )
+
+    def polynomial(token: Column) -> Column:
+        byte_pairs = F.regexp_extract_all(F.hex(F.encode(token, "UTF-8")), F.lit(".."), F.lit(0))
+        start = F.lit(0).cast("bigint")
+        return F.aggregate(
+            byte_pairs, start, lambda g, pair: (g * BASE + F.conv(pair, 16, 10).cast("bigint") + 1) % PRIME
+        )
+
+    def fifth_power(g: Column) -> Column:
+        square = g * g % PRIME
+        return square * square % PRIME * g % PRIME
+
     pairs = F.array(*[F.struct(F.lit(int(x)).alias("a"), F.lit(int(y)).alias("b")) for x, y in zip(a, b)])
     values = F.transform(
         pairs, lambda p: F.array_min(F.transform("_h", lambda h: (p["a"] * h + p["b"]) % PRIME)).cast("int")
     )
-    return df.withColumn("_h", F.explode(F.array(hashed))).withColumn(name, values).drop("_h")
+    hashes = F.transform(F.transform(F.col(tokens), polynomial), fifth_power)
+    return df.withColumn("_h", F.explode(F.array(hashes))).withColumn(name, values).drop("_h")
 
 
 def band_text(signature_column: Column, bands: int, rows: int) -> Column:

@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.fixed_values import NUM_PERM, THRESHOLD
-from pagemill.functions.text import token_set
 from pagemill.operators.minhash import (
     band_hashes,
     band_shape,
     explode_bands,
     pair_of_hashes,
     signature,
+    text_signature,
 )
 from pagemill.operators.numbering import bounded
 from pagemill.session import MAX_BROADCAST_ROWS, materialize
@@ -106,7 +106,7 @@ def two_hop_removed(table: DataFrame, idx: str, bucket: Sequence[str], split: in
 
 def collapse_equal_signatures(
     df: DataFrame,
-    tokens: Column,
+    tokens: Column | None = None,
     carry: Sequence[str] = (),
     threshold: float = THRESHOLD,
     num_perm: int = NUM_PERM,
@@ -119,7 +119,8 @@ def collapse_equal_signatures(
     one row in the map-side aggregation, before any bucket is built.
     """
     bands, rows = band_shape(threshold, num_perm)
-    signed = df.select("pool", "seq", *carry, signature(tokens, num_perm).alias("_sig"))
+    signed = text_signature(F.col("request"), num_perm) if tokens is None else signature(tokens, num_perm)
+    signed = df.select("pool", "seq", *carry, signed.alias("_sig"))
     keyed = signed.select(
         "pool",
         "seq",
@@ -151,8 +152,8 @@ def surviving_rows(
 
     ``seq`` must be unique over all pools. Pools are handled in one pass and
     never compared. Only narrow rows are shuffled: carry a page hash, not text.
+    What is compared is ``request``, or the column of token lists ``tokens``.
     """
-    tokens = token_set(F.col("request")) if tokens is None else tokens
     bands, _ = band_shape(threshold, num_perm)
     firsts = materialize(collapse_equal_signatures(df, tokens, carry, threshold, num_perm), "signatures")
     table = explode_bands(firsts.select("seq", "_bands"), "_bands", bands)

@@ -121,8 +121,12 @@ def near_dup(prefix: str, source: str) -> dict[str, str]:
     return {
         f"{prefix}tokens": f"""SELECT pool, seq, unnest(list_distinct(list_append(
             regexp_extract_all(request, '{TOKEN_PATTERN}'), '{fixed.BEGIN_OF_TEXT}'))) AS token FROM {source}""",
-        f"{prefix}sig": f"""SELECT pool, seq, k, min((a * (CAST('0x' || substr(md5(token), 1, 8) AS BIGINT)
-            % 2147483647) + b) % 2147483647) AS v FROM {prefix}tokens, perms GROUP BY ALL""",
+        f"{prefix}hashes": f"""SELECT pool, seq, token, g2 * g2 % 2147483647 * g % 2147483647 AS h
+            FROM (SELECT *, g * g % 2147483647 AS g2 FROM (SELECT *, list_reduce(list_prepend(CAST(0 AS BIGINT),
+                list_transform(regexp_extract_all(hex(encode(token)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                lambda x, y: (x * 911382323 + y + 1) % 2147483647) AS g FROM {prefix}tokens))""",
+        f"{prefix}sig": f"""SELECT pool, seq, k, min((a * h + b) % 2147483647) AS v
+            FROM {prefix}hashes, perms GROUP BY ALL""",
         f"{prefix}bands": f"""SELECT pool, seq, k // 9 AS band, string_agg(v, ',' ORDER BY k) AS key
             FROM {prefix}sig WHERE k < 126 GROUP BY ALL""",
         f"{prefix}pairs": f"""SELECT DISTINCT x.seq AS i, y.seq AS j
@@ -274,6 +278,7 @@ BODIES: dict[str, str] = {
         CAST({pick(fixed.LEN_LIMITS, 'len_limit')} AS BIGINT) AS len_limit FROM webpages""",
     "minhash_tokens": "SELECT seq, string_agg(token, ' ' ORDER BY token) AS tokens FROM d_tokens GROUP BY seq",
     "minhash_signature": "SELECT seq, string_agg(v, ',' ORDER BY k) AS signature FROM d_sig GROUP BY seq",
+    "minhash_signature_of_tokens": "SELECT seq, string_agg(v, ',' ORDER BY k) AS signature FROM d_sig GROUP BY seq",
     "minhash_signature_in_sql": "SELECT seq, string_agg(v, ',' ORDER BY k) AS signature FROM d_sig GROUP BY seq",
     "lsh_buckets": "SELECT pool, seq AS idx, CAST(band AS INT) AS band, key FROM d_bands",
     "lsh_candidates": """SELECT x.seq, least(x.seq, min(y.seq)) AS first_candidate, count(DISTINCT x.band) AS shared

@@ -14,7 +14,6 @@ from pagemill.fixed_values import (
     WR_QUOTA,
 )
 from pagemill.functions.messages import wi_messages, wr_messages
-from pagemill.functions.text import token_set
 from pagemill.operators.filters import filter_special_pattern
 from pagemill.operators.neardup import surviving_rows
 from pagemill.operators.numbering import bounded
@@ -33,7 +32,7 @@ def clean_pool(
     names a column with token sets from a tokenizer of your own.
     """
     usable = filter_special_pattern(pairs).withColumn("page", page_key(F.col("webpage")))
-    token_column = token_set(F.col("request")) if tokens is None else F.col(tokens)
+    token_column = None if tokens is None else F.col(tokens)
     return materialize(surviving_rows(usable, token_column, ["page"], threshold, num_perm), "survivors")
 
 

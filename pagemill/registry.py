@@ -322,7 +322,7 @@ def keyed_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = minhash.signature(text.token_set(F.col("request")))
+    signed = minhash.text_signature(F.col("request"))
     return usable_pairs(spark, sf_dir).select("pool", "seq", signed.alias("signature"))
 
 
@@ -345,6 +345,12 @@ def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signed(spark, sf_dir).select("seq", F.array_join("signature", ",").alias("signature"))
 
 
+@query
+def minhash_signature_of_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = minhash.signature(text.token_set(F.col("request")))
+    return usable_pairs(spark, sf_dir).select("seq", F.array_join(signed, ",").alias("signature"))
+
+
 @query
 def minhash_signature_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = usable_pairs(spark, sf_dir).select("seq", text.token_set(F.col("request")).alias("tokens"))
