@@ -72,17 +72,19 @@ def position_cutoffs(
             continue
         while lo < hi:
             width = -(-(hi - lo + 1) // FAN_OUT)
-            bucket = F.expr(f"({key} - {lo}) div {width}") if width > 1 else F.col(key) - F.lit(lo)
+            # Floor division that cannot overflow: ranges start at multiples of the width.
+            bucket = F.expr(f"{key} div {width} - int({key} % {width} < 0)")
             counts = (
                 df.filter(F.col(key).between(lo, hi))
-                .groupBy(bucket.cast("bigint").alias("bucket"))
+                .groupBy(bucket.alias("bucket"))
                 .count()
                 .orderBy("bucket")
-                .collect()
+                .collect()  # at most FAN_OUT + 1 counts
             )
             for row in counts:
                 if rest < row["count"]:
-                    lo, hi = lo + row["bucket"] * width, min(hi, lo + (row["bucket"] + 1) * width - 1)
+                    start = row["bucket"] * width
+                    lo, hi = max(lo, start), min(hi, start + width - 1)
                     break
                 rest -= row["count"]
         found.append(lo)
