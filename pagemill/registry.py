@@ -99,7 +99,8 @@ def parquet_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records.write_parquet(
         pairs.select(F.concat(F.lit("row_"), "seq").alias("prompt_id"), wi.alias("messages")), path
     )
-    return turns(spark.read.parquet(path).withColumn("rows_written", F.lit(rows)), "prompt_id", "rows_written")
+    written = spark.read.parquet(path).withColumn("rows_written", F.lit(rows).cast("bigint"))
+    return turns(written, "prompt_id", "rows_written")
 
 
 @query

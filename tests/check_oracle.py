@@ -31,13 +31,21 @@ def normalized(frame) -> tuple[list[str], list[tuple]]:
     return columns, sorted(rows, key=repr)
 
 
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+
+
 def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
     start = time.time()
-    got = normalized(queries()[name](spark, sf_dir).toPandas())
+    df = queries()[name](spark, sf_dir)
+    got = normalized(df.toPandas())
     spent = time.time() - start
     want = normalized(con.execute(oracle_sql()[name]).df())
     sql_spent = time.time() - start - spent
     detail = f"{len(got[1])} rows, spark {spent:.1f}s, sql {sql_spent:.1f}s"
+    types = {f.name: DUCK_TYPES[f.dataType.simpleString()] for f in df.schema.fields}
+    wanted = {row[0]: row[1] for row in con.execute(f"DESCRIBE {oracle_sql()[name]}").fetchall()}
+    if types != wanted:
+        return False, f"{detail}, types {types}, expected {wanted}"
     if got == want:
         return True, detail
     differing = [(g, w) for g, w in zip(got[1], want[1]) if g != w][:1]
