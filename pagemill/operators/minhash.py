@@ -76,23 +76,24 @@ def _byte_classes() -> np.ndarray:
     return classes
 
 
-def _pieces(bounds: np.ndarray, spaces: np.ndarray) -> Iterator[tuple[int, int]]:
+def _pieces(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cut the bytes into pieces that split no token: at the end of a text if
     possible, else at white space, else as far on as needed."""
     start, end = int(bounds[0]), int(bounds[-1])
     while start < end:
         stop = min(start + PIECE_BYTES, end)
-        if stop < end:
-            text_end = int(bounds[np.searchsorted(bounds, stop, side="right") - 1])
-            space = int(spaces[np.searchsorted(spaces, stop, side="left") - 1]) if len(spaces) else -1
-            if text_end > start:
-                stop = text_end
-            elif start < space < stop:
-                stop = space
+        text_end = int(bounds[np.searchsorted(bounds, stop, side="right") - 1])
+        if text_end > start:
+            stop = text_end
+        else:
+            next_end = int(bounds[np.searchsorted(bounds, stop)])
+            spaces = np.flatnonzero(classes[data[start + 1 : stop]] == 0)
+            if len(spaces):
+                stop = start + 1 + int(spaces[-1])
             else:
-                following = np.searchsorted(spaces, stop)
-                next_space = int(spaces[following]) if following < len(spaces) else end
-                stop = min(next_space, int(bounds[np.searchsorted(bounds, stop)]))
+                while stop < next_end and classes[data[stop]] != 0:
+                    ahead = np.flatnonzero(classes[data[stop : min(stop + PIECE_BYTES, next_end)]] == 0)
+                    stop = stop + int(ahead[0]) if len(ahead) else min(stop + PIECE_BYTES, next_end)
         yield start, stop
         start = stop
 
@@ -103,8 +104,7 @@ def _text_tokens(
     """Tokens in the bytes of texts, piece by piece: their bytes end to end, their
     lengths and the texts they are of."""
     classes = _byte_classes()
-    spaces = np.flatnonzero(classes[data[bounds[0] : bounds[-1]]] == 0) + bounds[0]
-    for start, stop in _pieces(bounds, spaces):
+    for start, stop in _pieces(data, bounds, classes):
         piece = data[start:stop]
         kind = classes[piece]
         edge = np.empty(len(kind) + 1, dtype=bool)
