@@ -110,12 +110,9 @@ def clean_completion(text: Column) -> Column:
 
 
 def usable(request: Column, response: Column) -> Column:
-    """Both texts are there and the response is no refusal; never null."""
-    return (
-        (F.coalesce(request, F.lit("")) != "")
-        & (F.coalesce(response, F.lit("")) != "")
-        & ~F.coalesce(opens_with(response, REFUSAL_OPENINGS), F.lit(False))
-    )
+    """Both texts are there and the response is no refusal. Null, which a filter
+    takes for false, if a text is missing; plain comparisons reach the scan."""
+    return (request != "") & (response != "") & ~opens_with(response, REFUSAL_OPENINGS)
 
 
 def strip_improved_lead(response: Column) -> Column:

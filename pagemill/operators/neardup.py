@@ -23,7 +23,6 @@ from pagemill.operators.minhash import (
     signature,
     text_signature,
 )
-from pagemill.operators.numbering import bounded
 from pagemill.session import MAX_BROADCAST_ROWS, materialize
 
 # Members of a bucket that one task may be given.
@@ -37,29 +36,26 @@ def shared_buckets(
     """Rows of the (row, bucket) table whose bucket has another member, with the
     bucket's least row ``lo`` and a shard number ``_shard`` of ``_shards``.
 
-    Hot buckets are split: their rows spread over shards of at most ``split``
-    members, and the bucket's side of the join is repeated once per shard, about
-    members / split times. The list of hot buckets is broadcast only within
-    MAX_BROADCAST_ROWS, which holds whenever the table has fewer than
-    split * MAX_BROADCAST_ROWS rows, and is joined by shuffle beyond.
+    Hot buckets are split: their rows spread over shards of about ``split``
+    members, and the bucket's side of the join is repeated once per shard. The
+    list of hot buckets is broadcast; it cannot exceed MAX_BROADCAST_ROWS, as
+    ``split`` is raised to that fraction of all members.
     """
     bucket = list(bucket)
-    sizes = (
-        table.groupBy(*bucket)
-        .agg(F.count("*").alias("_members"), F.min(idx).alias("lo"))
-        .filter("_members > 1")
-        .withColumn("_shards", F.ceil(F.col("_members") / split).cast("int"))
-        .drop("_members")
+    members = (
+        table.groupBy(*bucket).agg(F.count("*").alias("_members"), F.min(idx).alias("lo")).filter("_members > 1")
     )
-    sizes = materialize(sizes, "bucket_sizes")
+    members = materialize(members, "buckets")
+    total = members.agg(F.sum("_members")).first()[0] or 0
+    split = max(split, -(-total // MAX_BROADCAST_ROWS))
+    sizes = members.withColumn("_shards", F.ceil(F.col("_members") / split).cast("int")).drop("_members")
     hot = sizes.filter("_shards > 1").select(*bucket, "_shards")
-    hot_rows = hot.limit(MAX_BROADCAST_ROWS + 1).count()
-    if hot_rows:
-        sharded = table.join(bounded(hot, hot_rows), bucket, "left")
-    else:
-        sharded = table.withColumn("_shards", F.lit(1))
     shards = F.coalesce("_shards", F.lit(1))
-    sharded = sharded.withColumn("_shard", F.pmod(F.xxhash64(idx), shards).cast("int")).drop("_shards")
+    sharded = (
+        table.join(F.broadcast(hot), bucket, "left")
+        .withColumn("_shard", F.pmod(F.xxhash64(idx), shards).cast("int"))
+        .drop("_shards")
+    )
     return sharded.join(_per_shard(sizes), [*bucket, "_shard"])
 
 

@@ -81,34 +81,34 @@ class Synthesis:
             replies = generate(part, self.envelope(prompt), self.backend, **self.generate_options)
             return replies.withColumn(answer, cleaner(F.col("completion"))).drop("completion")
 
-        todo = [wave for wave in range(self.waves) if not self.store.finished(stage, wave)]
-        if todo:
-            for wave, within in enumerate(self._wave_ranges(rows)):
-                if wave in todo:
-                    self.store.write(stage, answered(rows.filter(within)), wave)
+        for wave, low, high in self._wave_ranges(stage, rows):
+            within = F.lit(True) if low is None else F.col("seq") >= low
+            if high is not None:
+                within = within & (F.col("seq") < high)
+            self.store.ensure(stage, lambda within=within: answered(rows.filter(within)), wave)
         done = succeeded(self.store.read(stage), answer).drop("wave", "attempts", "prompt_hash")
         if not self.project:
             return done
         keys = [c for c in ("seq", "category") if c in done.columns]
         return stage_projection(done, "response" if stage == "refine" else stage, keys)
 
-    def _wave_ranges(self, rows: DataFrame) -> list[Column]:
-        seq = F.col("seq")
-        if self.waves == 1:
-            return [F.lit(True)]
-        starts = position_cutoffs(
-            rows.select("seq"), "seq", lambda n: [n * wave // self.waves for wave in range(1, self.waves)]
-        )
-        bounds = [None, *starts, None]
-        ranges = []
-        for wave, (low, high) in enumerate(zip(bounds, bounds[1:])):
-            within = F.lit(wave == 0 or low is not None)
-            if low is not None:
-                within = within & (seq >= low)
-            if high is not None:
-                within = within & (seq < high)
-            ranges.append(within)
-        return ranges
+    def _wave_ranges(self, stage: str, rows: DataFrame) -> list[tuple[int, int | None, int | None]]:
+        """Number, first ``seq`` and end of each wave. Written before the first
+        wave, so that a later run goes on with the same ones, whatever its
+        ``waves``."""
+
+        def planned() -> DataFrame:
+            cutoffs = []
+            if self.waves > 1:
+                cutoffs = position_cutoffs(
+                    rows.select("seq"), "seq", lambda n: [n * w // self.waves for w in range(1, self.waves)]
+                )
+            bounds = [None, *sorted({c for c in cutoffs if c is not None}), None]
+            ranges = [(wave, *pair) for wave, pair in enumerate(zip(bounds, bounds[1:]))]
+            return self.store.spark.createDataFrame(ranges, "number int, low bigint, high bigint")
+
+        self.store.ensure(f"{stage}_waves", planned)
+        return [tuple(r) for r in self.store.read(f"{stage}_waves").drop("wave").orderBy("number").collect()]
 
     def failed(self, stage: str) -> DataFrame:
         table = self.store.read(stage)

@@ -54,3 +54,14 @@ class StageStore:
 
     def _schema_path(self, stage: str) -> str:
         return f"{self.path(stage)}.schema"
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "seq") -> DataFrame:
+    """Write a catalog table bucketed and sorted by ``key``.
+
+    Two tables with the same number of buckets join on ``key`` without a shuffle
+    or a sort: the layout for pages and for stored completions that are attached
+    to them again and again, where a shuffle would move all page text each time.
+    """
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -99,6 +99,16 @@ def test_two_hop_rule_on_random_buckets(spark, seed, keys, split):
     assert got == literal_removed(table)
 
 
+def test_hot_list_stays_within_the_broadcast_bound(spark, monkeypatch):
+    """With room for three hot buckets, shards grow until no more are hot."""
+    monkeypatch.setattr(neardup, "MAX_BROADCAST_ROWS", 3)
+    table = [(i, band, i % 7) for i in range(140) for band in range(3)]
+    df = spark.createDataFrame(table, "idx bigint, band int, key bigint")
+    edges = neardup.shared_buckets(df, "idx", ["band", "key"], 2)
+    assert edges.filter("_shards > 1").select("band", "key").distinct().count() <= 3
+    assert {r.idx for r in neardup.two_hop_removed(df, "idx", ["band", "key"], 2).collect()} == literal_removed(table)
+
+
 def test_two_hops_are_needed(spark):
     table = [(0, 0, 0), (2, 0, 0), (1, 1, 0), (2, 1, 0), (9, 2, 5)]
     df = spark.createDataFrame(table, "idx bigint, band int, key bigint")

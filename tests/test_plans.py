@@ -13,6 +13,7 @@ from pagemill.functions.messages import request_prompt
 from pagemill.operators import completions, neardup, numbering, selection
 from pagemill.operators.filters import filter_special_pattern
 from pagemill.operators.routing import route_categories
+from pagemill.sources.stages import write_bucketed
 
 
 @pytest.fixture(scope="module")
@@ -68,7 +69,9 @@ def test_prompt_reads_only_its_columns_in_one_generated_stage(pool):
 
 def test_filter_reaches_the_scan(pool):
     plan = formatted(filter_special_pattern(pool.filter("pool = 'WI'")).select("seq"))
-    assert re.search(r"PushedFilters: \[.*EqualTo\(pool,WI\)", plan)
+    pushed = re.search(r"PushedFilters: \[(.*)\]", plan)[1]
+    for part in ("EqualTo(pool,WI)", "IsNotNull(request)", "Not(EqualTo(response,))", "StringStartsWith(response,I'm sorry)"):
+        assert part in pushed
 
 
 def test_generation_runs_once_and_sends_only_the_prompt(pool):
@@ -91,3 +94,21 @@ def test_first_per_page_combines_before_the_shuffle(pool):
     plan = formatted(selection.first_per_page(keys, "s"))
     assert "partial_min(" in plan.split(") Exchange\n")[0] and "Window" not in plan
     assert shuffled_columns(plan) == {"page", "min"}
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, pool, tmp_path):
+    done = pool.filter("seq % 10 <> 9").select("seq", F.upper("request").alias("completion"))
+    pages = write_bucketed(pool, "bucketed_pages", str(tmp_path / "pages"), 4)
+    replies = write_bucketed(done, "bucketed_replies", str(tmp_path / "replies"), 4)
+    try:
+        for joined in (
+            completions.attach_completions(pages, replies, ["seq"]),
+            completions.pending_rows(pages, replies, ["seq"]),
+        ):
+            plan = formatted(joined)
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert completions.attach_completions(pages, replies, ["seq"]).filter("completion IS NULL").count() == 10
+        assert completions.pending_rows(pages, replies, ["seq"]).count() == 10
+    finally:
+        spark.sql("DROP TABLE bucketed_pages")
+        spark.sql("DROP TABLE bucketed_replies")

@@ -105,7 +105,9 @@ def test_cleaning_equals_python(spark, bodies):
 )
 def test_usable(spark, request_text, response, kept):
     df = spark.createDataFrame([(request_text, response)], "request string, response string")
-    assert df.select(text.usable(F.col("request"), F.col("response"))).first()[0] is kept
+    test = text.usable(F.col("request"), F.col("response"))
+    assert df.filter(test).count() == kept
+    assert df.select(F.when(test, 0).otherwise(1)).first()[0] == 1 - kept
 
 
 def test_values_are_not_searched_for_placeholders(spark):
