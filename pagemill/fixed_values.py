@@ -114,6 +114,12 @@ LEN_LIMITS = [50, 100, 150, 200]
 REQUEST_CATEGORIES = ["WI_all", "WI_part", "WR_all", "WR_part"]
 REFINE_CATEGORY = "WR_refine"
 
+STAGE_COLUMNS = {
+    "author": ["webpage", "author"],
+    "request": ["webpage", "author", "request"],
+    "response": ["webpage", "author", "request", "response"],
+}
+
 REFUSAL_OPENINGS = ["I'm sorry", "I apologize"]
 PREAMBLE_OPENINGS = ["Here is", "Here's"]
 IMPROVED_MARKER = "improved answer"

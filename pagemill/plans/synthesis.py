@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.fixed_values import REFINE_CATEGORY
+from pagemill.fixed_values import REFINE_CATEGORY, STAGE_COLUMNS
 from pagemill.functions.messages import stage_prompt
 from pagemill.functions.text import SECTION_METHODS, clean_completion, cut_sections
 from pagemill.operators.completions import Backend, failures, generate, succeeded
@@ -19,13 +19,6 @@ from pagemill.plans.mix import build_mix
 from pagemill.sources.records import PAGES, read_json_in_order
 from pagemill.sources.stages import StageStore
 
-# The columns each stage hands on.
-STAGE_COLUMNS = {
-    "author": ["webpage", "author"],
-    "request": ["webpage", "author", "request"],
-    "response": ["webpage", "author", "request", "response"],
-}
-
 
 def stage_projection(df: DataFrame, stage: str, keys: Sequence[str] = ("seq",)) -> DataFrame:
     return df.select(*keys, *STAGE_COLUMNS[stage])

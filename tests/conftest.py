@@ -13,6 +13,11 @@ from pagemill.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("checkpoints"))
-    session = local_session(8, "tests", **{"spark.checkpoint.dir": folder})
+    conf = {
+        "spark.checkpoint.dir": folder,
+        "spark.sql.shuffle.partitions": "4",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    session = local_session(8, "tests", **conf)
     yield session
     session.stop()
