@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagemill.fixed_values import (
@@ -14,7 +14,7 @@ from pagemill.fixed_values import (
     WR_QUOTA,
 )
 from pagemill.functions.messages import wi_messages, wr_messages
-from pagemill.operators.filters import filter_special_pattern
+from pagemill.operators.filters import filter_counts, filter_special_pattern
 from pagemill.operators.neardup import surviving_rows
 from pagemill.operators.numbering import bounded
 from pagemill.operators.selection import page_key, select_mix
@@ -22,15 +22,22 @@ from pagemill.session import materialize
 
 
 def clean_pool(
-    pairs: DataFrame, threshold: float = THRESHOLD, num_perm: int = NUM_PERM, tokens: str | None = None
+    pairs: DataFrame,
+    threshold: float = THRESHOLD,
+    num_perm: int = NUM_PERM,
+    tokens: str | None = None,
+    report: Observation | None = None,
 ) -> DataFrame:
     """``(pool, seq, page)`` of the rows left by the filter and, after it, by
     near-duplicate removal.
 
     ``pairs`` holds ``pool, seq, webpage, request, response``, ``seq`` unique and
     in list order. One scan of the texts turns each row into hashes. ``tokens``
-    names a column with token sets from a tokenizer of your own.
+    names a column with token sets from a tokenizer of your own. ``report``
+    receives the filter's counts per pool.
     """
+    if report is not None:
+        pairs = pairs.observe(report, *filter_counts())
     usable = filter_special_pattern(pairs).withColumn("page", page_key(F.col("webpage")))
     token_column = None if tokens is None else F.col(tokens)
     return materialize(surviving_rows(usable, token_column, ["page"], threshold, num_perm), "survivors")
@@ -70,9 +77,10 @@ def build_mix(
     threshold: float = THRESHOLD,
     num_perm: int = NUM_PERM,
     tokens: str | None = None,
+    report: Observation | None = None,
     seed: str = "",
 ) -> DataFrame:
     """Filter, remove near-duplicates, draw the mix, assemble and number."""
-    survivors = clean_pool(pairs, threshold, num_perm, tokens)
+    survivors = clean_pool(pairs, threshold, num_perm, tokens, report)
     wi, wr = select_mix(survivors, wi_quota, wr_quota, seed)
     return assemble(pairs, number_mix(wi, wr, save_num), wi_quota + wr_quota, seed)

@@ -3,11 +3,12 @@ from __future__ import annotations
 import hashlib
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pagemill import fixtures
 from pagemill.operators import selection
-from pagemill.operators.filters import filter_special_pattern
+from pagemill.operators.filters import filter_report, filter_special_pattern
 from pagemill.plans.mix import build_mix, number_mix
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -61,23 +62,30 @@ def test_final_pages_never_overlap(spark):
     assert len(set(wr_pages)) == len(wr_pages) == 20 and not wi_pages & set(wr_pages)
 
 
+@pytest.fixture(scope="module")
+def whole(spark):
+    return build_mix(fixtures.pairs(spark, SF_DIR), 40, 20).orderBy("number").collect()
+
+
 @pytest.mark.parametrize("partitions", [1, 4, 64])
-def test_mix_does_not_depend_on_partitions(spark, partitions):
+def test_mix_does_not_depend_on_partitions(spark, whole, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    want = build_mix(fixtures.pairs(spark, SF_DIR), 40, 20).orderBy("number").collect()
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         pairs = fixtures.pairs(spark, SF_DIR).repartition(partitions)
-        assert build_mix(pairs, 40, 20).orderBy("number").collect() == want
+        assert build_mix(pairs, 40, 20).orderBy("number").collect() == whole
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert [r.prompt_id for r in want] == [f"web_data_{i}" for i in range(60)]
+    assert [r.prompt_id for r in whole] == [f"web_data_{i}" for i in range(60)]
 
 
-def test_save_num_cuts_the_last_rows(spark):
-    pairs = fixtures.pairs(spark, SF_DIR)
-    whole = build_mix(pairs, 40, 20).orderBy("number").collect()
-    assert build_mix(pairs, 40, 20, save_num=45).orderBy("number").collect() == whole[:45]
+def test_save_num_cuts_the_last_rows_and_counts_are_reported(spark, whole):
+    pairs, report = fixtures.pairs(spark, SF_DIR), Observation()
+    assert build_mix(pairs, 40, 20, save_num=45, report=report).orderBy("number").collect() == whole[:45]
+    want = {}
+    for row in filter_report(pairs).collect():
+        want |= {f"{row.pool}_total": row.total, f"{row.pool}_deleted": row.deleted}
+    assert report.get == want
 
 
 def test_mix_without_wi_rows_is_numbered_from_zero(spark):
