@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagemill.fixed_values import NUM_PERM, THRESHOLD
 from pagemill.operators.minhash import (
@@ -86,9 +87,12 @@ def two_hop_removed(table: DataFrame, idx: str, bucket: Sequence[str], split: in
     """
     bucket = list(bucket)
     edges = materialize(shared_buckets(table, idx, bucket, split), "edges")
-    by_row = edges.groupBy(idx).agg(F.min("lo").alias("_m1"))
-    by_bucket = edges.join(by_row, idx).groupBy(*bucket).agg(
-        F.min("_m1").alias("_m2"), F.max("_shards").alias("_shards")
+    # A row is in one bucket per band, so this window holds a handful of rows.
+    row_least = F.min("lo").over(Window.partitionBy(idx))
+    by_bucket = (
+        edges.withColumn("_m1", row_least)
+        .groupBy(*bucket)
+        .agg(F.min("_m1").alias("_m2"), F.max("_shards").alias("_shards"))
     )
     return (
         edges.drop("_shards")
