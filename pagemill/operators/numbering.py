@@ -12,6 +12,7 @@ Three forms, from cheap to general:
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,34 +62,34 @@ def position_cutoffs(
 
     Counts keys in at most FAN_OUT equal ranges and looks again inside the range
     that holds the position: at most six passes for 64-bit keys of any
-    distribution, usually two. A pass reads the key column and returns counts.
+    distribution, usually two, of which the first serves all positions. A pass
+    reads the key column and returns counts.
     """
     low, high, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    found: list[int | None] = []
-    for position in positions(rows):
-        lo, hi, rest = low, high, position
+
+    @cache
+    def counted(lo: int, hi: int) -> tuple[int, list[tuple[int, int]]]:
+        """Width of the ranges, and (range, rows) in order: FAN_OUT + 1 at most."""
+        width = -(-(hi - lo + 1) // FAN_OUT)
+        # Floor division that cannot overflow: ranges start at multiples of the width.
+        bucket = F.expr(f"{key} div {width} - int({key} % {width} < 0)").alias("bucket")
+        counts = df.filter(F.col(key).between(lo, hi)).groupBy(bucket).agg(F.count("*").alias("rows"))
+        return width, sorted((r.bucket, r.rows) for r in counts.collect())
+
+    def key_at(position: int) -> int | None:
         if not 0 <= position < rows:
-            found.append(None)
-            continue
+            return None
+        lo, hi, rest = low, high, position
         while lo < hi:
-            width = -(-(hi - lo + 1) // FAN_OUT)
-            # Floor division that cannot overflow: ranges start at multiples of the width.
-            bucket = F.expr(f"{key} div {width} - int({key} % {width} < 0)")
-            counts = (
-                df.filter(F.col(key).between(lo, hi))
-                .groupBy(bucket.alias("bucket"))
-                .count()
-                .orderBy("bucket")
-                .collect()  # at most FAN_OUT + 1 counts
-            )
-            for row in counts:
-                if rest < row["count"]:
-                    start = row["bucket"] * width
-                    lo, hi = max(lo, start), min(hi, start + width - 1)
+            width, counts = counted(lo, hi)
+            for bucket, held in counts:
+                if rest < held:
+                    lo, hi = max(lo, bucket * width), min(hi, (bucket + 1) * width - 1)
                     break
-                rest -= row["count"]
-        found.append(lo)
-    return found
+                rest -= held
+        return lo
+
+    return [key_at(position) for position in positions(rows)]
 
 
 def first_by_draw(

@@ -28,7 +28,8 @@ class StageStore:
     def write(self, stage: str, df: DataFrame, wave: int = 0) -> None:
         """Write one wave, a disjoint part of the rows, of a stage."""
         # A partitioned table without rows has no file to take a schema from.
-        df.limit(0).write.mode("overwrite").parquet(self._schema_path(stage))
+        if not self._exists(f"{self._schema_path(stage)}/_SUCCESS"):
+            df.limit(0).write.mode("overwrite").parquet(self._schema_path(stage))
         writer = df.write.mode("overwrite")  # of an unfinished earlier attempt
         if "category" in df.columns:
             writer = writer.partitionBy("category")
@@ -40,9 +41,12 @@ class StageStore:
 
     def finished(self, stage: str, wave: int = 0) -> bool:
         """Whether a wave was written to its end (its success marker is there)."""
+        return self._exists(f"{self._wave_path(stage, wave)}/_SUCCESS")
+
+    def _exists(self, path: str) -> bool:
         sc = self.spark.sparkContext
-        marker = sc._jvm.org.apache.hadoop.fs.Path(f"{self._wave_path(stage, wave)}/_SUCCESS")
-        return marker.getFileSystem(sc._jsc.hadoopConfiguration()).exists(marker)
+        file = sc._jvm.org.apache.hadoop.fs.Path(path)
+        return file.getFileSystem(sc._jsc.hadoopConfiguration()).exists(file)
 
     def ensure(self, stage: str, build: Callable[[], DataFrame], wave: int = 0) -> None:
         """Write a wave, unless an earlier run has finished it."""
