@@ -24,7 +24,9 @@ from pagemill.fixed_values import BEGIN_OF_TEXT, NUM_PERM
 
 PRIME = 2**31 - 1
 BASE = 911_382_323
-PIECE_BYTES = 1 << 18  # text bytes worked on at a time: arrays stay in cache
+# Text bytes and permutations worked on at a time, for arrays that stay in cache.
+PIECE_BYTES = 1 << 17
+PERMUTATIONS_AT_ONCE = 4
 
 
 def permutations(num_perm: int = NUM_PERM) -> tuple[np.ndarray, np.ndarray]:
@@ -166,17 +168,20 @@ def _take_minima(out: np.ndarray, owner: np.ndarray, h: np.ndarray, a: np.ndarra
     owner, h = pairs >> 31, pairs & PRIME
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     rows = owner[first]
-    value, high = np.empty_like(h), np.empty_like(h)
-    folded, reduced = np.empty(len(h), dtype=np.uint32), np.empty(len(h), dtype=np.uint32)
-    for k in range(len(a)):
-        np.multiply(h, a[k], out=value)
-        value += b[k]
-        np.right_shift(value, 31, out=high)
-        value &= PRIME
-        np.add(value, high, out=folded, casting="unsafe")
-        np.subtract(folded, np.uint32(PRIME), out=reduced)
-        np.minimum(folded, reduced, out=reduced)
-        out[k, rows] = np.minimum(out[k, rows], np.minimum.reduceat(reduced, first))
+    shape = (PERMUTATIONS_AT_ONCE, len(h))
+    value, high = np.empty(shape, dtype=np.int64), np.empty(shape, dtype=np.int64)
+    folded, reduced = np.empty(shape, dtype=np.uint32), np.empty(shape, dtype=np.uint32)
+    for start in range(0, len(a), PERMUTATIONS_AT_ONCE):
+        ks = slice(start, min(start + PERMUTATIONS_AT_ONCE, len(a)))
+        v, t, f, r = (x[: ks.stop - start] for x in (value, high, folded, reduced))
+        np.multiply(h, a[ks, None], out=v)
+        v += b[ks, None]
+        np.right_shift(v, 31, out=t)
+        v &= PRIME
+        np.add(v, t, out=f, casting="unsafe")
+        np.subtract(f, np.uint32(PRIME), out=r)
+        np.minimum(f, r, out=r)
+        out[ks, rows] = np.minimum(out[ks, rows], np.minimum.reduceat(r, first, axis=1))
 
 
 def _as_lists(out: np.ndarray) -> pa.Array:
