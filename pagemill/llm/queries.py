@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.packing import pack_documents
+from pagemill.llm.quality_rules import STATS, score_documents
+from pagemill.llm.sharding import shard_documents
 from pagemill.llm.token_count import token_count
 
 QUERIES = {}
@@ -37,3 +39,26 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of at most 1024 tokens."""
     docs = table(spark, sf_dir, "documents")
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query
+def op8_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text_crc32", F.coalesce(F.crc32("text"), F.lit(0).cast("long")))
+    return shard_documents(docs, 40).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict of the rules."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs).select("doc_id", *STATS, "base_failed", "kept", "rejected_by")
