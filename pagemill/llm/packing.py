@@ -40,7 +40,7 @@ from pagemill.session import materialize
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pieces of one length that are ranked in one sort.
-RANK_GROUP = 20_000
+RANK_GROUP = 2_000
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.packing import pack_documents
 from pagemill.llm.quality_rules import STATS, score_documents
+from pagemill.llm.secret_scan import KINDS, scan_documents, spans_text
 from pagemill.llm.sharding import shard_documents
 from pagemill.llm.token_count import token_count
 
@@ -62,3 +63,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and the verdict of the rules."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_documents(docs).select("doc_id", *STATS, "base_failed", "kept", "rejected_by")
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    scanned = scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return scanned.select(
+        "doc_id",
+        *[count(kind.name) for kind in KINDS],
+        F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"),
+        spans_text(F.col("secret_spans")).alias("spans"),
+    )
