@@ -101,7 +101,7 @@ def _upper_share(stats: dict[str, Column], text: Column) -> Column:
 
 
 def _line_share(stats: dict[str, Column], text: Column) -> Column:
-    return stats["n_dup_lines"] * 10 > F.size(_lines(text)) * 3
+    return stats["n_dup_lines"] * 2 > F.size(_lines(text))
 
 
 BASE_RULES = (

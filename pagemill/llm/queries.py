@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.decontaminate import overlap_report
 from pagemill.llm.packing import pack_documents
 from pagemill.llm.quality_rules import STATS, score_documents
 from pagemill.llm.secret_scan import KINDS, scan_documents, spans_text
@@ -79,3 +80,17 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"),
         spans_text(F.col("secret_spans")).alias("spans"),
     )
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in windows of benchmark items."""
+    report = overlap_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return report.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
