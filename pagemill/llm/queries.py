@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.decontaminate import overlap_report
+from pagemill.llm.hyperminhash import link_components
 from pagemill.llm.packing import pack_documents
 from pagemill.llm.quality_rules import STATS, score_documents
 from pagemill.llm.secret_scan import KINDS, scan_documents, spans_text
@@ -94,3 +95,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return link_components(table(spark, sf_dir, "documents"))
