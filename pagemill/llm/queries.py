@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.decontaminate import overlap_report
 from pagemill.llm.hyperminhash import link_components
+from pagemill.llm.language_id import identify
 from pagemill.llm.packing import pack_documents
 from pagemill.llm.quality_rules import STATS, score_documents
 from pagemill.llm.secret_scan import KINDS, scan_documents, spans_text
@@ -101,3 +102,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return link_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = docs.withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    training = docs.where(~F.col("held_out"))
+    found = identify(docs.select("doc_id", "text", "held_out"), training)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
