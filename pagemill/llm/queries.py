@@ -13,6 +13,7 @@ from pagemill.llm.packing import pack_documents
 from pagemill.llm.quality_rules import STATS, score_documents
 from pagemill.llm.secret_scan import KINDS, scan_documents, spans_text
 from pagemill.llm.sharding import shard_documents
+from pagemill.llm.suffix_dedup import remove_repeats
 from pagemill.llm.token_count import token_count
 
 QUERIES = {}
@@ -113,3 +114,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = docs.where(~F.col("held_out"))
     found = identify(docs.select("doc_id", "text", "held_out"), training)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses if strings of 200 bytes that start elsewhere too go."""
+    removed = remove_repeats(table(spark, sf_dir, "documents"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return removed.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256")
