@@ -384,8 +384,20 @@ def link_components(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, one per id."""
-    dropped = link_components(docs, percent, id_column, text_column).where(~F.col("kept")).select(id_column)
-    dropped = materialize(dropped.select(F.col(id_column).alias("_dropped")).distinct(), "near-duplicates")
-    kept = docs.join(dropped, docs[id_column].eqNullSafe(dropped["_dropped"]), "left_anti")
-    return kept
+    """The rows of ``docs`` that are the smallest id of their component; of rows that repeat
+    an id, one.
+
+    Ids to drop, and ids that repeat, are written first, so that their real size decides
+    how they are joined: texts are shuffled only if the ids are too many to broadcast.
+    """
+    verdict = materialize(link_components(docs, percent, id_column, text_column).select(id_column, "kept"), "verdict")
+    dropped = verdict.where(~F.col("kept")).select(F.col(id_column).alias("_id")).distinct()
+    dropped = materialize(dropped, "near-duplicates")
+    kept = docs.join(dropped, docs[id_column].eqNullSafe(dropped["_id"]), "left_anti")
+    twice = verdict.where("kept").groupBy(F.col(id_column).alias("_id")).count().where("count > 1").select("_id")
+    twice = materialize(twice, "repeated-ids")
+    if not twice.limit(1).count():
+        return kept
+    once = kept.join(twice, kept[id_column].eqNullSafe(twice["_id"]), "left_anti")
+    again = kept.join(twice, kept[id_column].eqNullSafe(twice["_id"]), "left_semi")
+    return once.unionByName(again.dropDuplicates([id_column]))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.chat_format import link_tool_calls
 from pagemill.llm.decontaminate import overlap_report
 from pagemill.llm.hyperminhash import link_components
 from pagemill.llm.language_id import identify
@@ -122,3 +123,28 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = remove_repeats(table(spark, sf_dir, "documents"))
     n_spans = F.size("spans").cast("long").alias("n_spans")
     return removed.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256")
+
+
+@query
+def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn of ``conversations`` as a call that the next turn of the assistant
+    answers; all calls but a conversation's first need the first one."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    call_id = lambda turn: F.concat_ws("-", F.lit("call"), "conv_id", turn)
+    users = turns.where("role = 'user'")
+    opening = users.groupBy("conv_id").agg(F.min("turn").alias("opening"))
+    calls = users.join(opening, "conv_id").select(
+        "conv_id",
+        call_id(F.col("turn")).alias("call_id"),
+        "turn",
+        F.lit("reply").alias("name"),
+        F.to_json(F.struct("turn", F.col("text").alias("prompt"))).alias("arguments"),
+        F.when(F.col("turn") > F.col("opening"), F.array(call_id(F.col("opening"))))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("needs"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content")
+    )
+    schemas = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
+    return link_tool_calls(calls, results, schemas)
