@@ -1,8 +1,73 @@
-"""Documents through the stages of a training corpus, each written before the next."""
+"""Documents through the stages of a training corpus, each written before the next.
 
-STAGES = []
+Every stage takes all that the one before it kept. Rejected, near-duplicate and
+contaminated documents go; secrets are cut out of the texts that stay; the rest is packed
+into sequences. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.llm.decontaminate import drop_contaminated
+from pagemill.llm.hyperminhash import drop_near_duplicates
+from pagemill.llm.packing import pack_documents
+from pagemill.llm.quality_rules import filter_documents
+from pagemill.llm.secret_scan import redact, scan_documents
+from pagemill.session import materialize
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that no quality rule rejects."""
+    return filter_documents(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    return drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that share no ten words in a row with a benchmark item."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret, and ``n_chars`` as it is then."""
+    scanned = scan_documents(docs)
+    found = F.size("secret_spans") > 0
+    text = F.when(found, redact(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text"))
+    scanned = scanned.withColumn("text", text)
+    n_chars = F.when(found, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return scanned.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of at most 1024 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+
+# Token ids cannot be had in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
