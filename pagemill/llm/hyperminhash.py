@@ -16,8 +16,9 @@ Texts of equal sets are one node, named by their smallest id. Nodes first meet
 the smallest node of their buckets. What is linked is one component and is
 compared no more. In buckets that still hold several components, the nodes outside the
 largest meet all others, block by block and inside the tasks; only each node's best
-few untested partners leave, and more in each round until none is left. So a hot bucket
-costs no list of its pairs, and still no link between components is lost.
+few partners leave. Buckets that hide further ones give more of them in another round,
+until none is hidden. So a hot bucket costs no list of its pairs, and still no link
+between components is lost.
 
 Shingles are 64-bit hashes throughout. Null and empty texts and texts without
 words have no set and are linked with nothing. Repeated rows are copies. Rows of one id but
@@ -49,7 +50,7 @@ EMPTY = np.uint16(0xFFFF)
 # Members of a bucket that are compared in one block.
 BLOCK = 2048
 # Partners of a node that leave a block in the first round, and how fast that grows.
-PARTNERS, GROWTH = 2, 8
+PARTNERS, GROWTH = 16, 16
 
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _FACTORS = np.array(
@@ -271,7 +272,7 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     node_type = alive.schema["node"].dataType
     schema = T.StructType([T.StructField("a", node_type), T.StructField("b", node_type)])
-    schema.add("more", T.BooleanType())
+    schema.add("key", T.LongType()).add("more", T.BooleanType())
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("node")
@@ -295,7 +296,9 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
                 left.append(i)
                 right.append(j)
                 more.append(rest)
-        return pa.table({"a": ids.take(pa.array(left, pa.int64())), "b": ids.take(pa.array(right, pa.int64())), "more": pa.array(more, pa.bool_())})
+        left, right = pa.array(left, pa.int64()), pa.array(right, pa.int64())
+        key = table.column("key").take(left)
+        return pa.table({"a": ids.take(left), "b": ids.take(right), "key": key, "more": pa.array(more, pa.bool_())})
 
     def compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A piece of work may reach over batches: its rows wait until its last has come.
@@ -320,7 +323,7 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
     columns = [*work, "block", "node", "component", "registers", "n_shingles"]
     sorted_rows = dealt.select(*columns).repartition(*work).sortWithinPartitions(*work, "block", "node")
     found = sorted_rows.mapInArrow(compare_all, schema)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key", "more")
 
 
 # --- the whole --------------------------------------------------------------------------
@@ -351,9 +354,9 @@ def link_components(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     pairs = _estimated(first.select("a", F.col("node").alias("b")), nodes, threshold)
     tested = materialize(_confirmed(pairs, sets, percent), "tested")
     labels = connected(tested.where("linked"))
-    partners = PARTNERS
+    rest, partners = buckets, PARTNERS
     while True:
-        named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         alive = named.join(several.where("low <> high").select("key"), "key")
         alive = alive.select("key", "members", "node", "component").join(nodes, "node")
@@ -361,15 +364,13 @@ def link_components(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
         fresh = found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         added = materialize(_confirmed(fresh, sets, percent), "tested")
         tested = tested.unionByName(added)
-        counts = added.agg(F.count("*").alias("new"), F.count_if("linked").alias("linked")).first()
-        if counts["linked"]:
+        if added.where("linked").limit(1).count():
             labels = connected(tested.where("linked"))
-        elif not counts["new"]:
-            # Nothing untested is left, unless a node's tested partners hid others.
-            if not found.where("more").limit(1).count():
-                break
-        if not counts["linked"]:
-            partners *= GROWTH
+        # Where every partner has left, all links between components are tested.
+        hidden = found.where("more").select("key").distinct()
+        if not hidden.limit(1).count():
+            break
+        rest, partners = rest.join(hidden, "key", "left_semi"), partners * GROWTH
 
     labelled = classes.join(labels, "node", "left")
     labelled = labelled.select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
