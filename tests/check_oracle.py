@@ -14,7 +14,7 @@ sys.path.insert(0, str(ROOT))
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from pagemill.session import local_session  # noqa: E402
 
-TABLES = "documents conversations".split()
+TABLES = "documents conversations benchmark".split()
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -31,7 +31,7 @@ def normalized(frame) -> tuple[list[str], list[tuple]]:
     return columns, sorted(rows, key=repr)
 
 
-DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
@@ -57,7 +57,7 @@ def main() -> None:
     sf_dir = f"/root/testdata/sf{sf}"
     spark, con = local_session(8), connect(sf_dir)
     failed = 0
-    for name in names or queries():
+    for name in names or oracle_sql():
         try:
             ok, detail = compare(spark, con, sf_dir, name)
         except Exception as error:  # noqa: BLE001 - go on to the next query

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from pagemill.oracle import ORACLE
+from pagemill.registry import QUERIES
 from tests.check_oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -16,14 +18,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
 
 
 def test_names():
-    assert not [n for n in queries() if "pipeline" in n or n.startswith("op")]
+    assert not [n for n in QUERIES if "pipeline" in n or n.startswith("op")]
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
     ok, detail = compare(spark, con, SF_DIR, name)
     assert ok, detail
