@@ -67,7 +67,7 @@ def op8_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and the verdict of the rules."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_documents(docs).select("doc_id", *STATS, "base_failed", "kept", "rejected_by")
+    return score_documents(docs).select("doc_id", *STATS, "base_failed", "kept")
 
 
 @query
