@@ -1,16 +1,17 @@
 """Near-duplicate texts by HyperMinHash.
 
-A text is the set of its 5-word shingles. Its sketch has 256 registers: a shingle's hash
-picks one, and of the least remaining hash in it the register keeps the number of leading
-zeros and the 10 bits behind the first one, 16 bits in place of 64. Bands of 5
-neighbouring registers are the keys by which texts meet; an empty register takes the value of
-the next filled one for that. A pair that meets is estimated from its registers, with the
-share that agrees by chance taken off, and what may reach the threshold is
-confirmed on the full sets.
+A text is the set of its 5-word shingles. In its sketch a shingle's hash picks a register,
+and of the least remaining hash in it the register keeps the number of leading zeros and
+the 10 bits behind the first one, 16 bits in place of 64. Bands of 5 neighbouring registers
+of 256 are the keys by which texts meet; an empty register takes the value of the next
+filled one for that. Of a finer sketch of 512 registers a text keeps four bits each, 0 for empty.
+A pair that meets is estimated from those, with the share that agrees by chance taken off,
+and what may reach the threshold is confirmed on the full sets.
 
 At a similarity of exactly 0.75 two large texts meet in none of the 51 bands with a
 probability of 1e-6, above that with less. An estimate is let pass down to five standard
-deviations below the threshold.
+deviations below the threshold; for sets of fewer shingles than registers they are small,
+as hardly two shingles share one.
 
 Texts of equal sets are one node, named by their smallest id. Nodes first meet
 the smallest node of their buckets. What is linked is one component and is
@@ -47,10 +48,14 @@ MANTISSA_BITS = 10
 BAND = 5
 BANDS = REGISTERS // BAND
 EMPTY = np.uint16(0xFFFF)
+# Registers that pairs are estimated from, and the values of a filled one: four bits each.
+FINE_REGISTERS = 512
+VALUES = 15
+_ZERO_HALVES = np.array([(v & 15 == 0) + (v >> 4 == 0) for v in range(256)], dtype=np.uint8)
 # Members of a bucket that are compared in one block.
 BLOCK = 2048
 # Partners of a node that leave a block in the first round, and how fast that grows.
-PARTNERS, GROWTH = 16, 16
+PARTNERS, GROWTH = 64, 16
 
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _FACTORS = np.array(
@@ -79,12 +84,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Registers of a sorted set of hashes."""
-    out = np.full(REGISTERS, EMPTY, dtype=np.uint16)
-    bucket = (hashes >> np.uint64(56)).astype(np.int64)
+def sketch(hashes: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """Registers (a power of two) of a sorted set of hashes."""
+    bits = np.uint64(registers.bit_length() - 1)
+    out = np.full(registers, EMPTY, dtype=np.uint16)
+    bucket = (hashes >> (np.uint64(64) - bits)).astype(np.int64)
     first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    rest = (hashes[first] >> np.uint64(4) & np.uint64((1 << 52) - 1)).astype(np.float64)
+    rest = (hashes[first] << bits >> np.uint64(12)).astype(np.float64)
     fraction, exponent = np.frexp(rest)
     zeros = np.where(rest > 0, 52 - exponent, 52)
     mantissa = np.where(rest > 0, (fraction * 2 - 1) * (1 << MANTISSA_BITS), 0).astype(np.int64)
@@ -92,6 +98,14 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def fine_codes(hashes: np.ndarray) -> np.ndarray:
+    """Four bits of each fine register, two registers a byte."""
+    registers = sketch(hashes, FINE_REGISTERS)
+    value = (_mix(registers.astype(np.uint64)) >> np.uint64(32)) % np.uint64(VALUES) + np.uint64(1)
+    code = np.where(registers == EMPTY, 0, value).astype(np.uint8)
+    return code[::2] << 4 | code[1::2]
+
+
 def _filled(registers: np.ndarray) -> np.ndarray:
     """Rows of registers with the empty ones filled from the next filled one on the right,
     around the end, and how far that is."""
@@ -115,67 +129,63 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 def may_reach(
     a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarities of rows of registers, and whether it may be at least the
+    """Estimated similarities of rows of fine codes, and whether it may be at least the
     threshold: the estimate less than five deviations below, the sizes not too far apart."""
-    filled = (a != EMPTY) | (b != EMPTY)
-    used = np.maximum(filled.sum(axis=1), 1)
-    agree = ((a == b) & filled).sum(axis=1)
-    ratio = size_a / np.maximum(size_b, 1)
-    # Registers that agree by chance, for two sets of these sizes.
-    chance = 0.1699 / (1 << MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
-    estimate = (agree / used - chance) / (1 - chance)
-    floor = threshold - 5 * np.sqrt(threshold * (1 - threshold) / used)
+    neither = _ZERO_HALVES[a | b].sum(axis=1, dtype=np.int64)
+    used = np.maximum(FINE_REGISTERS - neither, 1)
+    agree = _ZERO_HALVES[a ^ b].sum(axis=1, dtype=np.int64) - neither
+    filled_a = FINE_REGISTERS - _ZERO_HALVES[a].sum(axis=1, dtype=np.int64)
+    filled_b = FINE_REGISTERS - _ZERO_HALVES[b].sum(axis=1, dtype=np.int64)
+    chance = 1 / VALUES
+    estimate = (agree - chance * (filled_a + filled_b - used)) / (used * (1 - chance))
+    # At the threshold: registers drawn of the union without repetition, and chance.
+    union = (size_a + size_b) / (1 + threshold)
+    variance = threshold * np.maximum(1 / used - 1 / np.maximum(union, 1), 0) + chance / used
+    floor = threshold - 5 * np.sqrt((1 - threshold) * variance)
     near = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b)
     return estimate, near & (estimate >= floor)
 
 
 def _rows(column: pa.Array) -> np.ndarray:
-    """Registers of a batch, from a column of binaries."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), REGISTERS)
+    """Fine codes of a batch, from a column of binaries."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), FINE_REGISTERS // 2)
 
 
 # --- in tasks ---------------------------------------------------------------------------
 
 
 def sketch_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id``, ``n_shingles``, two 64-bit digests of the set and the ``registers``."""
+    """``id``, ``n_shingles``, two 64-bit digests of the set, its band ``keys`` and its fine ``codes``."""
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType)])
     schema.add("n_shingles", T.LongType()).add("d1", T.LongType()).add("d2", T.LongType())
-    schema.add("registers", T.BinaryType())
+    schema.add("keys", T.ArrayType(T.LongType())).add("codes", T.BinaryType())
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, registers = [], [], [], []
+            n, d1, d2, registers, codes = [], [], [], [], []
             for text in batch.column("text"):
                 hashes = shingles(text.as_py())
                 n.append(len(hashes))
                 d1.append(hashes.sum(dtype=np.uint64))
                 d2.append(_mix(hashes ^ _FACTORS[0]).sum(dtype=np.uint64))
-                registers.append(sketch(hashes).tobytes())
+                registers.append(sketch(hashes))
+                codes.append(fine_codes(hashes).tobytes())
+            keys = band_keys(np.array(registers, dtype=np.uint16).reshape(-1, REGISTERS)).ravel()
+            bounds = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": batch.column("id"),
                     "n_shingles": pa.array(n, pa.int64()),
                     "d1": pa.array(np.array(d1, dtype=np.uint64).view(np.int64)),
                     "d2": pa.array(np.array(d2, dtype=np.uint64).view(np.int64)),
-                    "registers": pa.array(registers, pa.binary()),
+                    "keys": pa.ListArray.from_arrays(bounds, pa.array(keys)),
+                    "codes": pa.array(codes, pa.binary()),
                 }
             )
 
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(compute, schema)
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
-    """One row (key, node) per band."""
-
-    @F.arrow_udf("array<bigint>")
-    def keys(registers: pa.Array) -> pa.Array:
-        flat = band_keys(_rows(registers)).ravel()
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(registers) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-
-    return nodes.select(F.explode_outer(keys("registers")).alias("key"), "node")
-
-
 def _shingle_sets(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``node`` and its sorted hashes as bytes."""
 
@@ -194,8 +204,8 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
         _, good = may_reach(_rows(ra), _rows(rb), na.to_numpy(), nb.to_numpy(), threshold)
         return pa.array(good)
 
-    one = nodes.select(F.col("node").alias("a"), F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
-    two = nodes.select(F.col("node").alias("b"), F.col("registers").alias("rb"), F.col("n_shingles").alias("nb"))
+    one = nodes.select(F.col("node").alias("a"), F.col("codes").alias("ra"), F.col("n_shingles").alias("na"))
+    two = nodes.select(F.col("node").alias("b"), F.col("codes").alias("rb"), F.col("n_shingles").alias("nb"))
     joined = pairs.join(one, "a").join(two, "b")
     return joined.where(passes("ra", "rb", "na", "nb")).select("a", "b")
 
@@ -221,7 +231,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _block_pairs(
     component: np.ndarray,
-    registers: np.ndarray,
+    codes: np.ndarray,
     sizes: np.ndarray,
     threshold: float,
     partners: int,
@@ -242,7 +252,7 @@ def _block_pairs(
         other = other[component[lo:hi] != component[i]]
         if not len(other):
             return
-        estimate, good = may_reach(registers[other], registers[i][None, :], sizes[other], sizes[i], threshold)
+        estimate, good = may_reach(codes[other], codes[i][None, :], sizes[other], sizes[i], threshold)
         other, estimate = other[good], estimate[good]
         order = np.argsort(-estimate, kind="stable")
         for j in other[order[:partners]]:
@@ -261,7 +271,7 @@ def _block_pairs(
 def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame:
     """Best partners across components in buckets that hold several.
 
-    ``alive`` has key, members, node, component, registers and n_shingles. A bucket of
+    ``alive`` has key, members, node, component, codes and n_shingles. A bucket of
     more than ``BLOCK`` members is dealt to blocks, and each pair of blocks is one
     piece of work.
     """
@@ -277,7 +287,7 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("node")
         component = table.column("component").to_numpy()
-        registers = _rows(table.column("registers").combine_chunks())
+        codes = _rows(table.column("codes").combine_chunks())
         sizes = table.column("n_shingles").to_numpy()
         block = table.column("block").to_numpy()
         group = np.stack([table.column(c).to_numpy() for c in ("key", "low", "high")])
@@ -292,7 +302,7 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
                 continue
             else:
                 spans = [(start, middle), (middle, stop)]
-            for i, j, rest in _block_pairs(component, registers, sizes, threshold, partners, spans):
+            for i, j, rest in _block_pairs(component, codes, sizes, threshold, partners, spans):
                 left.append(i)
                 right.append(j)
                 more.append(rest)
@@ -320,7 +330,7 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
             yield from compare(pa.Table.from_batches(waiting)).to_batches()
 
     work = ["key", "low", "high"]
-    columns = [*work, "block", "node", "component", "registers", "n_shingles"]
+    columns = [*work, "block", "node", "component", "codes", "n_shingles"]
     sorted_rows = dealt.select(*columns).repartition(*work).sortWithinPartitions(*work, "block", "node")
     found = sorted_rows.mapInArrow(compare_all, schema)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key", "more")
@@ -341,7 +351,8 @@ def link_components(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
     nodes = filled.withColumnRenamed("id", "node").join(classes, ["node", "n_shingles", "d1", "d2"], "left_semi")
     nodes = materialize(nodes.dropDuplicates(["node", "n_shingles", "d1", "d2"]).drop("d1", "d2"), "nodes")
 
-    bands = _bands(nodes)
+    bands = nodes.select(F.explode_outer("keys").alias("key"), "node")
+    compact = nodes.select("node", "n_shingles", "codes")
     shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least"), F.max("node").alias("most"))
     shared = shared.where("least <> most")
     buckets = materialize(bands.join(shared.select("key", "members", "least"), "key"), "buckets")
@@ -351,7 +362,7 @@ def link_components(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
 
     # Each node and the smallest that it meets.
     first = buckets.where("node <> least").groupBy("node").agg(F.min("least").alias("a"))
-    pairs = _estimated(first.select("a", F.col("node").alias("b")), nodes, threshold)
+    pairs = _estimated(first.select("a", F.col("node").alias("b")), compact, threshold)
     tested = materialize(_confirmed(pairs, sets, percent), "tested")
     labels = connected(tested.where("linked"))
     rest, partners = buckets, PARTNERS
@@ -359,7 +370,7 @@ def link_components(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
         named = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         alive = named.join(several.where("low <> high").select("key"), "key")
-        alive = alive.select("key", "members", "node", "component").join(nodes, "node")
+        alive = alive.select("key", "members", "node", "component").join(compact, "node")
         found = materialize(_cross_pairs(alive, threshold, partners), "found")
         fresh = found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         added = materialize(_confirmed(fresh, sets, percent), "tested")

@@ -173,7 +173,7 @@ def cut_documents(
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType)])
     schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
-        schema.add("ids", "array<int>")
+        schema.add("ids", T.ArrayType(T.IntegerType()))
     end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
