@@ -140,4 +140,5 @@ RETRY_WAIT_SECONDS = (1, 30)
 # --- fixed sampling options of the two model backends ---------------------------
 
 API_OPTIONS = {"temperature": 1.0}
-BATCH_MODEL_OPTIONS = {"n": 1, "temperature": 0.6, "top_p": 0.9, "max_tokens": 4096}
+# The model's own end token is added to the stop tokens by the backend that knows it.
+BATCH_MODEL_OPTIONS = {"n": 1, "temperature": 0.6, "top_p": 0.9, "max_tokens": 4096, "stop": ["<|eot_id|>"]}

@@ -18,35 +18,42 @@ KEYS = ("seq", "stage", "category")
 Backend = Callable[..., list[str | None]]
 
 
+def _call_halving(backend: Backend, prompts: list[str]) -> list[str | None]:
+    """Answers of one attempt. A call that raises is made again for each half, so that a
+    bad prompt takes no other with it and costs few calls."""
+    try:
+        replies = backend(prompts)
+        if len(replies) != len(prompts):
+            raise ValueError(f"backend gave {len(replies)} answers to {len(prompts)} prompts")
+        return list(replies)
+    except Exception:  # noqa: BLE001 - whatever a backend raises counts as a failed attempt
+        half = len(prompts) // 2
+        if not half:
+            return [None]
+        return _call_halving(backend, prompts[:half]) + _call_halving(backend, prompts[half:])
+
+
 def _call_with_retries(
-    backend: Backend, prompts: list[str], attempts: int, wait: tuple[float, float]
+    backend: Backend, prompts: list[str], attempts: int, wait: tuple[float, float], batch_size: int
 ) -> list[tuple[str | None, int]]:
     """Answer and attempts used per prompt.
 
-    A None answer failed on its own. If the call itself raises, the prompts of
-    that call are retried one by one, so that one bad prompt cannot take others
-    with it.
+    All prompts are sent once, in calls of ``batch_size``; those without an answer
+    are then sent again together, after one wait for all of them.
     """
     answers: list[tuple[str | None, int]] = [(None, attempts)] * len(prompts)
-    groups = [list(range(len(prompts)))] if prompts else []
+    open_ = list(range(len(prompts)))
     for attempt in range(1, attempts + 1):
-        failed: list[list[int]] = []
-        for group in groups:
-            try:
-                replies = backend([prompts[i] for i in group])
-                if len(replies) != len(group):
-                    raise ValueError(f"backend gave {len(replies)} answers to {len(group)} prompts")
-            except Exception:  # noqa: BLE001 - whatever a backend raises counts as a failed attempt
-                failed += [[i] for i in group]
-                continue
-            for i, reply in zip(group, replies):
-                if reply is not None:
+        failed = []
+        for start in range(0, len(open_), batch_size):
+            group = open_[start : start + batch_size]
+            for i, reply in zip(group, _call_halving(backend, [prompts[i] for i in group])):
+                if reply is None:
+                    failed.append(i)
+                else:
                     answers[i] = (reply, attempt)
-            unanswered = [i for i, reply in zip(group, replies) if reply is None]
-            if unanswered:
-                failed.append(unanswered)
-        groups = failed
-        if not groups:
+        open_ = failed
+        if not open_:
             break
         if attempt < attempts:
             time.sleep(random.uniform(*wait))
@@ -72,7 +79,9 @@ def generate(
     Only the prompt travels to Python. The UDF is marked
     nondeterministic, so that the optimizer never evaluates it twice for a row;
     write the result to a stage table before reading it more than once.
-    ``concurrency`` bounds the calls in flight by the number of partitions.
+    ``concurrency`` bounds the calls in flight by joining partitions: rows are not
+    shuffled and keep their order. For more calls at once than the scan has
+    tasks, read it in smaller splits (``spark.sql.files.maxPartitionBytes``).
     """
 
     backend = partial(backend, **(options or {}))
@@ -80,14 +89,11 @@ def generate(
     @F.pandas_udf("completion string, attempts int")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            prompts = batch.tolist()
-            rows: list[tuple[str | None, int]] = []
-            for start in range(0, len(prompts), batch_size):
-                rows += _call_with_retries(backend, prompts[start : start + batch_size], attempts, wait)
+            rows = _call_with_retries(backend, batch.tolist(), attempts, wait, batch_size)
             yield pd.DataFrame(rows, columns=["completion", "attempts"])
 
     if concurrency is not None:
-        df = df.repartition(concurrency)
+        df = df.coalesce(concurrency)
     return (
         df.withColumn("_prompt", prompt)
         .withColumn("_answer", call.asNondeterministic()("_prompt"))

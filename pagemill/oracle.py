@@ -243,13 +243,13 @@ BODIES: dict[str, str] = {
     },
     "prompt_wi_response": f"SELECT seq, {WI_PROMPT} AS prompt FROM pairs",
     "prompt_wr_response": "SELECT seq, request AS prompt FROM pairs",
-    "prompt_wr_refine": f"SELECT seq, {REFINE_PROMPT} AS prompt FROM usable",
+    "prompt_wr_refine": f"SELECT seq, {REFINE_PROMPT} AS prompt FROM pairs",
     "prompt_dispatch": f"""SELECT 'author' AS stage, '' AS category, seq, {AUTHOR_PROMPT} AS prompt FROM webpages
         UNION ALL SELECT 'request', category, seq, CASE category
         {' '.join(f"WHEN '{c}' THEN {request_prompt(c)}" for c in fixed.REQUEST_CATEGORIES)} END FROM routed
         UNION ALL SELECT 'response', CASE WHEN pool = 'WI' THEN 'WI_all' WHEN seq % 2 = 0 THEN 'WR_refine'
         ELSE 'WR_all' END, seq, CASE WHEN pool = 'WI' THEN {WI_PROMPT} WHEN seq % 2 = 0 THEN {REFINE_PROMPT}
-        ELSE request END FROM usable""",
+        ELSE request END FROM pairs""",
     "chat_messages": f"""SELECT seq, 'system,user' AS roles, 'You are a helpful assistant.' AS first,
         {AUTHOR_PROMPT} AS second FROM webpages""",
     "chat_template": f"SELECT seq, {fill(fixed.LLAMA3_CHAT, prompt='(' + AUTHOR_PROMPT + ')')} AS prompt FROM webpages",
@@ -270,7 +270,8 @@ BODIES: dict[str, str] = {
     "resume_pending": """SELECT seq, webpage, author FROM webpages
         WHERE seq NOT IN (SELECT seq FROM completions)""",
     "stage_counts": """SELECT category, count(*) AS pages,
-        count(*) FILTER (WHERE seq NOT IN (SELECT seq FROM completions)) AS queued FROM routed GROUP BY category""",
+        count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM completions c WHERE c.seq = routed.seq
+            AND c.stage = 'request' AND c.category = routed.category)) AS queued FROM routed GROUP BY category""",
     "section_uniform": f"SELECT seq, {section(UNIFORM)} AS webpage FROM parts",
     "section_gaussian": f"SELECT seq, {section(GAUSSIAN)} AS webpage FROM parts",
     "clean_completion": f"SELECT seq, {cleaned('response')} AS response FROM pairs",

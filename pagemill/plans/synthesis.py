@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagemill.fixed_values import REFINE_CATEGORY, STAGE_COLUMNS
 from pagemill.functions.messages import stage_prompt
 from pagemill.functions.text import SECTION_METHODS, clean_completion, cut_sections
-from pagemill.operators.completions import Backend, failures, generate, succeeded
+from pagemill.operators.completions import Backend, failures, generate, pending_rows, succeeded
 from pagemill.operators.numbering import position_cutoffs
 from pagemill.operators.routing import route_categories
 from pagemill.plans.mix import build_mix
@@ -24,6 +24,10 @@ def stage_projection(df: DataFrame, stage: str, keys: Sequence[str] = ("seq",))
     return df.select(*keys, *STAGE_COLUMNS[stage])
 
 
+# Columns of the stage tables that are not results.
+RESERVED = ("wave", "attempts", "prompt_hash", "completion", "_prompt", "_answer")
+
+
 def plain(prompt: Column) -> Column:
     return prompt
 
@@ -35,11 +39,18 @@ class Synthesis:
     A stage calls the model once per row and writes its table before the next
     one reads it. Rows whose call failed stay in the table with a null answer;
     they go no further and ``failed`` lists them. Other columns of the pages are
-    passed through, unless ``project`` is set.
+    passed through, unless ``project`` is set; pages with a column of a name in
+    ``RESERVED`` are refused.
+
+    A store belongs to one run: it keeps the number and a checksum of the pages, the
+    paths of ``ingest`` and all settings that decide results, and a run in which
+    one of them differs is refused.
 
     A stage may be written in several ``waves`` of consecutive rows. A run that
     is started again on the same store calls the model only for the waves that
-    are not finished.
+    are not finished, and for rows that have no answer yet: those that failed, and
+    those that an earlier stage has answered since. Rows keep the category they
+    were first asked with.
 
     ``envelope`` wraps a prompt into what the backend expects, for example
     ``lambda p: chat_text(p, model)`` or ``lambda p: F.to_json(api_messages(p))``.
@@ -54,6 +65,7 @@ class Synthesis:
     waves: int = 1
     envelope: Callable[[Column], Column] = plain
     generate_options: dict[str, Any] = field(default_factory=dict)
+    _asked: set[str] = field(default_factory=set, init=False, repr=False)
 
     def __post_init__(self) -> None:
         if self.section_method not in SECTION_METHODS:
@@ -62,10 +74,30 @@ class Synthesis:
     def ingest(self, paths: Sequence[str], schema=PAGES, lines: bool = False) -> DataFrame:
         """Read page files in order into a table. ``seq`` is fixed by writing it:
         read ids depend on how the files were split."""
+        self.store.same_run("ingest", {"paths": list(paths), "lines": lines})
         read = read_json_in_order(self.store.spark, paths, schema, lines)
         self.store.ensure("pages", lambda: read.withColumn("seq", F.monotonically_increasing_id()))
         return self.store.read("pages").drop("wave")
 
+    def _identify(self, pages: DataFrame) -> None:
+        """Refuse pages or settings other than those that the store was filled with."""
+        if clash := sorted(set(RESERVED) & set(pages.columns)):
+            raise ValueError(f"pages have reserved columns: {', '.join(clash)}")
+        checksum = F.bit_xor(F.xxhash64("seq", "webpage"))
+        count, checksum = pages.agg(F.count("*"), checksum).first()
+        self.store.same_run(
+            "run",
+            {
+                "pages": (count, checksum),
+                "seed": self.seed,
+                "section_method": self.section_method,
+                "clean": self.clean,
+                "project": self.project,
+                "envelope": str(self.envelope(F.col("prompt"))),
+                "options": sorted(dict(self.generate_options.get("options") or {}).items()),
+            },
+        )
+
     def _run(self, stage: str, rows: DataFrame, prompt: Column, answer: str) -> DataFrame:
         """The answered rows of a stage, after calling the model where needed."""
         cleaner = clean_completion if self.clean and answer != "author" else plain
@@ -74,11 +106,21 @@ class Synthesis:
             replies = generate(part, self.envelope(prompt), self.backend, **self.generate_options)
             return replies.withColumn(answer, cleaner(F.col("completion"))).drop("completion")
 
-        for wave, low, high in self._wave_ranges(stage, rows):
+        ranges = self._wave_ranges(stage, rows)
+        waves = len(ranges)
+        resumed = all(self.store.finished(stage, wave) for wave in range(waves))
+        for wave, low, high in ranges:
             within = F.lit(True) if low is None else F.col("seq") >= low
             if high is not None:
                 within = within & (F.col("seq") < high)
             self.store.ensure(stage, lambda within=within: answered(rows.filter(within)), wave)
+        if resumed and stage not in self._asked:
+            while self.store.finished(stage, waves):
+                waves += 1
+            open_rows = pending_rows(rows, succeeded(self.store.read(stage), answer), ["seq"])
+            if open_rows.limit(1).count():
+                self.store.write(stage, answered(open_rows), waves)
+        self._asked.add(stage)
         done = succeeded(self.store.read(stage), answer).drop("wave", "attempts", "prompt_hash")
         if not self.project:
             return done
@@ -104,12 +146,17 @@ class Synthesis:
         return [tuple(r) for r in self.store.read(f"{stage}_waves").drop("wave").orderBy("number").collect()]
 
     def failed(self, stage: str) -> DataFrame:
-        table = self.store.read(stage)
+        """The last attempt of each row of a stage that has no answer."""
+        table, answer = self.store.read(stage), "response" if stage == "refine" else stage
         keys = [c for c in ("seq", "category") if c in table.columns]
-        return failures(table, keys, "response" if stage == "refine" else stage)
+        lasting = pending_rows(table, succeeded(table, answer), ["seq"])
+        last = lasting.groupBy(F.col("seq").alias("_seq")).agg(F.max("wave").alias("_wave"))
+        lasting = lasting.join(last, (F.col("seq") == F.col("_seq")) & (F.col("wave") == F.col("_wave")))
+        return failures(lasting, keys, answer)
 
     def author(self, pages: DataFrame) -> DataFrame:
         """Authors are inferred from the full page; later stages see the cut one."""
+        self._identify(pages)
         answered = self._run("author", pages, stage_prompt("author", web=F.col("webpage")), "author")
         return cut_sections(answered, method=self.section_method, seed=self.seed)
 

@@ -159,7 +159,7 @@ def prompt_wr_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prompt_wr_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompt = chat.refine_prompt(F.col("webpage"), F.col("request"), F.col("response"))
-    return usable_pairs(spark, sf_dir).select("seq", prompt.alias("prompt"))
+    return fixtures.pairs(spark, sf_dir).select("seq", prompt.alias("prompt"))
 
 
 @query
@@ -182,7 +182,7 @@ def prompt_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Even WR rows stand for the refine step of the response stage.
     refine = (F.col("pool") == "WR") & (F.col("seq") % 2 == 0)
     named = F.when(refine, fixed.REFINE_CATEGORY).otherwise(F.concat("pool", F.lit("_all")))
-    responses = usable_pairs(spark, sf_dir).withColumn("category", named).select(
+    responses = fixtures.pairs(spark, sf_dir).withColumn("category", named).select(
         F.lit("response").alias("stage"),
         "category",
         "seq",
@@ -282,10 +282,11 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the request stage per category, and those still to be queued."""
     keys = route_categories(fixtures.webpages(spark, sf_dir).select("seq"))
-    done = fixtures.completions(spark, sf_dir).select("seq", F.lit(1).alias("done"))
-    return keys.join(done, "seq", "left").groupBy("category").agg(
-        F.count("*").alias("pages"), F.count_if(F.col("done").isNull()).alias("queued")
-    )
+    keys = keys.withColumn("stage", F.lit("request"))
+    queued = completions.pending_rows(keys, fixtures.completions(spark, sf_dir)).groupBy("category")
+    pages = keys.groupBy("category").agg(F.count("*").alias("pages"))
+    counts = pages.join(queued.agg(F.count("*").alias("queued")), "category", "left")
+    return counts.select("category", "pages", F.coalesce("queued", F.lit(0).cast("long")).alias("queued"))
 
 
 # --- text ---------------------------------------------------------------------------
@@ -398,7 +399,7 @@ def near_dup_keep_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def near_dup_keep_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pool whose list order has two columns, numbered first."""
-    usable = filters.filter_special_pattern(fixtures.turn_pairs(spark, sf_dir))
+    usable = filters.filter_special_pattern(fixtures.turn_pairs(spark, sf_dir)).select("conv_id", "turn", "request")
     numbered = global_row_number(usable, ["conv_id", "turn"], "seq").withColumn("pool", F.lit("turns"))
     return neardup.surviving_rows(numbered, carry=["conv_id", "turn"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +53,18 @@ class StageStore:
         if not self.finished(stage, wave):
             self.write(stage, build(), wave)
 
+    def same_run(self, name: str, fields: Mapping[str, object]) -> None:
+        """Keep what a run depends on, and refuse a store that another run has filled.
+
+        The first call writes ``fields``; later ones raise if a field differs.
+        """
+        rows = [(key, str(value)) for key, value in sorted(fields.items())]
+        self.ensure(name, lambda: self.spark.createDataFrame(rows, "field string, value string"))
+        kept = {row["field"]: row["value"] for row in self.read(name).collect()}
+        differing = sorted(key for key, value in rows if kept.get(key) != value)
+        if differing or len(kept) != len(rows):
+            raise ValueError(f"{self.path('')} belongs to a run with other {', '.join(differing) or 'fields'}")
+
     def _wave_path(self, stage: str, wave: int) -> str:
         return f"{self.path(stage)}/wave={wave}"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill import fixtures
 from pagemill.backends import failing_stub, stub
+from pagemill.fixed_values import BATCH_MODEL_OPTIONS
 from pagemill.functions.messages import api_messages, chat_text
 from pagemill.operators import completions
 from pagemill.operators.completions import _call_with_retries
@@ -25,7 +26,7 @@ def test_failed_prompts_alone_are_tried_again():
         calls.append(prompts)
         return [None if p == "bad" or (p == "slow" and len(calls) < 3) else p.upper() for p in prompts]
 
-    got = _call_with_retries(backend, ["a", "bad", "slow"], 5, (0, 0))
+    got = _call_with_retries(backend, ["a", "bad", "slow"], 5, (0, 0), 64)
     assert got == [("A", 1), (None, 5), ("SLOW", 3)]
     assert calls == [["a", "bad", "slow"], ["bad", "slow"], ["bad", "slow"], ["bad"], ["bad"]]
 
@@ -36,11 +37,27 @@ def test_one_raising_prompt_does_not_take_others_with_it():
             raise RuntimeError("refused")
         return [p.upper() for p in prompts]
 
-    assert _call_with_retries(backend, ["a", "poison", "b"], 5, (0, 0)) == [("A", 2), (None, 5), ("B", 2)]
+    assert _call_with_retries(backend, ["a", "poison", "b"], 5, (0, 0), 64) == [("A", 1), (None, 5), ("B", 1)]
+
+
+def test_one_bad_prompt_costs_few_calls_and_one_wait_per_round(monkeypatch):
+    waits, calls = [], []
+    monkeypatch.setattr(completions.time, "sleep", waits.append)
+
+    def backend(prompts):
+        calls.append(len(prompts))
+        if "p500" in prompts:
+            raise RuntimeError("refused")
+        return prompts
+
+    got = _call_with_retries(backend, [f"p{i}" for i in range(1000)], 5, (1, 1), 64)
+    assert got[500] == (None, 5) and got[:500] + got[501:] == [(f"p{i}", 1) for i in range(1000) if i != 500]
+    # 16 calls, two for each halving of the one that raised, then the bad prompt alone.
+    assert len(calls) == 16 + 2 * 6 + 4 and waits == [1] * 4
 
 
 def test_wrong_number_of_answers_is_a_failure():
-    assert _call_with_retries(lambda p: ["x"], ["a", "b"], 2, (0, 0)) == [("x", 2), ("x", 2)]
+    assert _call_with_retries(lambda p: ["x"], ["a", "b"], 2, (0, 0), 64) == [("x", 1), ("x", 1)]
 
 
 def test_each_row_is_sent_once_even_if_the_answer_is_filtered_and_used_twice(spark, tmp_path):
@@ -121,6 +138,55 @@ def test_failures_are_listed_and_other_columns_pass_through(spark):
     assert requests.columns == ["seq", "category", "webpage", "author", "request"]
 
 
+def test_a_store_refuses_another_run(spark, tmp_path):
+    root = scratch_path(spark, "store")
+    run(spark, stub, root).author(pages(spark)).count()
+    with pytest.raises(ValueError, match="pages"):
+        run(spark, stub, root).author(pages(spark).filter("seq > 0"))
+    for options, name in (({"seed": "x"}, "seed"), ({"clean": False}, "clean"), ({"section_method": "gaussian"}, "section")):
+        with pytest.raises(ValueError, match=name):
+            run(spark, stub, root, **options).author(pages(spark))
+    with pytest.raises(ValueError, match="envelope"):
+        run(spark, stub, root, envelope=lambda p: F.to_json(api_messages(p))).author(pages(spark))
+    for name in ("one", "two"):
+        (tmp_path / name).write_text('[{"webpage": "page"}]')
+    job = run(spark, stub, root)
+    assert job.ingest([str(tmp_path / "one")]).count() == 1
+    with pytest.raises(ValueError, match="paths"):
+        job.ingest([str(tmp_path / "one"), str(tmp_path / "two")])
+
+
+@pytest.mark.parametrize("name", ["wave", "attempts", "prompt_hash", "completion"])
+def test_reserved_columns_are_refused(spark, name):
+    with pytest.raises(ValueError, match=name):
+        run(spark, stub).author(pages(spark).withColumn(name, F.lit(1)))
+
+
+def test_failed_rows_are_asked_again_by_the_next_run(spark):
+    root = scratch_path(spark, "store")
+    first = run(spark, failing_stub, root)
+    before = first.pairs(pages(spark)).count()
+    assert first.failed("author").count() > 0
+    second = run(spark, stub, root)
+    after = second.pairs(pages(spark)).collect()
+    assert before < len(after) == len({r.seq for r in after}) == 200
+    assert all(second.failed(stage).count() == 0 for stage in ("author", "request", "response", "refine"))
+
+
+def test_bounded_calls_need_no_shuffle(spark):
+    df = pages(spark)
+    plan = completions.generate(df, F.col("webpage"), stub, concurrency=3)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Coalesce 3" in plan
+
+
+def test_options_reach_the_backend(spark):
+    def backend(prompts, stop, **others):
+        return [f"{stop} {sorted(others)}"] * len(prompts)
+
+    done = completions.generate(spark.range(1), F.lit("p"), backend, options=BATCH_MODEL_OPTIONS, **NO_WAIT)
+    assert done.first()["completion"] == "['<|eot_id|>'] ['max_tokens', 'n', 'temperature', 'top_p']"
+
+
 def test_uncleaned_completions(spark):
     cleaned, raw = (
         {r.seq: r.request for r in job.request(job.author(pages(spark))).collect()}

@@ -27,22 +27,27 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("wi_quota, wr_quota", [(20, 10), (5, 400), (400, 1), (0, 10), (1000, 1000)])
-def test_selection_equals_the_sequential_scan(spark, wi_quota, wr_quota):
+def test_properties_of_the_selection(spark, wi_quota, wr_quota):
     data, df = skewed(spark)
     page = {seq: p for _, seq, p in data}
-    wi_want = shuffled([s for pool, s, _ in data if pool == "WI"], "shuffle_wi")[:wi_quota]
-    used, wr_want = {page[s] for s in wi_want}, []
-    for s in shuffled([s for pool, s, _ in data if pool == "WR"], "shuffle_wr"):
-        if page[s] not in used:
-            used.add(page[s])
-            wr_want.append(s)
-        if len(wr_want) == wr_quota:
-            break
+    place = {
+        pool: {s: n for n, s in enumerate(shuffled([s for q, s, _ in data if q == pool], f"shuffle_{pool.lower()}"))}
+        for pool in ("WI", "WR")
+    }
     wi, wr = selection.select_mix(df, wi_quota, wr_quota)
-    assert [r.seq for r in wi.orderBy("position").collect()] == wi_want
-    assert [r.seq for r in wr.orderBy("position").collect()] == wr_want
+    wi_rows, wr_rows = ([r.seq for r in pool.orderBy("position").collect()] for pool in (wi, wr))
+    # WI: the first ones of the draw. WR: in the order of the draw, within the quota.
+    assert [place["WI"][s] for s in wi_rows] == list(range(min(wi_quota, len(place["WI"]))))
+    assert [place["WR"][s] for s in wr_rows] == sorted(place["WR"][s] for s in wr_rows) and len(wr_rows) <= wr_quota
+    # Every WR page once, and none of WI.
+    wi_pages, wr_pages = {page[s] for s in wi_rows}, {page[s]: place["WR"][s] for s in wr_rows}
+    assert len(wr_pages) == len(wr_rows) and not wi_pages & wr_pages.keys()
+    # What was left out has a page that was taken before it, or comes after the quota was full.
+    full = max(wr_pages.values()) if len(wr_rows) == wr_quota else len(data)
+    for s in place["WR"].keys() - set(wr_rows):
+        assert page[s] in wi_pages or wr_pages.get(page[s], len(data)) < place["WR"][s] or place["WR"][s] > full
     numbers = [r.number for r in number_mix(wi, wr).orderBy("number").collect()]
-    assert numbers == list(range(len(wi_want) + len(wr_want)))
+    assert numbers == list(range(len(wi_rows) + len(wr_rows)))
 
 
 def test_page_key_is_a_digest_of_the_whole_page(spark):

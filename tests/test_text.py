@@ -35,25 +35,31 @@ def one(spark, values, column):
     return [r[0] for r in rows(spark, values).orderBy("seq").select(column).collect()]
 
 
-def cleaned_parts(page: str) -> list[str]:
-    return [p.lstrip("#").strip() for p in page.split("\n\n")]
-
-
 def test_whitespace_is_what_python_strips():
     assert len(text.WHITESPACE) == 29
     assert all(not chr(c).isspace() for c in range(0x3001, 0x11000))
 
 
+# A page, and its cleaned paragraphs; one paragraph alone stays as it is.
+SECTIONS = [
+    ("", None),
+    ("# alone ", None),
+    ("## Title\n\n text \n\n#last", ["Title", "text", "last"]),
+    ("a#\n\n# # b", ["a#", "# b"]),
+    ("\n\n\n\n", ["", "", ""]),
+    (" #kept\n\nline\nline", ["#kept", "line\nline"]),
+    ("\u00a0x\u3000\n\n#\ty", ["x", "y"]),
+]
+
+
 @pytest.mark.parametrize("method", text.SECTION_METHODS)
 def test_section_is_a_prefix_of_the_cleaned_paragraphs(spark, method):
-    pages = PAGES * 20
-    cut = text.cut_sections(rows(spark, pages), method=method).orderBy("seq").collect()
-    for page, row in zip(pages, cut, strict=True):
-        parts = cleaned_parts(page)
-        if len(parts) == 1:
+    cut = text.cut_sections(rows(spark, [page for page, _ in SECTIONS * 20]), method=method).orderBy("seq").collect()
+    for (page, parts), row in zip(SECTIONS * 20, cut, strict=True):
+        if parts is None:
             assert row.webpage == page
         else:
-            assert row.webpage in ["\n\n".join(parts[:n]) for n in range(1, len(parts) + 1)]
+            assert row.webpage in ["\n\n".join(parts[: n + 1]) for n in range(len(parts))]
 
 
 def test_gaussian_section_of_two_or_three_paragraphs_is_one(spark):
@@ -66,24 +72,51 @@ def test_unknown_section_method(spark):
         text.cut_sections(rows(spark, PAGES), method="normal")
 
 
+@pytest.mark.parametrize(
+    "value, cleaned",
+    [
+        ("plain", "plain"),
+        ('"quoted"', "quoted"),
+        ('""a" b"', 'a" b'),
+        ("Here is it", ""),
+        ("Here is it:\n\nbody\n\nend", "body\n\nend"),
+        ("Here's it:\n\n\"body\"", "body"),
+        ("here is it\n\nbody", "here is it\n\nbody"),
+        ("x Here is\n\nbody", "x Here is\n\nbody"),
+        ('"Here is it\n\nbody"', "Here is it\n\nbody"),
+    ],
+)
+def test_cleaning(spark, value, cleaned):
+    assert one(spark, [value], text.clean_completion(F.col("webpage"))) == [cleaned]
+
+
+@pytest.mark.parametrize(
+    "value, stripped",
+    [
+        ("plain", "plain"),
+        ("Improved Answer", ""),
+        ("The IMPROVED answer:\n\n---\n\nbody\n\nend\n", "body\n\nend"),
+        ("a\n\n--b--\n\nimproved answer", "b--\n\nimproved answer"),
+        ("improved answer\n\n \n-body- ", "-body-"),
+    ],
+)
+def test_stripping_the_lead_of_an_improved_answer(spark, value, stripped):
+    assert one(spark, [value], text.strip_improved_lead(F.col("webpage"))) == [stripped]
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet='a#-"\n H ', max_size=30), min_size=20, max_size=60))
-def test_cleaning_equals_python(spark, bodies):
-    values = [lead + b for b in bodies for lead in ("", "Here is it", "Here's", "The Improved ANSWER")]
-
-    def clean(s):
-        if s.startswith(("Here is", "Here's")):
-            s = "\n\n".join(s.split("\n\n")[1:])
-        return s.strip('"')
-
-    def improved(s):
-        if "improved answer" in s.lower():
-            return "\n\n".join(s.split("\n\n")[1:]).strip("-").strip("\n").strip()
-        return s
-
-    assert one(spark, values, text.clean_completion(F.col("webpage"))) == [clean(v) for v in values]
-    assert one(spark, values, text.strip_improved_lead(F.col("webpage"))) == [improved(v) for v in values]
-    assert one(spark, values, text.strip(F.col("webpage"))) == [v.strip() for v in values]
+@given(st.lists(st.text(alphabet='a#-"\n H ', max_size=30), min_size=20, max_size=60))
+def test_properties_of_cleaning(spark, bodies):
+    with_lead = ["Here's\n\n" + body for body in bodies]
+    for body, got in zip(bodies, one(spark, with_lead, text.clean_completion(F.col("webpage"))), strict=True):
+        assert got in body and not got.startswith('"') and not got.endswith('"')
+    improved = ["The Improved ANSWER\n\n" + body for body in bodies]
+    for body, got in zip(bodies, one(spark, improved, text.strip_improved_lead(F.col("webpage"))), strict=True):
+        assert got in body and not got[:1].isspace() and not got[-1:].isspace()
+    # Without a lead, only quotes go.
+    plain = ["a" + body + "a" for body in bodies]
+    assert one(spark, plain, text.clean_completion(F.col("webpage"))) == plain
+    assert one(spark, plain, text.strip_improved_lead(F.col("webpage"))) == plain
 
 
 @pytest.mark.parametrize(
