@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagemill.fixed_values import (
@@ -16,9 +16,9 @@ from pagemill.fixed_values import (
 from pagemill.functions.messages import wi_messages, wr_messages
 from pagemill.operators.filters import filter_counts, filter_special_pattern
 from pagemill.operators.neardup import surviving_rows
-from pagemill.operators.numbering import bounded
+from pagemill.operators.numbering import position_cutoffs
 from pagemill.operators.selection import page_key, select_mix
-from pagemill.session import materialize
+from pagemill.session import MAX_BROADCAST_ROWS, materialize
 
 
 def clean_pool(
@@ -53,22 +53,39 @@ def number_mix(wi: DataFrame, wr: DataFrame, save_num: int = SAVE_NUM) -> DataFr
     return numbered.filter(F.col("number") < save_num)
 
 
-def assemble(pairs: DataFrame, numbered: DataFrame, rows: int, seed: str = "") -> DataFrame:
+def assemble(
+    pairs: DataFrame, numbered: DataFrame, rows: int, seed: str = "", most: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
     """``prompt_id, messages`` (with ``number`` to sort by) of the numbered rows.
 
     The text is joined back here, and only here: ``numbered`` has at most
-    ``rows`` rows of ids and is broadcast if that allows, so that page text is
-    scanned but not shuffled.
+    ``rows`` rows of ids and is broadcast, so that page text is scanned but not
+    shuffled. More than ``most`` ids are broadcast in ranges of ``seq``, each
+    joined with the rows of its range only.
     """
     web, request, response = F.col("webpage"), F.col("request"), F.col("response")
     messages = F.when(F.col("pool") == "WI", wi_messages(web, request, response, F.col("seq"), seed)).otherwise(
         wr_messages(request, response)
     )
-    return pairs.join(bounded(numbered, rows), ["pool", "seq"]).select(
+    joined = None
+    for within in _ranges(numbered, most) if rows > most else [F.lit(True)]:
+        part = pairs.filter(within).join(F.broadcast(numbered.filter(within)), ["pool", "seq"])
+        joined = part if joined is None else joined.unionByName(part)
+    return joined.select(
         "number", F.concat(F.lit(PROMPT_ID_PREFIX), "number").alias("prompt_id"), messages.alias("messages")
     )
 
 
+def _ranges(numbered: DataFrame, most: int) -> list[Column]:
+    """Conditions on ``seq`` that each hold for about ``most`` of the rows."""
+    cutoffs = position_cutoffs(numbered.select("seq").distinct(), "seq", lambda n: list(range(most, n, most)))
+    bounds = [None, *sorted({c for c in cutoffs if c is not None}), None]
+    return [
+        (F.lit(True) if low is None else F.col("seq") >= low) & (F.lit(True) if high is None else F.col("seq") < high)
+        for low, high in zip(bounds, bounds[1:])
+    ]
+
+
 def build_mix(
     pairs: DataFrame,
     wi_quota: int = WI_QUOTA,
@@ -83,4 +100,6 @@ def build_mix(
     """Filter, remove near-duplicates, draw the mix, assemble and number."""
     survivors = clean_pool(pairs, threshold, num_perm, tokens, report)
     wi, wr = select_mix(survivors, wi_quota, wr_quota, seed)
-    return assemble(pairs, number_mix(wi, wr, save_num), wi_quota + wr_quota, seed)
+    rows = min(wi_quota + wr_quota, save_num)
+    numbered = number_mix(wi, wr, save_num)
+    return assemble(pairs, numbered if rows <= MAX_BROADCAST_ROWS else materialize(numbered, "numbered"), rows, seed)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,18 +32,32 @@ def local_session(cpus: str | int = "*", app: str = "pagemill", **conf: str) ->
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster the
-    executors do not share one, so an unset folder is an error there.
+    Only a local master may fall back to the warehouse folder: on a cluster that may
+    be local to the driver, so an unset folder is an error there.
     """
+    return f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_folder(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="pagemill-")
-        sc.setCheckpointDir(root)
-        root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/pagemill/{sc.applicationId}/{name}-{uuid.uuid4().hex}"
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/pagemill/{sc.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application.
+
+    For the end of a job, after its last result is written: results that are read
+    later, and jobs that still run in this session, need their tables.
+    """
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

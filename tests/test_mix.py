@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagemill import fixtures
 from pagemill.operators import selection
 from pagemill.operators.filters import filter_report, filter_special_pattern
-from pagemill.plans.mix import build_mix, number_mix
+from pagemill.plans.mix import assemble, build_mix, number_mix
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -103,6 +103,19 @@ def test_mix_of_nothing(spark):
     assert build_mix(fixtures.pairs(spark, SF_DIR).limit(0), 40, 20).count() == 0
 
 
+def test_more_ids_than_a_broadcast_holds_are_joined_in_ranges(spark):
+    pairs = fixtures.pairs(spark, SF_DIR)
+    ids = [(pool, seq, n) for n, (pool, seq) in enumerate((p, s) for p in ("WI", "WR") for s in range(3, 200, 7))]
+    numbered = spark.createDataFrame(ids, "pool string, seq bigint, number bigint")
+    whole = assemble(pairs, numbered, len(ids)).orderBy("number").collect()
+    ranged = assemble(pairs, numbered, len(ids), most=10)
+    assert ranged.orderBy("number").collect() == whole and whole
+    plan = assemble(fixtures.documents(spark, SF_DIR).select(
+        F.lit("WI").alias("pool"), F.col("doc_id").alias("seq"), *[F.col("text").alias(c) for c in ("webpage", "request", "response")]
+    ), numbered, len(ids), most=10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 3 and "Exchange hashpartitioning" not in plan
+
+
 def test_page_text_is_scanned_but_not_shuffled_at_the_end(spark):
     """The one join that carries text takes its other side by broadcast."""
     pairs = fixtures.documents(spark, SF_DIR).select(

@@ -116,6 +116,16 @@ def test_scratch_is_below_the_configured_folder(spark):
     assert path.startswith(folder) and path != session.scratch_path(spark, "x")
 
 
+def test_scratch_is_deleted_on_request(spark):
+    from pathlib import Path
+
+    session.materialize(spark.range(3), "some").count()
+    folder = Path(session.scratch_path(spark, "x").removeprefix("file:")).parent
+    assert any(folder.iterdir())
+    session.clear_scratch(spark)
+    assert not folder.exists()
+
+
 def test_broadcast_only_within_the_bound(spark):
     from pagemill.operators.numbering import bounded
 
