@@ -82,3 +82,16 @@ SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c, w.d
        coalesce(c, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.x = w.doc_id
 """
+
+ORACLE["op2_tool_call_linking"] = """
+WITH calls AS (SELECT conv_id, turn, text, 'call-' || conv_id || '-' || turn AS call_id,
+                      min(turn) OVER (PARTITION BY conv_id) AS opening FROM conversations WHERE role = 'user'),
+answers AS (SELECT conv_id, turn - 1 AS turn, text AS result FROM conversations WHERE role = 'assistant')
+SELECT conv_id, call_id, turn, CAST(turn > opening AS INTEGER) AS level,
+       CASE WHEN text IS NULL THEN 'bad arguments' END AS problem,
+       CAST(CASE WHEN result IS NULL
+            THEN json_object('arguments', json_object('prompt', text, 'turn', turn), 'id', call_id, 'name', 'reply')
+            ELSE json_object('arguments', json_object('prompt', text, 'turn', turn), 'id', call_id, 'name', 'reply', 'result', result)
+            END AS VARCHAR) AS record
+FROM calls LEFT JOIN answers USING (conv_id, turn)
+"""
