@@ -79,7 +79,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     first = F.min(F.struct("turn", "content")).alias("first")
     answers = results.where(F.col("call_id").isNotNull()).groupBy(*keys).agg(first)
     answers = answers.select(*keys, F.col("first.content").alias("result"))
-    linked = calls.join(known, keys, "left").join(answers, keys, "left").join(missing, keys, "left").join(levels, keys, "left")
+    linked = calls.join(known, keys, "left").join(answers.hint("shuffle_hash"), keys, "left").join(missing, keys, "left").join(levels, keys, "left")
     fits = F.lit(False)
     for tool, schema in schemas.items():
         fits = F.when(F.col("name") == tool, arguments_fit(F.col("arguments"), schema)).otherwise(fits)

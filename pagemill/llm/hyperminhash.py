@@ -22,8 +22,8 @@ until none is hidden. So a hot bucket costs no list of its pairs, and still no l
 between components is lost.
 
 Shingles are 64-bit hashes throughout. Null and empty texts and texts without
-words have no set and are linked with nothing. Repeated rows are copies. Rows of one id but
-different texts count as linked. An empty table gives an empty result; other columns of the
+words have no set and are linked with nothing. Repeated rows are copies. Ids name texts: rows of
+one id with different texts each get a component, but which of the texts links it is open. An empty table gives an empty result; other columns of the
 input are not used.
 """
 
