@@ -10,7 +10,7 @@ record of a call is canonical JSON: no blanks, names sorted, absent values left
 ``bad arguments``, ``missing need``, ``cycle``; else it is null. A call without a result has a null
 ``result``. Results without a call are not in the output. Of several results
 of a call the one of the least turn counts, then the least text. Null arguments are bad ones.
-Conversations that are null or repeat are like any others; empty tables give an empty
+Calls without a conversation have no id either, and are linked with nothing. Empty tables give an empty
 result. Extra columns of calls and results are not used.
 """
 
@@ -44,7 +44,7 @@ def topological_levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """``conv_id``, ``call_id`` and ``level``: 0 for calls that need none, else one more than
     the highest level they need; null for those in or behind a cycle.
 
-    ``needs`` (conv_id, call_id, need) holds ids of ``calls`` only. One round per level.
+    ``needs`` (conv_id, call_id, need) holds ids of ``calls`` only; no id is null. One round per level.
     """
     keys = ["conv_id", "call_id"]
     left, edges, level, done = calls.select(*keys).distinct(), needs.distinct(), 0, None
@@ -71,8 +71,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     """
     keys = ["conv_id", "call_id"]
     calls = calls.select(*keys, "turn", "name", "arguments", "needs")
-    known = calls.groupBy(*keys).agg(F.count("*").alias("same")).where(F.col("call_id").isNotNull())
-    asked = calls.select(*keys, F.explode("needs").alias("need")).distinct()
+    known = calls.groupBy(*keys).agg(F.count("*").alias("same")).dropna(subset=keys)
+    asked = calls.dropna(subset=keys).select(*keys, F.explode("needs").alias("need")).distinct()
     ids = known.select("conv_id", F.col("call_id").alias("need"))
     missing = asked.join(ids, ["conv_id", "need"], "left_anti").select(*keys).distinct().withColumn("missing", F.lit(True))
     levels = topological_levels(known, asked.join(ids, ["conv_id", "need"], "left_semi"))
@@ -84,7 +84,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     for tool, schema in schemas.items():
         fits = F.when(F.col("name") == tool, arguments_fit(F.col("arguments"), schema)).otherwise(fits)
     problem = (
-        F.when(F.col("call_id").isNull(), "no id")
+        F.when(F.col("call_id").isNull() | F.col("conv_id").isNull(), "no id")
         .when(F.col("same") > 1, "duplicate id")
         .when(~F.coalesce(F.col("name").isin(*schemas), F.lit(False)), "unknown tool")
         .when(~fits, "bad arguments")
