@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 # rows (ids, offsets, 32-byte hashes), so this is well under 200 MB.
 MAX_BROADCAST_ROWS = 1_000_000
 
+# Whether Spark deletes a query's shuffle files when it ends, and not when the driver's
+# garbage collector finds them unused.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cpus: str | int = "*", app: str = "pagemill", **conf: str) -> SparkSession:
     """Session for tests and the bench; a cluster job brings its own."""
@@ -64,8 +68,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in shared scratch space and read it back.
 
     Cuts the lineage, so a lost executor costs a re-read and not a
-    recomputation, and gives the next plan real file sizes to choose joins by.
+    recomputation, and gives the next plan real file sizes to choose joins by. The
+    shuffle files of the write, of use to nothing later, go when it ends.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
