@@ -116,7 +116,9 @@ def collapse_equal_signatures(
     Rows of equal signature share every band, so all but the first of them are
     removed whatever else happens, and their looking up adds nothing that the
     first does not. A third of all rows being copies of one text thus shrinks to
-    one row in the map-side aggregation, before any bucket is built.
+    one row in the map-side aggregation, before any bucket is built. Band keys are
+    single numbers there, so that it stays hash-based unless ``carry`` has columns
+    of variable width.
     """
     bands, rows = band_shape(threshold, num_perm)
     signed = text_signature(F.col("request"), num_perm) if tokens is None else signature(tokens, num_perm)
@@ -129,14 +131,13 @@ def collapse_equal_signatures(
         band_hashes(F.col("pool"), F.col("_sig"), bands, rows).alias("_bands"),
     )
     return (
-        keyed.groupBy(F.col("_key")[0].alias("_s1"), F.col("_key")[1].alias("_s2"))
+        keyed.groupBy("pool", F.col("_key")[0].alias("_s1"), F.col("_key")[1].alias("_s2"))
         .agg(
-            F.first("pool").alias("pool"),
             F.min("seq").alias("seq"),
             *[F.min_by(c, "seq").alias(c) for c in carry],
-            F.first("_bands").alias("_bands"),
+            *[F.first(F.get("_bands", F.lit(k))).alias(f"_b{k}") for k in range(2 * bands)],
         )
-        .drop("_s1", "_s2")
+        .select("pool", "seq", *carry, F.array(*[f"_b{k}" for k in range(2 * bands)]).alias("_bands"))
     )
 
 

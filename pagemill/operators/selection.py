@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +30,18 @@ def first_per_page(df: DataFrame, salt: str, key: str = "seq") -> DataFrame:
     """The row of each page that comes first in shuffled order: ``(page, key)``.
 
     A ``min`` with map-side combine and not a window, so that a page holding a
-    third of all rows is one row per task before the shuffle.
+    third of all rows is one row per task before the shuffle. Draw and key are the
+    digits of one DECIMAL, exact for every BIGINT key, so that it stays hash-based.
     """
-    rank = F.struct(draw_u32(salt, F.col(key)).alias("draw"), F.col(key).alias("key"))
-    return df.groupBy("page").agg(F.min(rank).alias("_first")).select("page", F.col("_first.key").alias(key))
+    base, shift = F.lit(Decimal(1 << 64)), F.lit(Decimal(1 << 63))
+    digits = F.col(key).cast("decimal(20,0)") + shift
+    rank = (draw_u32(salt, F.col(key)).cast("decimal(10,0)") * base + digits).cast("decimal(38,0)")
+    least = F.col("_first") % base - shift
+    return (
+        df.groupBy("page")
+        .agg(F.min(rank).alias("_first"))
+        .select("page", least.cast(df.schema[key].dataType).alias(key))
+    )
 
 
 def unused_pages(df: DataFrame, used: DataFrame, used_rows: int) -> DataFrame:

@@ -94,6 +94,18 @@ def test_first_per_page_combines_before_the_shuffle(pool):
     plan = formatted(selection.first_per_page(keys, "s"))
     assert "partial_min(" in plan.split(") Exchange\n")[0] and "Window" not in plan
     assert shuffled_columns(plan) == {"page", "min"}
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and ") Sort" not in plan
+
+
+def test_equal_signatures_aggregate_by_hash(pool):
+    plan = formatted(neardup.collapse_equal_signatures(pool.select("pool", "seq", "request")))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and ") Sort" not in plan
+
+
+def test_first_per_page_is_exact_at_the_ends_of_bigint(spark):
+    keys = [-(1 << 63), -1, 0, (1 << 63) - 1]
+    df = spark.createDataFrame([(bytes([k]), key) for k, key in enumerate(keys)], "page binary, seq bigint")
+    assert sorted(row["seq"] for row in selection.first_per_page(df, "s").collect()) == keys
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, pool, tmp_path):
