@@ -263,3 +263,66 @@ def test_tool_calls(spark):
     assert got[1, "c1", 0]["record"] == '{"arguments":{"a":1,"b":2.5},"id":"c1","name":"add","result":"x \\"q\\""}'
     assert got[1, "c2", 1]["record"] == '{"arguments":{"a":1,"b":2.5},"id":"c2","name":"add"}'
     assert chat_format.link_tool_calls(calls_df.limit(0), results_df.limit(0), schemas).count() == 0
+
+
+# --- languages with more grams than any bound ---
+
+
+def plain_model(text):
+    """Log-probability of a word by interpolated Kneser-Ney, with all grams of ``text``."""
+    tables = {language_id.ORDER: Counter()}
+    for word in language_id.words_of(text):
+        padded = language_id.START * 3 + word + language_id.END
+        tables[4].update(padded[i : i + 4] for i in range(len(word) + 1))
+    for k in (3, 2, 1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    discount, totals, followers = {}, Counter(), Counter()
+    for k, table_ in tables.items():
+        once, twice = (sum(n == m for n in table_.values()) for m in (1, 2))
+        discount[k] = once / (once + 2 * twice) if once and twice else 0.5
+        for gram, n in table_.items():
+            totals[gram[:-1]] += n
+            followers[gram[:-1]] += 1
+
+    def probability(gram):
+        if not gram:
+            return 1 / (len(tables[1]) + 1)
+        k, context = len(gram), gram[:-1]
+        if not totals[context]:
+            return probability(gram[1:])
+        own = max(tables[k][gram] - discount[k], 0) if tables[k][gram] else 0
+        return own / totals[context] + discount[k] * followers[context] / totals[context] * probability(gram[1:])
+
+    def word_score(word):
+        padded = language_id.START * 3 + word + language_id.END
+        return sum(np.log(probability(padded[i : i + 4])) for i in range(len(word) + 1))
+
+    return word_score
+
+
+@pytest.mark.parametrize("part_rows", [language_id.PART_ROWS, 500])
+def test_models_keep_all_grams(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(language_id, "PART_ROWS", part_rows)
+    draw = np.random.default_rng(3)
+    signs = np.array([chr(0x4E00 + k) for k in range(3_000)])
+    # Distinct 4-grams of signs: more than 200,000, nearly all seen once.
+    texts = {lang: " ".join("".join(signs[draw.integers(0, 3_000, 12)]) for _ in range(17_000)) for lang in ("x",)}
+    texts["y"] = sentence(5, 400)
+    rows = [(text[i : i + 1300], lang) for lang, text in texts.items() for i in range(0, len(text), 1300)]
+    models = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(models["x"].grams[3][0]) > 200_000
+    words = {lang: [w for text, of in rows if of == lang for w in language_id.words_of(text)] for lang in texts}
+    asked = [words["x"][0], words["x"][-1], words["y"][0], words["y"][7], "zz", signs[5] + "ab"]
+    got = language_id.entropies(asked, models)
+    for column, lang in enumerate(models):
+        scorer = plain_model(" ".join(words[lang]))
+        assert np.allclose(got[:, column], [-scorer(w) / (len(w) + 1) for w in asked], atol=1e-9)
+
+
+def test_calibration_texts_stay_on_executors(spark):
+    rows = [(sentence(i % 7, 30, "abcd"), "aa") for i in range(40)] + [(sentence(i, 30, "cdef"), "bb") for i in range(40)]
+    training = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    sent = spark.sparkContext.broadcast(language_id.store_models(training))
+    values, true = language_id._sample_entropies(training, "text", "lang", 10, sent)
+    assert values.shape == (17, 2) and sorted(true.tolist()) == [0] * 7 + [1] * 10
+    assert (values.argmin(axis=1) == true).all()
