@@ -287,6 +287,8 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("node")
         component = table.column("component").to_numpy()
+        if component.dtype == object:  # structs come as dicts, which numpy cannot sort
+            component = np.array([str(x) for x in component.tolist()])
         codes = _rows(table.column("codes").combine_chunks())
         sizes = table.column("n_shingles").to_numpy()
         block = table.column("block").to_numpy()
@@ -396,20 +398,35 @@ def link_components(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component; of rows that repeat
-    an id, one.
+    """The rows of ``docs`` that are the smallest id of their component. Rows are told apart
+    by id and text: of rows that repeat both, one stays, and each of several texts of one id,
+    or without an id, is linked and judged by itself. A missing id comes after all others.
+    Rows without an id and without words all stay.
 
-    Ids to drop, and ids that repeat, are written first, so that their real size decides
-    how they are joined: texts are shuffled only if the ids are too many to broadcast.
+    What is to go, and what repeats, is written first, so that its real size decides
+    how it is joined: texts are shuffled only if it is too much to broadcast.
     """
-    verdict = materialize(link_components(docs, percent, id_column, text_column).select(id_column, "kept"), "verdict")
-    dropped = verdict.where(~F.col("kept")).select(F.col(id_column).alias("_id")).distinct()
+    if clash := {"_node", "_id"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} exist already")
+    ids = docs.groupBy(F.col(id_column).alias("_id")).count()
+    if ids.where("_id is null or count > 1").limit(1).count():
+        # Null comes before true, so a missing id comes last.
+        last = F.when(F.col(id_column).isNull(), True).alias("missing")
+        name = F.struct(last, F.col(id_column).alias("id"), F.md5(text_column).alias("text"))
+        missing = F.col("_node.id").isNull()
+    else:
+        name, missing = F.col(id_column), F.lit(False)
+    named = docs.withColumn("_node", name)
+    verdict = link_components(named, percent, "_node", text_column)
+    verdict = materialize(verdict.select("_node", "kept", "n_shingles"), "verdict")
+    dropped = verdict.where(~F.col("kept")).select(F.col("_node").alias("_id")).distinct()
     dropped = materialize(dropped, "near-duplicates")
-    kept = docs.join(dropped, docs[id_column].eqNullSafe(dropped["_id"]), "left_anti")
-    twice = verdict.where("kept").groupBy(F.col(id_column).alias("_id")).count().where("count > 1").select("_id")
-    twice = materialize(twice, "repeated-ids")
+    kept = named.join(dropped, named["_node"].eqNullSafe(dropped["_id"]), "left_anti")
+    counted = verdict.where(F.col("kept") & ~(missing & (F.col("n_shingles") == 0)))
+    twice = counted.groupBy(F.col("_node").alias("_id")).count().where("count > 1").select("_id")
+    twice = materialize(twice, "repeated-rows")
     if not twice.limit(1).count():
-        return kept
-    once = kept.join(twice, kept[id_column].eqNullSafe(twice["_id"]), "left_anti")
-    again = kept.join(twice, kept[id_column].eqNullSafe(twice["_id"]), "left_semi")
-    return once.unionByName(again.dropDuplicates([id_column]))
+        return kept.drop("_node")
+    once = kept.join(twice, kept["_node"].eqNullSafe(twice["_id"]), "left_anti")
+    again = kept.join(twice, kept["_node"].eqNullSafe(twice["_id"]), "left_semi")
+    return once.unionByName(again.dropDuplicates(["_node"])).drop("_node")

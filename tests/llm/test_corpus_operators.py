@@ -326,3 +326,15 @@ def test_calibration_texts_stay_on_executors(spark):
     values, true = language_id._sample_entropies(training, "text", "lang", 10, sent)
     assert values.shape == (17, 2) and sorted(true.tolist()) == [0] * 7 + [1] * 10
     assert (values.argmin(axis=1) == true).all()
+
+
+# --- near-duplicates of tables with null and repeated ids ---
+
+
+def test_distinct_texts_of_null_and_repeated_ids_stay(spark):
+    one, two, three, four, five = (sentence(300 + k, 60, "abcde") for k in range(5))
+    rows = [(1, one), (None, one), (None, two), (None, three), (None, three), (None, three.upper()), (7, one), (7, four), (7, four)]
+    rows += [(8, five), (9, five), (8, "other words"), (None, None), (None, None), (None, "")]
+    got = Counter((r["doc_id"], (r["text"] or "").lower()) for r in hyperminhash.drop_near_duplicates(table(spark, rows)).collect())
+    wanted = [(1, one), (None, two), (None, three), (7, four), (8, five), (8, "other words"), *[(None, "")] * 3]
+    assert got == Counter((number, text.lower()) for number, text in wanted)
