@@ -95,3 +95,28 @@ SELECT conv_id, call_id, turn, CAST(turn > opening AS INTEGER) AS level,
             END AS VARCHAR) AS record
 FROM calls LEFT JOIN answers USING (conv_id, turn)
 """
+
+# All phrases of up to four words are counted, frequent or not.
+ORACLE["op12_collocations"] = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
+                       unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+grams AS (SELECT lang, m, ws[i:i + m - 1] AS g FROM
+          (SELECT lang, ws, m, unnest(range(1, CAST(len(ws) - m + 2 AS BIGINT))) AS i
+           FROM ws, (VALUES (1), (2), (3), (4)) AS lengths(m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, g, f AS a FROM f WHERE m > 1 AND f >= 30),
+inner_parts AS (SELECT lang, a AS longer, g[i:j] AS g FROM
+                (SELECT lang, a, g, m, i, unnest(range(i + 1, m + 1)) AS j FROM
+                 (SELECT lang, a, g, m, unnest(range(1, CAST(m AS BIGINT))) AS i FROM c WHERE m > 2)) WHERE j - i + 1 < m),
+hidden AS (SELECT DISTINCT c.lang, c.g FROM c JOIN inner_parts p ON p.lang = c.lang AND p.g = c.g WHERE 100 * longer >= 80 * a),
+cuts AS (SELECT lang, g, a, m, unnest(range(1, CAST(m AS BIGINT))) AS k FROM c ANTI JOIN hidden USING (lang, g)),
+scored AS (SELECT cuts.lang, cuts.g, a, k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * a) // (x.f + y.f) AS BIGINT) AS score
+           FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = cuts.g[1:k] JOIN f y ON y.lang = cuts.lang AND y.g = cuts.g[k + 1:cuts.m]),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (SELECT *, array_to_string(g, ' ') AS phrase FROM least
+           QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM ranked JOIN total USING (lang)
+"""

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.chat_format import link_tool_calls
+from pagemill.llm.collocations import collocations
 from pagemill.llm.decontaminate import overlap_report
 from pagemill.llm.hyperminhash import link_components
 from pagemill.llm.language_id import identify
@@ -16,6 +17,7 @@ from pagemill.llm.secret_scan import KINDS, scan_documents, spans_text
 from pagemill.llm.sharding import shard_documents
 from pagemill.llm.suffix_dedup import remove_repeats
 from pagemill.llm.token_count import token_count
+from pagemill.llm.toxicity import learn_toxicity, toxicity_score
 
 QUERIES = {}
 
@@ -148,3 +150,20 @@ def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     schemas = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
     return link_tool_calls(calls, results, schemas)
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels of two thirds of them."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    network = learn_toxicity(docs.where(~held_out), labels.where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity_score(F.col("text"), network).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 strongest phrases of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
