@@ -16,6 +16,7 @@ from pagemill.llm.quality_rules import STATS, score_documents
 from pagemill.llm.secret_scan import KINDS, scan_documents, spans_text
 from pagemill.llm.sharding import shard_documents
 from pagemill.llm.suffix_dedup import remove_repeats
+from pagemill.llm.token_alignment import align_documents
 from pagemill.llm.token_count import token_count
 from pagemill.llm.toxicity import learn_toxicity, toxicity_score
 
@@ -167,3 +168,11 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 strongest phrases of each language."""
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of the tokens of every document in two vocabularies."""
+    docs = table(spark, sf_dir, "documents")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_documents(docs, *paths)[0]
