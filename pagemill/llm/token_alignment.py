@@ -24,7 +24,9 @@ matter, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -41,7 +43,7 @@ from pagemill.session import materialize
 
 # Characters of a text that are worked on at a time, and chunks that are remembered.
 SEGMENT = 1 << 20
-CHUNKS = 150_000
+CHUNKS = 250_000
 BROADCAST_PAIRS = 500_000
 
 _IRREGULAR = re.compile(r"  |[^\S ] ")
@@ -56,8 +58,6 @@ class ByteVocabulary:
     """A byte-level ``.json`` vocabulary; special tokens are plain text."""
 
     def __init__(self, path: str):
-        import json
-
         ranks, special = load_vocabulary(path)
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
@@ -69,10 +69,7 @@ class ByteVocabulary:
         plain = {bytes(map(of_symbol.__getitem__, t)): n for t, n in entries.items()}
         self.size = max(content["model"]["vocab"].values()) + 1
         self.bytes = {n: t for t, n in plain.items()}
-        self._encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={}).encode_ordinary
-
-    def encode(self, chunk: str) -> list[int]:
-        return self._encode(chunk)
+        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={}).encode_ordinary
 
 
 class PieceVocabulary:
@@ -90,9 +87,10 @@ class PieceVocabulary:
         }
         self._blank = pieces.index("▁")
 
-    def encode(self, chunk: str) -> list[int]:
-        """Ids of a chunk, which begins with a blank."""
-        return self.model.encode(chunk[1:], num_threads=1) if len(chunk) > 1 else [self._blank]
+    def encode(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks, which begin with a blank."""
+        found = self.model.encode([chunk[1:] for chunk in chunks], num_threads=1)
+        return [ids if len(chunk) > 1 else [self._blank] for chunk, ids in zip(chunks, found)]
 
 
 # --- chunks ---------------------------------------------------------------------------------
@@ -115,94 +113,105 @@ def segments(text: str) -> Iterator[list[str]]:
 
 
 class Aligner:
-    """Chunks by number: their tokens, groups and linked pairs."""
+    """Texts to groups and linked pairs; chunks in recent use keep their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteVocabulary(path_a), PieceVocabulary(path_b)
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []  # a * 2^32 + b, sorted, and how often
-        self.times: list[np.ndarray] = []
-        self.sizes: list[tuple[int, int, int, int]] = []
-        self.spelled: list[bool] = []
-
-    def chunk(self, chunk: str) -> int:
-        number = self.number.get(chunk)
-        if number is None:
-            number = self.number[chunk] = len(self.groups)
-            self._align(chunk)
-        return number
-
-    def _align(self, chunk: str) -> None:
-        wanted = chunk.encode()
-        ids_a, ids_b = self.a.encode(chunk), self.b.encode(chunk)
-        bytes_a, bytes_b = [self.a.bytes[n] for n in ids_a], [self.b.bytes[n] for n in ids_b]
-        spelled = b"".join(bytes_a) == wanted and b"".join(bytes_b) == wanted
-        self.spelled.append(spelled)
-        if not spelled:
-            ids_a, ids_b, bytes_a, bytes_b = [], [], [], []
-        groups, links = [], []
-        i = j = first_a = first_b = end_a = end_b = 0
-        while i < len(ids_a) or j < len(ids_b):
-            if end_a <= end_b:
-                end_a += len(bytes_a[i])
-                i += 1
+        if self.a.size * self.b.size > 1 << 32:
+            raise ValueError("vocabularies of more than 2^32 pairs are not supported")
+        size = max(self.a.size, self.b.size)
+        self.length_a, self.length_b = (
+            np.array([len(v.bytes.get(n, b"")) for n in range(size)], dtype=np.int64) for v in (self.a, self.b)
+        )
+        # Each id with a comma, a bar or a semicolon behind it, and zeros to equal width.
+        spelled = [f"{n}{mark}".encode() for n in range(size) for mark in ",|;"]
+        self.spelled = np.array(spelled).view(np.uint8).reshape(len(spelled), -1)
+        # Ids in both vocabularies by chunk, as bytes; None if they do not spell the chunk.
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _learn(self, chunks: list[str]) -> None:
+        known, older, of_b, encode = self.known, self.older, self.b.bytes, self.a.encode
+        fresh = []
+        for chunk in chunks:
+            if chunk in older:
+                known[chunk] = older[chunk]
             else:
-                end_b += len(bytes_b[j])
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, ids_a[first_a:i]))}|{','.join(map(str, ids_b[first_b:j]))}")
-                links.append((ids_a[first_a:i], ids_b[first_b:j]))
-                first_a, first_b = i, j
-        found = []
-        for left, right in links:
-            if len(left) == len(right) == 1:
-                found.append((np.array([left[0] << 32 | right[0]]), np.ones(1, dtype=np.int64)))
-            else:  # a pair as often as its ids stand in the group, multiplied
-                (x, nx), (y, ny) = np.unique(left, return_counts=True), np.unique(right, return_counts=True)
-                found.append(((x[:, None] << 32 | y).ravel(), (nx[:, None] * ny).ravel()))
-        pairs, times = _summed(found)
-        self.groups.append(";".join(groups))
-        self.pairs.append(pairs)
-        self.times.append(times)
-        self.sizes.append((len(ids_a), len(ids_b), len(groups), int(times.sum())))
+                fresh.append(chunk)
+        for chunk, ids_b in zip(fresh, self.b.encode(fresh)):
+            if b"".join([of_b[n] for n in ids_b]) == chunk.encode():
+                known[chunk] = array("I", encode(chunk)).tobytes(), array("I", ids_b).tobytes()
+            else:
+                known[chunk] = None
+
+    def tokens(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids in both vocabularies, or None if they do not spell the chunks."""
+        if len(self.known) >= CHUNKS:
+            self.known, self.older = {}, self.known
+        known = self.known
+        if missing := [chunk for chunk in set(chunks) if chunk not in known]:
+            self._learn(missing)
+        found = list(map(known.__getitem__, chunks))
+        if None in found:
+            return None
+        left, right = zip(*found)
+        return tuple(np.frombuffer(b"".join(part), dtype=np.uint32).astype(np.int64) for part in (left, right))
+
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[int, bytes, np.ndarray]:
+        """The number of groups, their text, and the links as a * size of B + b."""
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        common = end_a[_found_in(end_a, end_b)]
+        # Tokens up to and with each group, and the group of each token.
+        upto_a, upto_b = (np.searchsorted(end, common, side="right") for end in (end_a, end_b))
+        many_a, many_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        groups = np.arange(len(common))
+        of_a, of_b = np.repeat(groups, many_a), np.repeat(groups, many_b)
+        code = np.empty(len(a) + len(b), dtype=np.int64)
+        mark_a, mark_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        mark_a[upto_a - 1], mark_b[upto_b - 1] = 1, 2
+        code[np.arange(len(a)) + (upto_b - many_b)[of_a]] = 3 * a + mark_a
+        code[np.arange(len(b)) + upto_a[of_b]] = 3 * b + mark_b
+        text = self.spelled[code].ravel()
+        # Each token of A as often as its group has tokens of B, beside each of these.
+        times = many_b[of_a]
+        before = np.cumsum(times) - times
+        place = np.arange(int(times.sum())) + np.repeat((upto_b - many_b)[of_a] - before, times)
+        return len(common), text[text != 0].tobytes(), np.repeat(a * self.b.size, times) + b[place]
 
     def text(self, text: str) -> tuple[tuple[int, int, int, int], str, np.ndarray, np.ndarray] | None:
         """Measures, digest of the groups, pairs and how often; None if the tokens do not
         spell the text."""
         totals, digest, found = np.zeros(4, dtype=np.int64), hashlib.sha256(), []
         for number, chunks in enumerate(segments(text)):
-            if len(self.groups) > CHUNKS:
-                self.forget()
-            known = self.number
-            of_chunk = [known[c] if c in known else self.chunk(c) for c in chunks]
-            distinct, times = np.unique(np.array(of_chunk), return_counts=True)
-            picked = distinct.tolist()
-            if not all(map(self.spelled.__getitem__, picked)):
+            tokens = self.tokens(chunks)
+            if tokens is None:
                 return None
-            totals += times @ np.array([self.sizes[n] for n in picked])
-            groups = self.groups
-            digest.update(((";" if number else "") + ";".join([groups[n] for n in of_chunk])).encode())
-            lengths = [len(self.pairs[n]) for n in picked]
-            weighted = np.concatenate([self.times[n] for n in picked]) * np.repeat(times, lengths)
-            found.append((np.concatenate([self.pairs[n] for n in picked]), weighted))
-        pairs, times = _summed(found)
+            groups, spelled, links = self.align(*tokens)
+            totals += (len(tokens[0]), len(tokens[1]), groups, len(links))
+            digest.update((b";" if number else b"") + spelled[:-1])
+            links.sort()
+            start = np.flatnonzero(np.diff(links, prepend=-1))
+            found.append((links[start], np.diff(start, append=len(links))))
+        pairs, times = found[0] if len(found) == 1 else _summed(found)
         return tuple(totals.tolist()), digest.hexdigest(), pairs, times
 
 
+def _found_in(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the sorted values are among the sorted others."""
+    at = np.searchsorted(others, values)
+    found = at < len(others)
+    found[found] = others[at[found]] == values[found]
+    return found
+
+
 def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs, sorted, with their weights summed."""
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     pairs = np.concatenate([p for p, _ in found])
     weights = np.concatenate([w for _, w in found])
     order = np.argsort(pairs, kind="stable")
     pairs, weights = pairs[order], weights[order]
     start = np.flatnonzero(np.diff(pairs, prepend=-1))
-    return pairs[start], np.add.reduceat(weights, start) if len(start) else weights
+    return pairs[start], np.add.reduceat(weights, start)
 
 
 @cache
@@ -224,9 +233,6 @@ def align_texts(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(path_a, path_b)
-        if aligner.a.size * aligner.b.size > 1 << 32:
-            raise ValueError("vocabularies of more than 2^32 pairs are not supported")
-        size_b = aligner.b.size
         for batch in batches:
             for at in range(0, len(batch), 512):  # rows come large
                 part = batch.slice(at, 512)
@@ -237,8 +243,7 @@ def align_texts(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
                         found = ((0, 0, 0, 0), "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
                     measures.append(found[0])
                     digests.append(found[1])
-                    code = (found[2] >> 32) * size_b + (found[2] & 0xFFFFFFFF)
-                    pairs.append(code.astype(np.uint32).tobytes())
+                    pairs.append(found[2].astype(np.uint32).tobytes())
                     times.append(found[3].astype(np.uint32).tobytes())
                 columns = {"text_key": part.column("text_key"), "copies": part.column("copies")}
                 for k, name in enumerate(MEASURES):
