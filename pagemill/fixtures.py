@@ -51,6 +51,18 @@ FROM (SELECT conv_id, turn, role, text,
 WHERE role = 'user' AND next_role = 'assistant'
 """
 
+# Texts with letters of other scripts in place of some: Han, Thai, kana with an ideographic
+# space, and combining marks.
+SCRIPTS = """
+SELECT doc_id AS seq, lang,
+       CASE doc_id % 4
+         WHEN 0 THEN translate(text, 'aeiou', '的一是不了')
+         WHEN 1 THEN translate(text, 'st.', 'กขฯ')
+         WHEN 2 THEN replace(translate(text, 'en', 'のア'), ' ', '　')
+         ELSE replace(text, 'e', 'e\u0301') END AS text
+FROM {documents}
+"""
+
 COMPLETIONS = r"""
 SELECT seq, 'request' AS stage, 'WI_all' AS category,
        concat('Summarise page ', CAST(seq AS STRING)) AS completion
@@ -83,6 +95,10 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(TURN_PAIRS, conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SCRIPTS, documents=documents(spark, sf_dir))
+
+
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(COMPLETIONS, webpages=webpages(spark, sf_dir))
 

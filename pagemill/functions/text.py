@@ -16,7 +16,27 @@ WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 PARAGRAPH_BREAK = "\n\n"
 SECTION_METHODS = ("uniform", "gaussian")
-TOKEN_PATTERN = r"\w+|[^\w\s]+"
+
+# Scripts that put no spaces between words, as ranges of code points: Thai and Lao, Tibetan,
+# Myanmar, Khmer, kana, Han with its extensions, and halfwidth kana.
+UNSPACED = (
+    (0x0E00, 0x0EFF),
+    (0x0F00, 0x0FFF),
+    (0x1000, 0x109F),
+    (0x1780, 0x17FF),
+    (0x3040, 0x30FF),
+    (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF),
+    (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9F),
+    (0x20000, 0x3FFFF),
+)
+_ALONE = "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in UNSPACED)
+_SPACE = "".join(rf"\x{{{ord(c):X}}}" for c in WHITESPACE)
+# One character of an unspaced script, or a run of letters, marks, digits and "_", or a run of
+# whatever else is not white space.
+TOKEN_PATTERN = rf"[{_ALONE}]|[\p{{L}}\p{{M}}\p{{N}}_&&[^{_ALONE}]]+|[^\p{{L}}\p{{M}}\p{{N}}_{_SPACE}{_ALONE}]+"
 
 
 def strip(text: Column) -> Column:
@@ -125,7 +145,12 @@ def strip_improved_lead(response: Column) -> Column:
 
 
 def token_set(text: Column) -> Column:
-    """Distinct word and punctuation tokens, with the begin-of-text token that a
-    model tokenizer puts into every set."""
+    """Distinct word and punctuation tokens of any script, with the begin-of-text token
+    that a model tokenizer puts into every set.
+
+    Scripts without spaces give a token per character, so that a text in them is no single
+    token. Characters are classed by Unicode properties; those younger than an engine's tables
+    count as punctuation there.
+    """
     found = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
     return F.array_distinct(F.array_append(found, F.lit(BEGIN_OF_TEXT)))

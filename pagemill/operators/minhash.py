@@ -12,6 +12,8 @@ Arrow batch.
 from __future__ import annotations
 
 import hashlib
+import string
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.fixed_values import BEGIN_OF_TEXT, NUM_PERM
+from pagemill.functions.text import UNSPACED, WHITESPACE
 
 PRIME = 2**31 - 1
 BASE = 911_382_323
@@ -68,19 +71,62 @@ def _string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data if data is not None else b"", dtype=np.uint8), bounds
 
 
-def _byte_classes() -> np.ndarray:
-    """0 for white space, 1 for word bytes, 2 for all others, as the token
-    pattern has it; bytes of non-ASCII characters are all of class 2."""
-    classes = np.full(256, 2, dtype=np.uint8)
-    classes[np.frombuffer(b" \t\n\x0b\f\r", dtype=np.uint8)] = 0
-    word = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
-    classes[np.frombuffer(word, dtype=np.uint8)] = 1
+SPACE, WORD, OTHER, ALONE = range(4)
+
+
+@cache
+def _char_classes() -> np.ndarray:
+    """Class of each code point, as the token pattern has it."""
+    table = np.full(0x110000, OTHER, dtype=np.uint8)
+    kinds = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
+    table[np.isin(kinds, ["L", "M", "N"])] = WORD
+    table[ord("_")] = WORD
+    table[[ord(c) for c in WHITESPACE]] = SPACE
+    for low, high in UNSPACED:
+        table[low : high + 1] = ALONE
+    return table
+
+
+@cache
+def _ascii_classes() -> np.ndarray:
+    """The same for single bytes; those of longer characters are looked at apart."""
+    classes = np.full(256, OTHER, dtype=np.uint8)
+    classes[[ord(c) for c in string.ascii_letters + string.digits + "_"]] = WORD
+    classes[[ord(c) for c in WHITESPACE if ord(c) < 128]] = SPACE
     return classes
 
 
-def _pieces(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, int]]:
+@cache
+def _safe_cuts() -> np.ndarray:
+    """Bytes before which no token goes on: ASCII white space, and the first byte of
+    U+5000 to U+9FFF, where each character is a token."""
+    safe = _ascii_classes() == SPACE
+    safe[0xE5:0xEA] = True
+    return safe
+
+
+def _kinds(piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each byte by its character, and where characters that stand alone begin."""
+    kind = _ascii_classes()[piece]
+    lead = np.flatnonzero(piece >= 0xC0)
+    if not len(lead):
+        return kind, lead
+    first = piece[lead]
+    length = 2 + (first >= 0xE0) + (first >= 0xF0)
+    point = (first & np.where(length == 2, 0x1F, np.where(length == 3, 0x0F, 0x07))).astype(np.int64)
+    for k in range(1, 4):
+        more = np.flatnonzero((length > k) & (lead + k < len(piece)))
+        point[more] = point[more] << 6 | (piece[lead[more] + k] & 0x3F)
+    of_char = _char_classes()[np.minimum(point, 0x10FFFF)]
+    for k in range(4):
+        more = np.flatnonzero((length > k) & (lead + k < len(piece)))
+        kind[lead[more] + k] = of_char[more]
+    return kind, lead[of_char == ALONE]
+
+
+def _pieces(data: np.ndarray, bounds: np.ndarray, safe: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cut the bytes into pieces that split no token: at the end of a text if
-    possible, else at white space, else as far on as needed."""
+    possible, else at a safe byte, else as far on as needed."""
     start, end = int(bounds[0]), int(bounds[-1])
     while start < end:
         stop = min(start + PIECE_BYTES, end)
@@ -89,12 +135,12 @@ def _pieces(data: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> Iterat
             stop = text_end
         else:
             next_end = int(bounds[np.searchsorted(bounds, stop)])
-            spaces = np.flatnonzero(classes[data[start + 1 : stop]] == 0)
-            if len(spaces):
-                stop = start + 1 + int(spaces[-1])
+            cuts = np.flatnonzero(safe[data[start + 1 : stop]])
+            if len(cuts):
+                stop = start + 1 + int(cuts[-1])
             else:
-                while stop < next_end and classes[data[stop]] != 0:
-                    ahead = np.flatnonzero(classes[data[stop : min(stop + PIECE_BYTES, next_end)]] == 0)
+                while stop < next_end and not safe[data[stop]]:
+                    ahead = np.flatnonzero(safe[data[stop : min(stop + PIECE_BYTES, next_end)]])
                     stop = stop + int(ahead[0]) if len(ahead) else min(stop + PIECE_BYTES, next_end)
         yield start, stop
         start = stop
@@ -105,19 +151,19 @@ def _text_tokens(
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Tokens in the bytes of texts, piece by piece: their bytes end to end, their
     lengths and the texts they are of."""
-    classes = _byte_classes()
-    for start, stop in _pieces(data, bounds, classes):
+    for start, stop in _pieces(data, bounds, _safe_cuts()):
         piece = data[start:stop]
-        kind = classes[piece]
+        kind, alone = _kinds(piece)
         edge = np.empty(len(kind) + 1, dtype=bool)
         edge[0] = edge[-1] = True
         np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+        edge[alone] = True
         edge[bounds[np.searchsorted(bounds, start) : np.searchsorted(bounds, stop, side="right")] - start] = True
         cuts = np.flatnonzero(edge)
-        is_token = kind[cuts[:-1]] != 0
+        is_token = kind[cuts[:-1]] != SPACE
         if is_token.any():
             owner = np.searchsorted(bounds, cuts[:-1][is_token] + start, side="right") - 1
-            yield piece[kind != 0], np.diff(cuts)[is_token], owner
+            yield piece[kind != SPACE], np.diff(cuts)[is_token], owner
 
 
 def _listed_tokens(

@@ -12,7 +12,7 @@ from string import Formatter
 
 from pagemill import fixed_values as fixed
 from pagemill import fixtures
-from pagemill.functions.text import TOKEN_PATTERN, WHITESPACE
+from pagemill.functions.text import UNSPACED, WHITESPACE
 
 GAP = "chr(10) || chr(10)"
 SPACE = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
@@ -116,11 +116,24 @@ def category(position: str, n: str) -> str:
     )
 
 
+# Characters of scripts without spaces are set apart by blanks first.
+ALONE = "([" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in UNSPACED) + "])"
+SPACES = "".join(f"\\x{{{ord(c):X}}}" for c in WHITESPACE)
+RUNS = f"[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_{SPACES}]+"
+
+
+def tokens(text: str) -> str:
+    """Distinct tokens of a text."""
+    return (
+        f"list_distinct(list_append(regexp_extract_all(regexp_replace({text}, '{ALONE}', ' \\1 ', 'g'), '{RUNS}'), "
+        f"'{fixed.BEGIN_OF_TEXT}'))"
+    )
+
+
 def near_dup(prefix: str, source: str) -> dict[str, str]:
     """Kept rows of ``source (pool, seq, request, ...)`` by candidate pairs."""
     return {
-        f"{prefix}tokens": f"""SELECT pool, seq, unnest(list_distinct(list_append(
-            regexp_extract_all(request, '{TOKEN_PATTERN}'), '{fixed.BEGIN_OF_TEXT}'))) AS token FROM {source}""",
+        f"{prefix}tokens": f"SELECT pool, seq, unnest({tokens('request')}) AS token FROM {source}",
         f"{prefix}hashes": f"""SELECT pool, seq, token, g2 * g2 % 2147483647 * g % 2147483647 AS h
             FROM (SELECT *, g * g % 2147483647 AS g2 FROM (SELECT *, list_reduce(list_prepend(CAST(0 AS BIGINT),
                 list_transform(regexp_extract_all(hex(encode(token)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
@@ -161,6 +174,7 @@ CTES: dict[str, str] = {
     "webpages": fixtures.WEBPAGES.format(documents="documents"),
     "pairs": fixtures.PAIRS.format(documents="documents", webpages="webpages"),
     "turn_pairs": fixtures.TURN_PAIRS.format(conversations="conversations"),
+    "scripts": fixtures.SCRIPTS.format(documents="documents"),
     "completions": fixtures.COMPLETIONS.format(webpages="webpages"),
     "buckets": fixtures.BUCKETS.format(documents="documents", bands="unnest([0, 1, 2])"),
     "parts": f"SELECT *, len(parts) AS n FROM (SELECT *, string_split(webpage, {GAP}) AS parts FROM webpages)",
@@ -175,6 +189,7 @@ CTES: dict[str, str] = {
     "t_rows": f"""SELECT 'turns' AS pool, row_number() OVER (ORDER BY conv_id, turn) - 1 AS seq,
         conv_id, turn, request FROM turn_pairs WHERE {USABLE}""",
     **near_dup("t_", "t_rows"),
+    **near_dup("s_", "(SELECT 's' AS pool, seq, text AS request FROM scripts)"),
     "planted": "SELECT DISTINCT x.idx AS i, y.idx AS j FROM buckets x JOIN buckets y USING (band, key)",
     # The stages of a whole run against the stub model.
     "e_author": stub(f"(SELECT seq, webpage, {AUTHOR_PROMPT} AS p FROM webpages)", "seq, webpage"),
@@ -278,6 +293,9 @@ BODIES: dict[str, str] = {
     "keyed_choice": f"""SELECT seq, {pick(fixed.WI_WORDS, 'word')} AS wi_word, {pick(fixed.WR_WORDS, 'word')} AS wr_word,
         CAST({pick(fixed.LEN_LIMITS, 'len_limit')} AS BIGINT) AS len_limit FROM webpages""",
     "minhash_tokens": "SELECT seq, string_agg(token, ' ' ORDER BY token) AS tokens FROM d_tokens GROUP BY seq",
+    "minhash_tokens_of_scripts": """SELECT seq, count(*) AS n_tokens, string_agg(token, ' ' ORDER BY token) AS tokens
+        FROM s_tokens GROUP BY seq""",
+    "minhash_signature_of_scripts": "SELECT seq, string_agg(v, ',' ORDER BY k) AS signature FROM s_sig GROUP BY seq",
     "minhash_signature": "SELECT seq, string_agg(v, ',' ORDER BY k) AS signature FROM d_sig GROUP BY seq",
     "minhash_signature_of_tokens": "SELECT seq, string_agg(v, ',' ORDER BY k) AS signature FROM d_sig GROUP BY seq",
     "minhash_signature_in_sql": "SELECT seq, string_agg(v, ',' ORDER BY k) AS signature FROM d_sig GROUP BY seq",

@@ -342,6 +342,21 @@ def minhash_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usable_pairs(spark, sf_dir).select("seq", F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
 
+@query
+def minhash_tokens_of_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document in several scripts, and their number."""
+    tokens = text.token_set(F.col("text"))
+    found = fixtures.scripts(spark, sf_dir).select("seq", F.array_sort(tokens).alias("tokens"))
+    return found.select("seq", F.size("tokens").cast("bigint").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query
+def minhash_signature_of_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of the same texts, whose tokens are found in their bytes."""
+    signed = minhash.text_signature(F.col("text"))
+    return fixtures.scripts(spark, sf_dir).select("seq", F.array_join(signed, ",").alias("signature"))
+
+
 @query
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signed(spark, sf_dir).select("seq", F.array_join("signature", ",").alias("signature"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -14,9 +14,27 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagemill.fixed_values import BEGIN_OF_TEXT
+from pagemill.functions.text import UNSPACED, token_set
 from pagemill.operators import minhash, neardup
 
-TOKEN = re.compile(r"\w+|[^\w\s]+", re.ASCII)
+
+
+def tokens_of(text):
+    """Tokens by the rule, character by character."""
+    found, last = [], None
+    for c in text:
+        if any(low <= ord(c) <= high for low, high in UNSPACED):
+            kind = "alone"
+        elif c.isspace():
+            kind = "space"
+        else:
+            kind = "word" if c == "_" or unicodedata.category(c)[0] in "LMN" else "other"
+        if kind == last and kind not in ("alone", "space"):
+            found[-1] += c
+        elif kind != "space":
+            found.append(c)
+        last = kind
+    return found
 
 
 def literal_signature(tokens, a, b):
@@ -32,22 +50,47 @@ def literal_signature(tokens, a, b):
 
 @settings(max_examples=60, deadline=None)
 @given(
-    st.lists(st.text(alphabet=st.sampled_from("ab_9 .,\n\t\x0béß漢字\U0001f600\x00"), max_size=60), max_size=8),
+    st.lists(st.text(alphabet=st.sampled_from("ab_9 .,\n\t\x0b\x1d\xa0éß漢字倀กの、　\u0301\U0001f600\U00020001\x00"), max_size=60), max_size=8),
     st.sampled_from([1, 4, 16, 1 << 17]),
 )
 def test_signature_of_bytes_equals_signature_of_tokens(texts, piece):
     a, b = minhash.permutations(18)
-    want = [literal_signature([*TOKEN.findall(t), BEGIN_OF_TEXT], a, b) for t in texts]
+    want = [literal_signature([*tokens_of(t), BEGIN_OF_TEXT], a, b) for t in texts]
     whole, minhash.PIECE_BYTES = minhash.PIECE_BYTES, piece
     try:
         array = pa.array(["skipped", *texts], pa.string()).slice(1)
         assert minhash._sign_texts(array, a, b).to_pylist() == want
-        lists = pa.array([[*TOKEN.findall(t), BEGIN_OF_TEXT, ""] for t in texts], pa.list_(pa.string()))
+        lists = pa.array([[*tokens_of(t), BEGIN_OF_TEXT, ""] for t in texts], pa.list_(pa.string()))
         assert minhash._sign_token_lists(lists, a, b).to_pylist() == want
     finally:
         minhash.PIECE_BYTES = whole
 
 
+def test_token_columns_follow_the_rule(spark):
+    texts = ["", "don't, caf\u00e9 cafe\u0301", "他是学生。ok学生", "กข ฯabc", "\u3000の\xa0アx_1!?", "Привет, мир\x1d٣٤", "a\U0001f600\U00020001b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", token_set(F.col("text")).alias("tokens"))
+    for row in rows.collect():
+        assert set(row["tokens"]) == {*tokens_of(row["text"]), BEGIN_OF_TEXT}
+
+
+def test_requests_without_spaces_that_differ_in_one_character_are_near_duplicates(spark):
+    draw = random.Random(5)
+    requests = ["".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(40)) for _ in range(6)]
+    changed = [r[:20] + "一" + r[21:] for r in requests]
+    rows = [("WI", n, r, r) for n, r in enumerate([*requests, *changed])]
+    df = spark.createDataFrame(rows, "pool string, seq bigint, request string, response string")
+    agree = minhash._sign_texts(pa.array([requests[0], changed[0]]), *minhash.permutations()).to_pylist()
+    assert np.mean(np.array(agree[0]) == np.array(agree[1])) > 0.9
+    assert sorted(r["seq"] for r in neardup.surviving_rows(df).collect()) == list(range(6))
+
+
+def test_long_texts_without_spaces_are_cut_between_characters():
+    text = "".join(chr(0x4E00 + k % 20_000) for k in range(200_000))
+    bounds = np.array([0, 600_000])
+    pieces = list(minhash._pieces(np.frombuffer(text.encode(), dtype=np.uint8), bounds, minhash._safe_cuts()))
+    assert max(b - a for a, b in pieces) <= minhash.PIECE_BYTES and len(pieces) > 4
+
+
 def test_one_very_long_text_is_signed_whole():
     a, b = minhash.permutations(8)
     words = [f"w{i}" for i in range(150_000)] + ["x" * 700_000]
@@ -138,7 +181,7 @@ def literal_survivors(data):
         table = []
         for owner, seq, request in data:
             if owner == pool:
-                sig = literal_signature([*TOKEN.findall(request), BEGIN_OF_TEXT], a, b)
+                sig = literal_signature([*tokens_of(request), BEGIN_OF_TEXT], a, b)
                 table += [(seq, band, tuple(sig[band * 9 : band * 9 + 9])) for band in range(14)]
         survivors |= {seq for seq, *_ in table} - literal_removed(table)
     return survivors
