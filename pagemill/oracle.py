@@ -243,6 +243,7 @@ FINAL = "SELECT prompt_id, roles, first, second FROM"
 
 BODIES: dict[str, str] = {
     "json_array_scan": "SELECT seq, webpage FROM webpages",
+    "json_array_split_scan": "SELECT row_number() OVER (ORDER BY seq) - 1 AS place, seq, webpage FROM webpages",
     "json_merge_scan": """SELECT CAST(0 AS INT) AS source_ord, seq AS page_id, webpage FROM pairs WHERE pool = 'WI'
         UNION ALL SELECT 1, min(seq), arg_min(webpage, seq) FROM webpages GROUP BY author
         UNION ALL SELECT 2, seq, webpage FROM pairs WHERE pool = 'WR'""",

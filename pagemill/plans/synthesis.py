@@ -71,11 +71,11 @@ class Synthesis:
         if self.section_method not in SECTION_METHODS:
             raise ValueError(f"section method {self.section_method!r} is not one of {SECTION_METHODS}")
 
-    def ingest(self, paths: Sequence[str], schema=PAGES, lines: bool = False) -> DataFrame:
+    def ingest(self, paths: Sequence[str], schema=PAGES, lines: bool = False, split: bool = False) -> DataFrame:
         """Read page files in order into a table. ``seq`` is fixed by writing it:
-        read ids depend on how the files were split."""
+        read ids depend on how the files were split. ``split`` is for large array files."""
         self.store.same_run("ingest", {"paths": list(paths), "lines": lines})
-        read = read_json_in_order(self.store.spark, paths, schema, lines)
+        read = read_json_in_order(self.store.spark, paths, schema, lines, split)
         self.store.ensure("pages", lambda: read.withColumn("seq", F.monotonically_increasing_id()))
         return self.store.read("pages").drop("wave")
 

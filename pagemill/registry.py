@@ -63,6 +63,16 @@ def json_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_json(spark, path, pages.schema)
 
 
+@query
+def json_array_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages in one array file, read in as many tasks as its size gives."""
+    path = scratch_path(spark, "array")
+    pages = fixtures.webpages(spark, sf_dir).select("seq", "webpage")
+    records.write_json_arrays(pages, path, rows_per_file=1 << 60, bytes_per_file=1 << 60)
+    read = records.read_json_array(spark, path, pages.schema, "position")
+    return global_row_number(read, ["position"], "place").select("place", "seq", "webpage")
+
+
 @query
 def json_merge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with array roots, then files with an object root, then arrays again."""

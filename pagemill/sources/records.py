@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.sources.json_arrays import read_json_array, write_json_arrays  # noqa: F401
+
 PAGES = T.StructType([T.StructField("webpage", T.StringType())])
 MESSAGES = "array<struct<content: string, role: string>>"
 FINAL_SCHEMA = f"prompt_id string, messages {MESSAGES}"
@@ -18,26 +20,34 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str, lines:
 
     A file whose root is an array gives a row per element, one whose root is an
     object gives one row; any other root fails the job. Such a file is parsed by
-    one task, so large inputs should be many files or JSON Lines
+    one task: read large ones by ``read_json_array``, or write JSON Lines
     (``lines=True``), which split.
     """
     reader = spark.read.schema(schema).option("mode", "FAILFAST").option("encoding", "UTF-8")
+    reader = reader.option("recursiveFileLookup", True)  # folders in it are no columns
     return reader.option("multiLine", not lines).json(path)
 
 
 def read_json_in_order(
-    spark: SparkSession, paths: Sequence[str], schema: T.StructType | str, lines: bool = False
+    spark: SparkSession,
+    paths: Sequence[str],
+    schema: T.StructType | str,
+    lines: bool = False,
+    split: bool = False,
 ) -> DataFrame:
     """Append files in the given order; ``source_ord`` and ``seq`` carry it.
 
-    ``seq`` is the read id of Spark: increasing inside each file, unique per
-    path, not dense. Sort by ``(source_ord, seq)``.
+    ``seq`` increases inside each file and is unique per path, not dense. Sort by
+    ``(source_ord, seq)``. ``split`` reads each array file in several tasks.
     """
     merged: DataFrame | None = None
     for ordinal, path in enumerate(paths):
-        part = read_json(spark, path, schema, lines).select(
-            F.lit(ordinal).alias("source_ord"), F.monotonically_increasing_id().alias("seq"), "*"
-        )
+        if split:
+            part = read_json_array(spark, path, schema, "seq").select(F.lit(ordinal).alias("source_ord"), "*")
+        else:
+            part = read_json(spark, path, schema, lines).select(
+                F.lit(ordinal).alias("source_ord"), F.monotonically_increasing_id().alias("seq"), "*"
+            )
         merged = part if merged is None else merged.unionByName(part)
     if merged is None:
         raise ValueError("no input path given")
@@ -60,20 +70,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, key: str = "seq", rows_per_file: int = 1000) -> None:
-    """A folder of indented JSON files with an array root each.
-
-    For consumers that expect arrays. Rows are grouped by blocks of the unique
-    BIGINT ``key``, at most ``rows_per_file`` each, and sorted by it inside.
-    """
-    block = F.floor(F.col(key) / rows_per_file)
-    row = F.struct(F.col(key).alias("_key"), F.struct("*").alias("_row"))
-    arrays = df.groupBy(block.alias("_block")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    rows = arrays.select(F.transform("_rows", lambda r: r["_row"]).alias("v"))
-    text = F.to_json("v", {"pretty": "true", "ignoreNullFields": "false"})
-    rows.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-
-
 def write_parquet(df: DataFrame, path: str) -> int:
     """Write and return the number of rows written."""
     seen = Observation()

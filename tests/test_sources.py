@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,12 +53,77 @@ def test_missing_field_reads_as_null(spark, tmp_path):
 def test_array_files_are_valid_json_of_bounded_length(spark, tmp_path):
     df = spark.range(95).select(F.col("id").alias("seq"), F.concat(F.lit("p"), "id").alias("webpage"))
     records.write_json_arrays(df.repartition(5), str(tmp_path / "out"), rows_per_file=20)
-    files = [json.loads(f.read_text()) for f in (tmp_path / "out").glob("part-*")]
+    files = [json.loads(f.read_text()) for f in (tmp_path / "out").rglob("part-*")]
     assert sorted(len(f) for f in files if f) == [15, 20, 20, 20, 20]
     assert all([r["seq"] for r in f] == sorted(r["seq"] for r in f) for f in files)
     assert sorted(r["webpage"] for f in files for r in f) == sorted(f"p{i}" for i in range(95))
 
 
+def test_array_files_are_bounded_in_bytes(spark, tmp_path):
+    """Records of 3 MB: a file ends with the one that reaches the limit."""
+    df = spark.range(-3, 9).select(F.col("id").alias("seq"), F.repeat(F.lit('x"{}\\'), 600_000).alias("webpage"))
+    records.write_json_arrays(df, str(tmp_path / "out"), rows_per_file=5, bytes_per_file=4_000_000)
+    files = [json.loads(f.read_text()) for f in (tmp_path / "out").rglob("part-*")]
+    # Blocks of five keys are [-5, 0), [0, 5) and [5, 10).
+    assert sorted(tuple(r["seq"] for r in f) for f in files) == [(-3,), (-2,), (-1,), (0,), (1,), (2,), (3,), (4,), (5,), (6,), (7,), (8,)]
+    back = records.read_json(spark, str(tmp_path / "out"), df.schema)
+    assert back.columns == df.columns and back.exceptAll(df).count() == 0 and back.count() == 12
+
+
+@pytest.fixture
+def split_bytes(spark):
+    """Sets the size of a split."""
+    conf = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(c) for c in conf]
+
+    def put(size):
+        for c in conf:
+            spark.conf.set(c, str(size))
+
+    yield put
+    for c, value in zip(conf, before):
+        spark.conf.set(c, value)
+
+
+TRICKY = ["}", "{", "[", "]", '"', "\\", '\\"', "\\\\", "},{", '"}', '{"a": 1}', "\n", "é漢", ""]
+
+
+@pytest.mark.parametrize(("indent", "size"), [(None, 61), (4, 83), (None, 400), (4, 1 << 20)])
+def test_one_array_file_is_read_in_many_tasks(spark, tmp_path, split_bytes, indent, size):
+    draw = random.Random(size)
+    rows = [
+        {"n": n, "webpage": "".join(draw.choices(TRICKY, k=draw.randrange(6))), "more": {"x": draw.choices(TRICKY, k=2)}}
+        for n in range(40)
+    ]
+    path = tmp_path / "a.json"
+    path.write_text(json.dumps(rows, indent=indent, ensure_ascii=size != 61), encoding="utf-8")
+    split_bytes(size)
+    schema = "n int, webpage string, more struct<x: array<string>>"
+    read = records.read_json_array(spark, str(path), schema, "position")
+    got = sorted(read.collect(), key=lambda r: r["position"])
+    assert [(r["n"], r["webpage"], r["more"]["x"]) for r in got] == [(r["n"], r["webpage"], r["more"]["x"]) for r in rows]
+    if size < 100:
+        assert read.select("position").where("position >= 4294967296").count() > 20  # elements of later splits
+
+
+def test_split_reading_of_folders_objects_and_other_roots(spark, tmp_path, split_bytes):
+    split_bytes(60)
+    write(tmp_path, "a.json", page("a0", "a1}", "a2"))
+    write(tmp_path, "b.json", {"webpage": "single", "deep": {"x": {}}})
+    write(tmp_path, "c.json", [])
+    write(tmp_path, "d.json", [{}])
+    (tmp_path / "e.json").write_bytes(b"\xef\xbb\xbf" + json.dumps(page("e0")).encode())
+    (tmp_path / "f.json").write_text("")
+    got = records.read_json_array(spark, str(tmp_path), "webpage string", "p").orderBy("p")
+    assert [r["webpage"] for r in got.collect()] == ["a0", "a1}", "a2", "single", None, "e0"]
+    merged = records.read_json_in_order(spark, [str(tmp_path / "b.json"), str(tmp_path / "a.json")], records.PAGES, split=True)
+    assert [r.webpage for r in merged.orderBy("source_ord", "seq").collect()] == ["single", "a0", "a1}", "a2"]
+    for root in ("text", 3, ["a", "b"], [1, {"webpage": "x"}], [[{"webpage": "x"}]]):
+        (tmp_path / "other").mkdir(exist_ok=True)
+        with pytest.raises(Exception):
+            records.read_json_array(spark, write(tmp_path / "other", "x.json", root), records.PAGES).collect()
+
+
 def test_parquet_sink_counts_its_rows(spark, tmp_path):
     assert records.write_parquet(spark.range(37), str(tmp_path / "p")) == 37
     assert spark.read.parquet(str(tmp_path / "p")).count() == 37
