@@ -47,6 +47,9 @@ SAMPLE_COUNT = 2
 # Parts that candidates of a language are ranked in before the last ranking.
 RANK_PARTS = 16
 
+# Bytes of texts that are counted together: what a task keeps is some forty times that.
+COUNTED_BYTES = 3 << 20
+
 _CLASSES = byte_classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 _COUNTED = "lang string, words int, phrase string, hash long, n long, proposed boolean"
 
@@ -224,7 +227,7 @@ def _phrase_rows(docs: DataFrame, text_column: str, lang_column: str, count, *ma
         for batch in batches:
             names = batch.column(0).dictionary_encode()
             lang, langs = names.indices.to_numpy(zero_copy_only=False).astype(np.int64), names.dictionary.to_pylist()
-            for words in word_blocks(batch.column(1), _CLASSES, LONGEST - 1):
+            for words in word_blocks(batch.column(1), _CLASSES, LONGEST - 1, COUNTED_BYTES):
                 if len(words.code):
                     yield from count(_Phrases(words, lang, langs), *maps)
 
