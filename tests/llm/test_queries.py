@@ -21,7 +21,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert sorted(int(re.fullmatch(r"op(\d+)_\w+", name)[1]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.fullmatch(r"op(\d+)_\w+", name)[1]) for name in QUERIES) == list(range(1, 14))
     assert queries().keys() > QUERIES.keys() | {"pipeline"} and oracle_sql().keys() > ORACLE.keys()
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
