@@ -53,6 +53,14 @@ def _scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/pagemill/{sc.applicationId}"
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written, once nothing reads them any more."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        folder = sc._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables of this application.
 
@@ -82,4 +90,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(_SHUFFLE_CLEANUP)
         else:
             spark.conf.set(_SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
