@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.session import materialize
+from pagemill.session import discard, materialize
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -32,11 +32,16 @@ def connected(edges: DataFrame) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(
             small.select("u", F.col("least").alias("v"))
         )
-        current = materialize(small.where("u <> v").distinct(), "edges")
+        last, current = current, materialize(small.where("u <> v").distinct(), "edges")
+        discard(last)
         sums = F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))
         state = tuple(current.agg(F.count("*"), sums).first())
         if state == before:
             break
         before = state
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    labels = materialize(
+        current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "labels"
+    )
+    discard(current)
+    return labels

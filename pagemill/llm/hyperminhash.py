@@ -21,9 +21,14 @@ few partners leave. Buckets that hide further ones give more of them in another
 until none is hidden. So a hot bucket costs no list of its pairs, and still no link
 between components is lost.
 
+A text's shingles are computed again for the pairs to be confirmed, as these are few, and
+are joined with them by the nodes concerned. Scratch tables go when their last reader is written.
+
 Shingles are 64-bit hashes throughout. Null and empty texts and texts without
-words have no set and are linked with nothing. Repeated rows are copies. Ids name texts: rows of
-one id with different texts each get a component, but which of the texts links it is open. An empty table gives an empty result; other columns of the
+words have no set and are linked with nothing. A document is its id and its text: rows that
+repeat both are one, texts that share an id are told apart, and each text without an id is a
+document of its own, which comes after all ids. Of a component without any id the component is
+null, and one of its texts is kept. An empty table gives an empty result; other columns of the
 input are not used.
 """
 
@@ -40,7 +45,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.components import connected
-from pagemill.session import materialize
+from pagemill.operators.numbering import bounded
+from pagemill.session import discard, materialize
 
 SHINGLE = 5
 REGISTERS = 256
@@ -186,14 +192,14 @@ def sketch_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(compute, schema)
 
 
-def _shingle_sets(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _shingle_sets(docs: DataFrame) -> DataFrame:
     """``node`` and its sorted hashes as bytes."""
 
     @F.arrow_udf("binary")
     def sets(texts: pa.Array) -> pa.Array:
         return pa.array([shingles(text.as_py()).tobytes() for text in texts], pa.binary())
 
-    return docs.select(F.col(id_column).alias("node"), sets(text_column).alias("set"))
+    return docs.select("node", sets("text").alias("set"))
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -210,8 +216,9 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return joined.where(passes("ra", "rb", "na", "nb")).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``a, b, linked`` of a table of pairs: whether the full sets have
+    100 * intersection >= percent * union. Only texts of these pairs are looked at."""
 
     @F.arrow_udf("boolean")
     def linked(one: pa.Array, two: pa.Array) -> pa.Array:
@@ -224,9 +231,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(merged) - both))
         return pa.array(out, pa.bool_())
 
+    concerned = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    concerned = materialize(concerned, "concerned")
+    texts = docs.join(bounded(concerned, concerned.count()), "node", "left_semi")
+    sets = materialize(_shingle_sets(texts).dropDuplicates(["node"]), "sets")
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    return joined.select("a", "b", linked("sa", "sb").alias("linked"))
+    tested = materialize(joined.select("a", "b", linked("sa", "sb").alias("linked")), "tested")
+    discard(concerned, sets)
+    return tested
 
 
 def _block_pairs(
@@ -341,31 +354,40 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
 # --- the whole --------------------------------------------------------------------------
 
 
-def link_components(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, ``n_shingles``, ``component_id`` (smallest
-    linked id) and ``kept`` (whether that is its own)."""
+def _named(docs: DataFrame, id_column: str, text_column: str) -> Column:
+    """A name for each document: its id, or if ids repeat or are missing, a struct of whether the
+    ``id`` is missing (false comes first), the ``id`` and a digest of the text."""
+    ids = docs.groupBy(F.col(id_column).alias("id")).count()
+    if not ids.where("id is null or count > 1").limit(1).count():
+        return F.col(id_column)
+    return F.struct(
+        F.col(id_column).isNull().alias("missing"), F.col(id_column).alias("id"), F.md5(text_column).alias("digest")
+    )
+
+
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
+    """``node, n_shingles, component`` of each row of ``docs`` (node, text), as a table."""
     threshold = percent / 100
-    sketches = materialize(sketch_documents(docs, id_column, text_column), "sketches")
+    sketches = materialize(sketch_documents(docs, "node", "text").withColumnRenamed("id", "node"), "sketches")
     filled = sketches.where("n_shingles > 0")
-    classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("node"))
-    classes = materialize(classes.where(F.col("node").isNotNull()), "classes")
-    # One row per node; a node that repeats as a row, or has several texts, keeps each set once.
-    nodes = filled.withColumnRenamed("id", "node").join(classes, ["node", "n_shingles", "d1", "d2"], "left_semi")
-    nodes = materialize(nodes.dropDuplicates(["node", "n_shingles", "d1", "d2"]).drop("d1", "d2"), "nodes")
+    classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("node").alias("node"))
+    classes = materialize(classes, "classes")
+    # One row per node, though its row may repeat.
+    nodes = filled.join(classes, ["node", "n_shingles", "d1", "d2"], "left_semi")
+    nodes = materialize(nodes.dropDuplicates(["node"]).drop("d1", "d2"), "nodes")
 
     bands = nodes.select(F.explode_outer("keys").alias("key"), "node")
     compact = nodes.select("node", "n_shingles", "codes")
     shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least"), F.max("node").alias("most"))
     shared = shared.where("least <> most")
     buckets = materialize(bands.join(shared.select("key", "members", "least"), "key"), "buckets")
-    met = materialize(buckets.select("node").distinct(), "met")
-    wanted = docs.join(met, docs[id_column] == met["node"], "left_semi")
-    sets = materialize(_shingle_sets(wanted, id_column, text_column), "sets").dropDuplicates(["node"])
 
     # Each node and the smallest that it meets.
     first = buckets.where("node <> least").groupBy("node").agg(F.min("least").alias("a"))
-    pairs = _estimated(first.select("a", F.col("node").alias("b")), compact, threshold)
-    tested = materialize(_confirmed(pairs, sets, percent), "tested")
+    pairs = materialize(_estimated(first.select("a", F.col("node").alias("b")), compact, threshold), "met")
+    tests = [_confirmed(pairs, docs, percent)]
+    tested = tests[0]
+    discard(pairs)
     labels = connected(tested.where("linked"))
     rest, partners = buckets, PARTNERS
     while True:
@@ -373,27 +395,45 @@ def link_components(docs: DataFrame, percent: int = 75, id_column: str = "doc_id
         several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         alive = named.join(several.where("low <> high").select("key"), "key")
         alive = alive.select("key", "members", "node", "component").join(compact, "node")
-        found = materialize(_cross_pairs(alive, threshold, partners), "found")
-        fresh = found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        added = materialize(_confirmed(fresh, sets, percent), "tested")
-        tested = tested.unionByName(added)
-        if added.where("linked").limit(1).count():
+        found = _cross_pairs(alive, threshold, partners).groupBy("a", "b")
+        # A pair that meets in many buckets is one row, with those that hide further partners.
+        found = found.agg(F.collect_set(F.when(F.col("more"), F.col("key"))).alias("keys"))
+        found = materialize(found, "found")
+        fresh = materialize(found.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "met")
+        tests.append(_confirmed(fresh, docs, percent))
+        tested = tested.unionByName(tests[-1])
+        discard(fresh)
+        if tests[-1].where("linked").limit(1).count():
+            discard(labels)
             labels = connected(tested.where("linked"))
         # Where every partner has left, all links between components are tested.
-        hidden = found.where("more").select("key").distinct()
+        hidden = materialize(found.select(F.explode("keys").alias("key")).distinct(), "hidden")
+        discard(found)
         if not hidden.limit(1).count():
             break
-        rest, partners = rest.join(hidden, "key", "left_semi"), partners * GROWTH
+        rest, before = materialize(rest.join(hidden, "key", "left_semi"), "buckets"), rest
+        discard(hidden, before)
+        partners *= GROWTH
 
     labelled = classes.join(labels, "node", "left")
-    labelled = labelled.select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    rows = sketches.select("id", "n_shingles", "d1", "d2").join(labelled, ["n_shingles", "d1", "d2"], "left")
-    component: Column = F.coalesce("component_id", "id")
-    return rows.select(
-        F.col("id").alias(id_column),
+    labelled = labelled.select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component"))
+    rows = sketches.select("node", "n_shingles", "d1", "d2").join(labelled, ["n_shingles", "d1", "d2"], "left")
+    out = materialize(rows.select("node", "n_shingles", F.coalesce("component", "node").alias("component")), "linked")
+    discard(sketches, classes, nodes, rest, hidden, labels, *tests)
+    return out
+
+
+def link_components(docs: DataFrame, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the id, ``n_shingles``, ``component_id`` (smallest
+    linked id) and ``kept`` (whether that is its own)."""
+    name = _named(docs, id_column, text_column)
+    linked = _linked(docs.select(name.alias("node"), F.col(text_column).alias("text")), percent)
+    of = (lambda c: F.col(f"{c}.id")) if isinstance(linked.schema["node"].dataType, T.StructType) else F.col
+    return linked.select(
+        of("node").alias(id_column),
         "n_shingles",
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+        of("component").alias("component_id"),
+        F.col("node").eqNullSafe(F.col("component")).alias("kept"),
     )
 
 
@@ -408,23 +448,16 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_column: str = "d
     """
     if clash := {"_node", "_id"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} exist already")
-    ids = docs.groupBy(F.col(id_column).alias("_id")).count()
-    if ids.where("_id is null or count > 1").limit(1).count():
-        # Null comes before true, so a missing id comes last.
-        last = F.when(F.col(id_column).isNull(), True).alias("missing")
-        name = F.struct(last, F.col(id_column).alias("id"), F.md5(text_column).alias("text"))
-        missing = F.col("_node.id").isNull()
-    else:
-        name, missing = F.col(id_column), F.lit(False)
-    named = docs.withColumn("_node", name)
-    verdict = link_components(named, percent, "_node", text_column)
-    verdict = materialize(verdict.select("_node", "kept", "n_shingles"), "verdict")
-    dropped = verdict.where(~F.col("kept")).select(F.col("_node").alias("_id")).distinct()
-    dropped = materialize(dropped, "near-duplicates")
+    named = docs.withColumn("_node", _named(docs, id_column, text_column))
+    missing = F.col("node.missing") if isinstance(named.schema["_node"].dataType, T.StructType) else F.lit(False)
+    verdict = _linked(named.select(F.col("_node").alias("node"), F.col(text_column).alias("text")), percent)
+    kept_node = F.col("node").eqNullSafe(F.col("component"))
+    dropped = materialize(verdict.where(~kept_node).select(F.col("node").alias("_id")).distinct(), "near-duplicates")
     kept = named.join(dropped, named["_node"].eqNullSafe(dropped["_id"]), "left_anti")
-    counted = verdict.where(F.col("kept") & ~(missing & (F.col("n_shingles") == 0)))
-    twice = counted.groupBy(F.col("_node").alias("_id")).count().where("count > 1").select("_id")
+    counted = verdict.where(kept_node & ~(missing & (F.col("n_shingles") == 0)))
+    twice = counted.groupBy(F.col("node").alias("_id")).count().where("count > 1").select("_id")
     twice = materialize(twice, "repeated-rows")
+    discard(verdict)
     if not twice.limit(1).count():
         return kept.drop("_node")
     once = kept.join(twice, kept["_node"].eqNullSafe(twice["_id"]), "left_anti")
