@@ -12,8 +12,9 @@ Items of fewer than 10 words are one window of their length, hashed as a whole.
 
 Only fingerprints of items are broadcast, at most ``BLOCK_ROWS`` at a time: more are
 taken in blocks, each a pass over the documents. Null and empty texts, and items
-without words, have no windows. Documents that repeat are found alike; rows of one id
-are treated as one document with the hits of all. Empty tables on either side give no hits.
+without words, have no windows. A document is its id and its text (a digest of it): rows that
+repeat both have the same hits, texts that share an id or have none are told apart. Empty
+tables on either side give no hits.
 """
 
 from __future__ import annotations
@@ -116,28 +117,36 @@ def _item_windows(items: DataFrame, id_column: str, text_column: str) -> DataFra
     return rows.select("item", "words", "fingerprint", F.inline(texts)).drop("start").distinct()
 
 
-def find_overlaps(
+def document_key(id_column: str, text_column: str) -> Column:
+    """What stands for a document, though ids repeat or are missing."""
+    digests = F.xxhash64(F.lit(1), text_column).alias("h1"), F.xxhash64(F.lit(2), text_column).alias("h2")
+    return F.struct(F.col(id_column).alias("id"), *digests)
+
+
+def _hits(
     docs: DataFrame,
     items: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
+    id_column: str,
+    text_column: str,
     item_id_column: str = "item_id",
     item_text_column: str = "text",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
+    with_items: bool = True,
 ) -> DataFrame:
-    """One row per document window that is a window of an item: ``id``, ``start`` and
-    ``words`` (both in words) and ``item``. A window in several items has a row for each."""
+    """``key``, ``start`` and ``words`` of each document window that is a window of an item, and
+    the ``item``: a row for each, or without items a row for the window."""
     windows = materialize(_item_windows(items, item_id_column, item_text_column), "item-windows")
+    block_rows = block_rows or BLOCK_ROWS
     sizes = windows.agg(
         F.count_distinct("fingerprint", "words").alias("prints"), F.collect_set("words").alias("lengths")
     ).first()
     blocks = max(1, -(-sizes["prints"] // block_rows))
-    words = docs.select(F.col(id_column).alias("id"), words_of(F.col(text_column)).alias("w"))
+    words = docs.select(document_key(id_column, text_column).alias("key"), words_of(F.col(text_column)).alias("w"))
     kinds = [whole_windows(F.col("w"), n) for n in sorted(sizes["lengths"]) if n < WINDOW]
     if WINDOW in sizes["lengths"] or not kinds:
         kinds.append(winnowed(F.col("w")))
     # Not inline(): it brings a filter on the number of prints, for which all are computed twice.
-    prints = words.withColumn("prints", F.concat(*kinds)).select("id", "w", F.inline_outer("prints"))
+    prints = words.withColumn("prints", F.concat(*kinds)).select("key", "w", F.inline_outer("prints"))
     out = None
     for block in range(blocks):
         ours = windows
@@ -147,13 +156,25 @@ def find_overlaps(
         known = F.broadcast(ours.select("fingerprint", "words").distinct())
         met = prints.join(known, ["fingerprint", "words"], "left_semi")
         texts = _window_texts(F.col("w"), F.col("first"), F.col("last"), F.col("words"))
-        met = met.select("id", "words", F.inline(texts))
-        hits = met.join(ours.select("words", "window", "item").distinct(), ["words", "window"])
-        hits = hits.select("id", "start", "words", "item")
+        met = met.select("key", "words", F.inline(texts))
+        if with_items:
+            hits = met.join(ours.select("words", "window", "item").distinct(), ["words", "window"])
+        else:
+            hits = met.join(ours.select("words", "window").distinct(), ["words", "window"], "left_semi")
+        hits = hits.select("key", "start", "words", *(["item"] if with_items else []))
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
+def find_overlaps(
+    docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options
+) -> DataFrame:
+    """One row per document window that is a window of an item: ``id``, ``start`` and
+    ``words`` (both in words) and ``item``. A window in several items has a row for each."""
+    hits = _hits(docs, items, id_column, text_column, **options)
+    return hits.select(F.col("key.id").alias("id"), "start", "words", "item")
+
+
 def _covered(spans: Column) -> Column:
     """Number of words in the union of spans (start, words)."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
@@ -171,13 +192,17 @@ def _covered(spans: Column) -> Column:
 def overlap_report(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row of ``docs``: the id, ``n_words``, ``n_hit`` (words in any hit), ``hit_items``
     (sorted, as strings), ``spans`` (start and words) and ``contaminated``."""
-    hits = find_overlaps(docs, items, id_column, text_column)
-    per_doc = hits.groupBy(F.col("id").alias("hit_id")).agg(
+    hits = _hits(docs, items, id_column, text_column)
+    per_doc = hits.groupBy(F.col("key").alias("hit_key")).agg(
         F.collect_set(F.struct("start", "words")).alias("spans"),
         F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("hit_items"),
     )
-    counted = docs.select(F.col(id_column), F.size(words_of(F.col(text_column))).cast("long").alias("n_words"))
-    joined = counted.join(per_doc, counted[id_column].eqNullSafe(per_doc["hit_id"]), "left")
+    counted = docs.select(
+        F.col(id_column),
+        document_key(id_column, text_column).alias("own_key"),
+        F.size(words_of(F.col(text_column))).cast("long").alias("n_words"),
+    )
+    joined = counted.join(per_doc, counted["own_key"].eqNullSafe(per_doc["hit_key"]), "left")
     return joined.select(
         id_column,
         "n_words",
@@ -190,9 +215,9 @@ def overlap_report(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that share no window with any item.
 
-    Ids of hit documents are written first, so that their real size decides how they
-    are joined: texts are shuffled only if the ids are too many to broadcast.
+    Keys of hit documents are written first, so that their real size decides how they
+    are joined: texts are shuffled only if the keys are too many to broadcast.
     """
-    hits = find_overlaps(docs, items, id_column, text_column).select(F.col("id").alias("_hit_id")).distinct()
+    hits = _hits(docs, items, id_column, text_column, with_items=False).select(F.col("key").alias("_hit_key")).distinct()
     hits = materialize(hits, "contaminated")
-    return docs.join(hits, docs[id_column].eqNullSafe(hits["_hit_id"]), "left_anti")
+    return docs.join(hits, document_key(id_column, text_column).eqNullSafe(hits["_hit_key"]), "left_anti")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -68,7 +70,9 @@ def test_overlaps(spark, monkeypatch):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     base = edge_rows()[7][1]
     items = [(1, base[30:200]), (2, None), (3, "!!"), (4, "a B"), (5, "a b c d"), (6, "x " * 30), (None, base[100:250]), (7, base[30:200])]
+    clean, hit_text = sentence(31, 40, "vwxyz"), "so " + base[30:180]
     rows = edge_rows() + [(900, "x " * 50), (901, "b a b a B"), (902, base[100:200])]
+    rows += [(None, clean), (None, "a"), (None, hit_text), (900, clean), (900, hit_text), (900, hit_text), (902, None)]
     windows: dict[tuple, set] = {}
     for item, text in items:
         w = words(text)
@@ -83,23 +87,21 @@ def test_overlaps(spark, monkeypatch):
                 if tuple(w[i : i + n]) in windows:
                     hit.update(range(i, i + n))
                     names |= windows[tuple(w[i : i + n])]
-        old = wanted.get(number, (0, 0, set()))
-        wanted[number] = (len(w), max(len(hit), old[1]), names | old[2]) if number is not None else None
+        wanted[number, text] = (len(w), len(hit), names)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
+    columns = table(spark, rows).columns
     for block_rows in (decontaminate.BLOCK_ROWS, 7):
-        monkeypatch.setattr(decontaminate.find_overlaps, "__defaults__", (*decontaminate.find_overlaps.__defaults__[:-1], block_rows))
-        got = decontaminate.overlap_report(table(spark, rows), benchmark).collect()
-        assert len(got) == len(rows)
-        for r in got:
-            if r["doc_id"] is None:
-                continue
-            n_words, n_hit, names = wanted[r["doc_id"]]
-            assert (r["n_words"], r["n_hit"]) == (n_words, n_hit)
-            assert r["hit_items"] == sorted(str(x) for x in names if x is not None)
-            assert r["contaminated"] == (n_hit > 0)
-    kept = decontaminate.drop_contaminated(table(spark, rows), benchmark)
-    clean = {k for k, v in wanted.items() if v and not v[1]}
-    assert {r["doc_id"] for r in kept.collect()} - {None} == clean and kept.columns == table(spark, rows).columns
+        monkeypatch.setattr(decontaminate, "BLOCK_ROWS", block_rows)
+        docs = table(spark, rows)
+        report = decontaminate.overlap_report(docs, benchmark)
+        assert report.count() == len(rows)
+        # The report has no text: its rows are held against those of the id.
+        got = Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["hit_items"]), r["contaminated"]) for r in report.collect())
+        names = lambda found: tuple(sorted(str(x) for x in found if x is not None))
+        assert got == Counter((n, wanted[n, t][0], wanted[n, t][1], names(wanted[n, t][2]), wanted[n, t][1] > 0) for n, t in rows)
+        kept = decontaminate.drop_contaminated(docs, benchmark)
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(row for row in rows if not wanted[row][1])
+        assert kept.columns == columns and (None, clean) in wanted and not wanted[900, clean][1] and wanted[900, hit_text][1]
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.drop_contaminated(table(spark, rows), nothing).count() == len(rows)
     assert decontaminate.overlap_report(table(spark, []), benchmark).count() == 0
@@ -156,6 +158,43 @@ def test_near_duplicates_without_ids_and_rows(spark):
     assert Counter(r["doc_id"] for r in kept.collect()).most_common(1)[0][1] == 1
 
 
+def test_repeated_ids_link_by_each_of_their_texts(spark):
+    """(1, a), (2, b), (2, near a): the second text of 2 belongs to 1."""
+    a, b, c = (sentence(70 + k, 80) for k in range(3))
+    near = lambda text: text.replace(" ", " \t", 3) + " more words"
+    rows = [(1, a), (2, b), (2, near(a)), (3, near(b)), (None, c), (None, near(c)), (None, "alone here"), (3, near(b))]
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in hyperminhash.link_components(table(spark, rows)).collect())
+    wanted = [(1, 1, True), (2, 2, True), (2, 1, False), (3, 2, False), (3, 2, False), (None, None, True)]
+    assert got == Counter([*wanted, (None, None, True), (None, None, False)])
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    """Many pairs of similarity 0.75 to 0.80, none of them near another."""
+    draw, rows = random.Random(8), []
+    for k in range(300):
+        words = sentence(5_000 + k, 160).split(" ")
+        other = words[:]
+        shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        while True:
+            changed = other[:]
+            changed[draw.randrange(160)] = f"w{k}x{draw.randrange(999)}"
+            one, two = shingles(words), shingles(changed)
+            if 100 * len(one & two) < 75 * len(one | two):
+                break
+            other = changed
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = hyperminhash.link_components(table(spark, rows)).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got) and len(got) == 600
+
+
+def test_no_scratch_table_of_a_stage_is_left(spark, tmp_path):
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "pagemill"
+    before = set(folder.glob("*/*"))
+    hyperminhash.drop_near_duplicates(table(spark, near_rows())).write.parquet(str(tmp_path / "out"))
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*/*")) - before}
+    assert left == {"near-duplicates", "repeated-rows"}
+
+
 def test_estimates_follow_the_similarity():
     draw = np.random.default_rng(2)
     for common in (0.3, 0.75, 0.95):
