@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 
@@ -29,6 +30,12 @@ def stub(prompts: list[str]) -> list[str | None]:
     return [stub_reply(p) for p in prompts]
 
 
+def option_stub(prompts: list[str], **options) -> list[str | None]:
+    """As ``stub``, with the options that the backend was given behind each reply."""
+    shown = json.dumps(options, sort_keys=True)
+    return [f"{stub_reply(p)} {shown}" for p in prompts]
+
+
 def failing_stub(prompts: list[str]) -> list[str | None]:
     """As ``stub``, but prompts whose MD5 starts with f fail every time."""
     return [None if hashlib.md5(p.encode("utf-8")).hexdigest()[0] == "f" else stub_reply(p) for p in prompts]

@@ -63,10 +63,16 @@ SELECT doc_id AS seq, lang,
 FROM {documents}
 """
 
+# Answers of two stages under the category that a page is routed to (``doc_id`` is dense), but
+# every seventh under another one.
 COMPLETIONS = r"""
-SELECT seq, 'request' AS stage, 'WI_all' AS category,
-       concat('Summarise page ', CAST(seq AS STRING)) AS completion
-FROM {webpages} WHERE seq % 10 <> 9
+SELECT seq, stage,
+       CASE WHEN seq % 7 = 3 THEN 'WI_all' WHEN seq < 2 * k THEN 'WI_all' WHEN seq < 4 * k THEN 'WI_part'
+            WHEN seq < 5 * k THEN 'WR_all' ELSE 'WR_part' END AS category,
+       concat(stage, ' of page ', CAST(seq AS STRING)) AS completion
+FROM (SELECT seq, 'request' AS stage, floor((SELECT count(*) FROM {webpages}) / 6) AS k FROM {webpages} WHERE seq % 10 <> 9
+      UNION ALL
+      SELECT seq, 'response', floor((SELECT count(*) FROM {webpages}) / 6) FROM {webpages} WHERE seq % 10 < 6) answered
 """
 
 # Three rows per document, without a join: the bands are unnested from a list

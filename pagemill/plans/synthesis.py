@@ -42,10 +42,13 @@ class Synthesis:
     passed through, unless ``project`` is set; pages with a column of a name in
     ``RESERVED`` are refused.
 
-    A store belongs to one run: it keeps the number and a checksum of the pages, the
+    A store belongs to one run: it keeps the number and a checksum of the pages with all columns, the
     paths of ``ingest`` and all settings that decide results, and a run in which
     one of them differs is refused.
 
+    Inside a wave, the answers of each call of the model are logged beside its table until the
+    wave is written, so neither a lost task nor a lost job sends what was answered again.
+
     A stage may be written in several ``waves`` of consecutive rows. A run that
     is started again on the same store calls the model only for the waves that
     are not finished, and for rows that have no answer yet: those that failed, and
@@ -83,7 +86,7 @@ class Synthesis:
         """Refuse pages or settings other than those that the store was filled with."""
         if clash := sorted(set(RESERVED) & set(pages.columns)):
             raise ValueError(f"pages have reserved columns: {', '.join(clash)}")
-        checksum = F.bit_xor(F.xxhash64("seq", "webpage"))
+        checksum = F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(pages.columns)]))
         count, checksum = pages.agg(F.count("*"), checksum).first()
         self.store.same_run(
             "run",
@@ -102,8 +105,9 @@ class Synthesis:
         """The answered rows of a stage, after calling the model where needed."""
         cleaner = clean_completion if self.clean and answer != "author" else plain
 
-        def answered(part: DataFrame) -> DataFrame:
-            replies = generate(part, self.envelope(prompt), self.backend, **self.generate_options)
+        def answered(part: DataFrame, wave: int) -> DataFrame:
+            log = self.store.answers(stage, wave)
+            replies = generate(part, self.envelope(prompt), self.backend, log=log, **self.generate_options)
             return replies.withColumn(answer, cleaner(F.col("completion"))).drop("completion")
 
         ranges = self._wave_ranges(stage, rows)
@@ -113,13 +117,15 @@ class Synthesis:
             within = F.lit(True) if low is None else F.col("seq") >= low
             if high is not None:
                 within = within & (F.col("seq") < high)
-            self.store.ensure(stage, lambda within=within: answered(rows.filter(within)), wave)
+            self.store.ensure(stage, lambda within=within, wave=wave: answered(rows.filter(within), wave), wave)
+            self.store.answers(stage, wave).clear(self.store.spark)
         if resumed and stage not in self._asked:
             while self.store.finished(stage, waves):
                 waves += 1
             open_rows = pending_rows(rows, succeeded(self.store.read(stage), answer), ["seq"])
             if open_rows.limit(1).count():
-                self.store.write(stage, answered(open_rows), waves)
+                self.store.write(stage, answered(open_rows, waves), waves)
+                self.store.answers(stage, waves).clear(self.store.spark)
         self._asked.add(stage)
         done = succeeded(self.store.read(stage), answer).drop("wave", "attempts", "prompt_hash")
         if not self.project:

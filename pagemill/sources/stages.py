@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.sources.answers import AnswerLog
+
 
 @dataclass(frozen=True)
 class StageStore:
@@ -43,6 +45,10 @@ class StageStore:
         """Whether a wave was written to its end (its success marker is there)."""
         return self._exists(f"{self._wave_path(stage, wave)}/_SUCCESS")
 
+    def answers(self, stage: str, wave: int = 0) -> AnswerLog:
+        """The log of the answers of a wave that is not finished."""
+        return AnswerLog(f"{self.path(stage)}.answers/wave={wave}")
+
     def _exists(self, path: str) -> bool:
         sc = self.spark.sparkContext
         file = sc._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import hashlib
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -11,8 +14,10 @@ from pagemill.fixed_values import BATCH_MODEL_OPTIONS
 from pagemill.functions.messages import api_messages, chat_text
 from pagemill.operators import completions
 from pagemill.operators.completions import _call_with_retries
+from pagemill.operators.routing import route_categories
 from pagemill.plans.synthesis import Synthesis
 from pagemill.session import scratch_path
+from pagemill.sources.answers import AnswerLog
 from pagemill.sources.stages import StageStore
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -218,10 +223,91 @@ def test_no_answers_at_all(spark):
 
 
 def test_replay_and_resume(spark):
+    """Two stages of 200 pages in four categories; a third of the answers is missing or under another key."""
     done = fixtures.completions(spark, SF_DIR)
-    keys = pages(spark).withColumns({"stage": F.lit("request"), "category": F.lit("WI_all")})
-    attached = completions.attach_completions(keys, done)
-    assert attached.count() == 200 and attached.filter("completion IS NULL").count() == 20
-    assert completions.pending_rows(keys, done).count() == 20
-    other = keys.withColumn("category", F.lit("WR_all"))
-    assert completions.pending_rows(other, done).count() == 200
+    k = 200 // 6
+    of = lambda n: "WI_all" if n < 2 * k else "WI_part" if n < 4 * k else "WR_all" if n < 5 * k else "WR_part"
+    answered = {(n, "request") for n in range(200) if n % 10 != 9} | {(n, "response") for n in range(200) if n % 10 < 6}
+    answered = {(n, stage) for n, stage in answered if n % 7 != 3 or of(n) == "WI_all"}
+    keys = route_categories(pages(spark))
+    keys = keys.withColumn("stage", F.lit("request")).unionByName(keys.withColumn("stage", F.lit("response")))
+    attached = completions.attach_completions(keys, done).collect()
+    assert {(r["seq"], r["stage"]) for r in attached if r["completion"]} == answered and len(attached) == 400
+    assert all(r["completion"] in (None, f"{r['stage']} of page {r['seq']}") for r in attached)
+    pending = completions.pending_rows(keys, done).collect()
+    assert len(pending) == 400 - len(answered) and not {(r["seq"], r["stage"]) for r in pending} & answered
+    other = keys.withColumn("category", F.lit("WR_refine"))
+    assert completions.pending_rows(other, done).count() == 400
+
+
+LOSES_A_TASK = """
+import os, sys, uuid
+from pathlib import Path
+
+folder = Path(sys.argv[1])
+sys.path.insert(0, sys.argv[2])
+from pyspark.sql import functions as F
+from pagemill.operators.completions import generate
+from pagemill.session import local_session
+from pagemill.sources.answers import AnswerLog
+
+def backend(prompts):
+    # The worker dies before its last call, once.
+    if "p99" in prompts and not (folder / "died").exists():
+        (folder / "died").touch()
+        os._exit(1)
+    (folder / "calls" / uuid.uuid4().hex).write_text("\\n".join(prompts))
+    return [p.upper() for p in prompts]
+
+spark = local_session("2,4", "lost")
+df = spark.range(0, 100, 1, 2).withColumn("text", F.concat(F.lit("p"), "id"))
+done = generate(df, F.col("text"), backend, batch_size=8, wait=(0, 0), log=AnswerLog(str(folder / "log")))
+done.write.parquet(str(folder / "out"))
+"""
+
+
+def test_a_lost_task_sends_each_prompt_once(tmp_path, spark):
+    (tmp_path / "calls").mkdir()
+    script = tmp_path / "job.py"
+    script.write_text(LOSES_A_TASK)
+    command = [sys.executable, str(script), str(tmp_path), str(Path(__file__).resolve().parent.parent)]
+    subprocess.run(command, check=True, timeout=300, capture_output=True)
+    assert (tmp_path / "died").exists()
+    sent = [line for f in (tmp_path / "calls").iterdir() for line in f.read_text().splitlines()]
+    assert sorted(sent) == sorted(f"p{i}" for i in range(100))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r["text"], r["completion"], r["attempts"]) for r in rows} == {(f"p{i}", f"P{i}", 1) for i in range(100)}
+
+
+def test_a_job_started_again_joins_what_the_log_has(spark, tmp_path):
+    log = AnswerLog(f"file:{tmp_path}/log")
+    assert log.table(spark) is None and log.of_partition(0) == {}
+    df = spark.createDataFrame([(i, f"p{i % 7}" if i < 9 else None) for i in range(10)], "id bigint, text string").repartition(3)
+    known = {f"p{k}": hashlib.sha256(f"p{k}".encode()).hexdigest() for k in range(7)}
+    log.add(5, [(known["p1"], "kept 1", 2), (known["p2"], "kept 2", 1)])
+    log.add(5, [(known["p1"], "later", 3)])
+    log.add(77, [])
+    assert log.of_partition(5) == {known["p1"]: log.of_partition(5)[known["p1"]], known["p2"]: ("kept 2", 1)}
+
+    def backend(prompts):
+        return [None if p is None else f"fresh {p}" for p in prompts]
+
+    rows = completions.generate(df, F.col("text"), backend, log=log, **NO_WAIT).collect()
+    got = {r["id"]: (r["completion"], r["attempts"]) for r in rows}
+    assert got[1] == got[8] == ("kept 1", 2) and got[2] == ("kept 2", 1) and got[9] == (None, 5)
+    assert all(got[i] == (f"fresh p{i % 7}", 1) for i in (0, 3, 4, 5, 6, 7))
+    log.clear(spark)
+    assert log.table(spark) is None
+
+
+def test_logs_go_when_their_wave_is_written(spark, tmp_path):
+    store = StageStore(spark, str(tmp_path), "pages", "stub")
+    run(spark, failing_stub, str(tmp_path), waves=2).author(pages(spark))
+    assert not list(tmp_path.glob("**/*.answers/wave=*")) and store.finished("author", 1)
+
+
+def test_a_changed_column_is_another_run(spark):
+    root = scratch_path(spark, "store")
+    run(spark, stub, root).author(pages(spark))
+    with pytest.raises(ValueError, match="pages"):
+        run(spark, stub, root).author(pages(spark).withColumn("extra", F.lit("other")))
