@@ -7,6 +7,7 @@ comma-joined values.
 
 from __future__ import annotations
 
+import json
 import re
 from string import Formatter
 
@@ -219,6 +220,24 @@ CTES: dict[str, str] = {
     "e_usable": f"""SELECT * FROM (
         SELECT 'WI' AS pool, seq, webpage, request, response FROM e_response WHERE starts_with(category, 'WI')
         UNION ALL SELECT 'WR', seq, webpage, request, response FROM e_refine) WHERE {USABLE}""",
+    # The same pages once more, with a model that answers all: first those asked before, under the
+    # category that they had then.
+    "r_parts": f"""SELECT *, len(parts) AS n FROM (SELECT seq, webpage, reply AS author,
+        string_split(webpage, {GAP}) AS parts FROM e_author)""",
+    "r_section": f"SELECT seq, author, {section(UNIFORM)} AS webpage FROM r_parts",
+    "r_routed": f"""SELECT x.seq, x.webpage, x.author, coalesce(y.category, x.category) AS category FROM (
+        SELECT seq, webpage, author, {category('position', 'n')} AS category FROM (
+        SELECT *, row_number() OVER (ORDER BY seq) - 1 AS position, count(*) OVER () AS n FROM r_section)) x
+        LEFT JOIN (SELECT seq, category FROM e_asked WHERE left(md5(p), 1) <> 'f') y USING (seq)""",
+    "r_ask": "SELECT *, CASE category "
+    + " ".join(f"WHEN '{c}' THEN {request_prompt(c)}" for c in fixed.REQUEST_CATEGORIES)
+    + " END AS p FROM r_routed",
+    "r_asked": stub("r_ask", "seq, category, webpage, author"),
+    "r_request": f"SELECT seq, category, webpage, {cleaned('reply')} AS request FROM r_asked",
+    "r_answer": stub(
+        f"(SELECT *, CASE WHEN starts_with(category, 'WI') THEN {WI_PROMPT} ELSE request END AS p FROM r_request)",
+        "seq, category, webpage, request",
+    ),
     **near_dup("e_d_", "e_usable"),
     **mix("e_k_", "e_d_kept"),
 }
@@ -281,10 +300,13 @@ BODIES: dict[str, str] = {
     "completion_success": "SELECT seq, reply AS completion FROM e_author WHERE left(md5(p), 1) <> 'f'",
     "completion_failures": """SELECT seq, CAST(5 AS INT) AS attempts, sha256(p) AS prompt_hash
         FROM e_author WHERE left(md5(p), 1) = 'f'""",
-    "attach_completions": """SELECT w.seq, w.webpage, w.author, c.completion
-        FROM webpages w LEFT JOIN completions c USING (seq)""",
-    "resume_pending": """SELECT seq, webpage, author FROM webpages
-        WHERE seq NOT IN (SELECT seq FROM completions)""",
+    "generate_options": f"""SELECT seq, reply || ' ' || {lit(json.dumps(fixed.BATCH_MODEL_OPTIONS, sort_keys=True))}
+        AS completion, CAST(1 AS INT) AS attempts FROM e_author""",
+    "attach_completions": """SELECT r.seq, stage, r.category, r.webpage, r.author, c.completion
+        FROM (SELECT *, unnest(['request', 'response']) AS stage FROM routed) r
+        LEFT JOIN completions c USING (seq, stage, category)""",
+    "resume_pending": """SELECT seq, stage, category, webpage, author
+        FROM (SELECT *, unnest(['request', 'response']) AS stage FROM routed) ANTI JOIN completions USING (seq, stage, category)""",
     "stage_counts": """SELECT category, count(*) AS pages,
         count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM completions c WHERE c.seq = routed.seq
             AND c.stage = 'request' AND c.category = routed.category)) AS queued FROM routed GROUP BY category""",
@@ -332,6 +354,7 @@ BODIES: dict[str, str] = {
     "final_cap": f"{FINAL} u_final WHERE number < (SELECT n - 20 FROM base)",
     "final_dataset": f"{FINAL} k_final",
     "synthesis_end_to_end": f"{FINAL} e_k_final",
+    "synthesis_resume": f"SELECT seq, category, webpage, request, {cleaned('reply')} AS response FROM r_answer",
 }
 
 ORACLE: dict[str, str] = {name: with_ctes(body) for name, body in BODIES.items()}

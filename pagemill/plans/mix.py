@@ -17,7 +17,7 @@ from pagemill.functions.messages import wi_messages, wr_messages
 from pagemill.operators.filters import filter_counts, filter_special_pattern
 from pagemill.operators.neardup import surviving_rows
 from pagemill.operators.numbering import position_cutoffs
-from pagemill.operators.selection import page_key, select_mix
+from pagemill.operators.selection import PAGE_NUMBERS, page_numbers, page_of_numbers, select_mix
 from pagemill.session import MAX_BROADCAST_ROWS, materialize
 
 
@@ -38,9 +38,11 @@ def clean_pool(
     """
     if report is not None:
         pairs = pairs.observe(report, *filter_counts())
-    usable = filter_special_pattern(pairs).withColumn("page", page_key(F.col("webpage")))
+    numbers = dict(zip(PAGE_NUMBERS, page_numbers(F.col("webpage"))))
+    usable = filter_special_pattern(pairs).withColumns(numbers)
     token_column = None if tokens is None else F.col(tokens)
-    return materialize(surviving_rows(usable, token_column, ["page"], threshold, num_perm), "survivors")
+    rows = surviving_rows(usable, token_column, PAGE_NUMBERS, threshold, num_perm)
+    return materialize(rows.select("pool", "seq", page_of_numbers().alias("page")), "survivors")
 
 
 def number_mix(wi: DataFrame, wr: DataFrame, save_num: int = SAVE_NUM) -> DataFrame:
@@ -60,20 +62,27 @@ def assemble(
 
     The text is joined back here, and only here: ``numbered`` has at most
     ``rows`` rows of ids and is broadcast, so that page text is scanned but not
-    shuffled. More than ``most`` ids are broadcast in ranges of ``seq``, each
-    joined with the rows of its range only.
+    shuffled. More than ``most`` ids are taken in ranges of ``seq``, each joined with the
+    rows of its range only and written before the next, so that the ids of one range at a time
+    are in memory; the messages then lie in scratch space.
     """
     web, request, response = F.col("webpage"), F.col("request"), F.col("response")
     messages = F.when(F.col("pool") == "WI", wi_messages(web, request, response, F.col("seq"), seed)).otherwise(
         wr_messages(request, response)
     )
-    joined = None
-    for within in _ranges(numbered, most) if rows > most else [F.lit(True)]:
-        part = pairs.filter(within).join(F.broadcast(numbered.filter(within)), ["pool", "seq"])
-        joined = part if joined is None else joined.unionByName(part)
-    return joined.select(
-        "number", F.concat(F.lit(PROMPT_ID_PREFIX), "number").alias("prompt_id"), messages.alias("messages")
-    )
+
+    def part(within: Column) -> DataFrame:
+        joined = pairs.filter(within).join(F.broadcast(numbered.filter(within)), ["pool", "seq"])
+        prompt_id = F.concat(F.lit(PROMPT_ID_PREFIX), "number").alias("prompt_id")
+        return joined.select("number", prompt_id, messages.alias("messages"))
+
+    if rows <= most:
+        return part(F.lit(True))
+    out = None
+    for within in _ranges(numbered, most):
+        written = materialize(part(within), "messages")
+        out = written if out is None else out.unionByName(written)
+    return out
 
 
 def _ranges(numbered: DataFrame, most: int) -> list[Column]:

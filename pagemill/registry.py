@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill import fixed_values as fixed
 from pagemill import fixtures
-from pagemill.backends import failing_stub, stub
+from pagemill.backends import failing_stub, option_stub, stub
 from pagemill.functions import messages as chat
 from pagemill.functions import text
 from pagemill.functions.draws import choice
@@ -250,9 +250,11 @@ def route_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- completions -------------------------------------------------------------------
 
 
-def _request_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = fixtures.webpages(spark, sf_dir)
-    return pages.withColumns({"stage": F.lit("request"), "category": F.lit("WI_all")})
+def _stage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page in two stages, under the category that it is routed to."""
+    pages = route_categories(fixtures.webpages(spark, sf_dir))
+    requests = pages.withColumn("stage", F.lit("request"))
+    return requests.unionByName(pages.withColumn("stage", F.lit("response")))
 
 
 @query
@@ -262,6 +264,15 @@ def generate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answered.select("seq", "completion", "attempts", "prompt_hash")
 
 
+@query
+def generate_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampling options of the batch model reach the backend."""
+    pages = fixtures.webpages(spark, sf_dir).select("seq", "webpage")
+    prompt = chat.author_prompt(F.col("webpage"))
+    answered = completions.generate(pages, prompt, option_stub, options=fixed.BATCH_MODEL_OPTIONS, **NO_WAIT)
+    return answered.select("seq", "completion", "attempts")
+
+
 @query
 def completion_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fixtures.webpages(spark, sf_dir).select("seq", "webpage")
@@ -278,14 +289,14 @@ def completion_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def attach_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = completions.attach_completions(_request_keys(spark, sf_dir), fixtures.completions(spark, sf_dir))
-    return joined.select("seq", "webpage", "author", "completion")
+    joined = completions.attach_completions(_stage_keys(spark, sf_dir), fixtures.completions(spark, sf_dir))
+    return joined.select("seq", "stage", "category", "webpage", "author", "completion")
 
 
 @query
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pending = completions.pending_rows(_request_keys(spark, sf_dir), fixtures.completions(spark, sf_dir))
-    return pending.select("seq", "webpage", "author")
+    pending = completions.pending_rows(_stage_keys(spark, sf_dir), fixtures.completions(spark, sf_dir))
+    return pending.select("seq", "stage", "category", "webpage", "author")
 
 
 @query
@@ -545,3 +556,16 @@ def synthesis_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     wi_quota, wr_quota = quotas(spark, sf_dir)
     pages = fixtures.webpages(spark, sf_dir).select("seq", "webpage")
     return turns(run.messages(pages, wi_quota=wi_quota, wr_quota=wr_quota), "prompt_id")
+
+
+@query
+def synthesis_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose model fails for some prompts, and the same run started again with one that
+    answers all: rows keep the category that they were first asked with."""
+    store = StageStore(spark, scratch_path(spark, "store"), "pages", "stub")
+    pages = fixtures.webpages(spark, sf_dir).select("seq", "webpage")
+    first = Synthesis(store, failing_stub, waves=2, generate_options=NO_WAIT)
+    first.request(first.author(pages))
+    again = Synthesis(store, stub, generate_options=NO_WAIT)
+    answered = again.response(again.request(again.author(pages)))
+    return answered.select("seq", F.col("category").cast("string").alias("category"), "webpage", "request", "response")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pagemill import fixtures
 from pagemill.operators import selection
 from pagemill.operators.filters import filter_report, filter_special_pattern
+from pagemill.plans import mix
 from pagemill.plans.mix import assemble, build_mix, number_mix
+from pagemill.session import materialize
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -103,17 +105,71 @@ def test_mix_of_nothing(spark):
     assert build_mix(fixtures.pairs(spark, SF_DIR).limit(0), 40, 20).count() == 0
 
 
-def test_more_ids_than_a_broadcast_holds_are_joined_in_ranges(spark):
+def test_more_ids_than_a_broadcast_holds_are_joined_range_by_range(spark, monkeypatch):
     pairs = fixtures.pairs(spark, SF_DIR)
     ids = [(pool, seq, n) for n, (pool, seq) in enumerate((p, s) for p in ("WI", "WR") for s in range(3, 200, 7))]
     numbered = spark.createDataFrame(ids, "pool string, seq bigint, number bigint")
     whole = assemble(pairs, numbered, len(ids)).orderBy("number").collect()
-    ranged = assemble(pairs, numbered, len(ids), most=10)
-    assert ranged.orderBy("number").collect() == whole and whole
-    plan = assemble(fixtures.documents(spark, SF_DIR).select(
+    jobs = []
+
+    def recorded(df, name):
+        jobs.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr(mix, "materialize", recorded)
+    assert assemble(pairs, numbered, len(ids), most=10).orderBy("number").collect() == whole and whole
+    jobs.clear()
+    documents = fixtures.documents(spark, SF_DIR).select(
         F.lit("WI").alias("pool"), F.col("doc_id").alias("seq"), *[F.col("text").alias(c) for c in ("webpage", "request", "response")]
-    ), numbered, len(ids), most=10)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BroadcastHashJoin") == 3 and "Exchange hashpartitioning" not in plan
+    )
+    plan = assemble(documents, numbered, len(ids), most=10)._jdf.queryExecution().executedPlan().toString()
+    # A job for each range with the ids of that range, and none for all of them.
+    assert len(jobs) == 3 and all(job.count("BroadcastExchange") == 1 and "Exchange hash" not in job for job in jobs)
+    assert "Join" not in plan
+
+
+def test_the_draw_is_bounded_by_the_quota(spark, monkeypatch):
+    """Rows far behind the quota are not grouped; hot pages ask for a second round."""
+    rows = [(i, f"hot{i % 2}" if i % 10 else f"page{i}") for i in range(4_000)]
+    wr = spark.createDataFrame(rows, "seq bigint, page string")
+    used = spark.createDataFrame([("hot0",), ("page20",)], "page string")
+    seen = []
+    grouped = selection.first_per_page
+
+    def counted(df, salt, key="seq"):
+        seen.append(df.count())
+        return grouped(df, salt, key)
+
+    monkeypatch.setattr(selection, "first_per_page", counted)
+    everything = selection.quota_sample(selection.unused_pages(grouped(wr, "s"), used, 2), "s", 4_000).orderBy("position").collect()
+    for quota in (1, 40, 300, 401, 4_000):
+        seen.clear()
+        got = selection.select_unused(wr, used, 2, "s", quota).orderBy("position").collect()
+        assert [(r.page, r.seq, r.position) for r in got] == [(r.page, r.seq, r.position) for r in everything[:quota]]
+        if quota == 40:
+            assert len(seen) > 1 and seen[0] < 100 and seen[-1] < 1_000
+    assert selection.select_unused(wr.limit(0), used, 2, "s", 5).count() == 0
+
+
+def test_more_pages_than_a_broadcast_holds_go_through_a_bit_map(spark):
+    df = spark.range(3_000).select(F.col("id").alias("seq"), selection.page_key(F.col("id").cast("string")).alias("page"))
+    used = df.filter("seq % 5 = 0 and seq < 1000").select("page")
+    wanted = {r.seq for r in selection.unused_pages(df, used, 200).collect()}
+    far = selection.unused_pages(df, used, 200, most=0)
+    assert {r.seq for r in far.collect()} == wanted and far.count() == len(wanted) == 2_800
+    met = {r.seq for r in selection.pages_met(df, used, 200).filter("_met").collect()}
+    # All used ones are looked at, and of the others a sixteenth at most.
+    assert met >= {s for s in range(0, 1_000, 5)} and len(met) < 200 + 3_000 // 16
+    plan = selection.pages_met(df, used, 200)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
+    few = spark.createDataFrame([], "page binary")
+    assert selection.unused_pages(df, few, 10**9, most=0).count() == 3_000
+
+
+def test_page_numbers_are_the_page_key(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("webpage"))
+    numbers = df.select("webpage", *selection.page_numbers(F.col("webpage"))).select("webpage", selection.page_of_numbers().alias("page"))
+    assert numbers.filter(F.col("page") != selection.page_key(F.col("webpage"))).count() == 0 and numbers.filter("page is null").count() == 0
 
 
 def test_page_text_is_scanned_but_not_shuffled_at_the_end(spark):

@@ -78,7 +78,8 @@ def test_generation_runs_once_and_sends_only_the_prompt(pool):
     answered = completions.generate(pool, F.col("request"), stub, wait=(0, 0))
     plan = formatted(completions.succeeded(answered).select("seq", "webpage", "completion", "attempts"))
     assert plan.count("ArrowEvalPython (") == 1 and "Exchange" not in plan
-    assert re.search(r"Arguments: \[call\(request", plan)
+    # The prompt and its hash, and no other column.
+    assert re.search(r"Arguments: \[call\(request#\d+, sha2\(cast\(request#\d+ as binary\), 256\), null, null\)", plan)
 
 
 def test_quota_filters_before_its_shuffle(pool):
@@ -98,8 +99,10 @@ def test_first_per_page_combines_before_the_shuffle(pool):
 
 
 def test_equal_signatures_aggregate_by_hash(pool):
-    plan = formatted(neardup.collapse_equal_signatures(pool.select("pool", "seq", "request")))
-    assert "HashAggregate" in plan and "SortAggregate" not in plan and ") Sort" not in plan
+    for carry in ((), selection.PAGE_NUMBERS):  # the mix carries the page
+        rows = pool.select("pool", "seq", "request", *selection.page_numbers(F.col("webpage")))
+        plan = formatted(neardup.collapse_equal_signatures(rows, carry=carry))
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and ") Sort" not in plan
 
 
 def test_first_per_page_is_exact_at_the_ends_of_bigint(spark):
