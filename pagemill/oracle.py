@@ -326,6 +326,9 @@ BODIES: dict[str, str] = {
     "lsh_candidates": """SELECT x.seq, least(x.seq, min(y.seq)) AS first_candidate, count(DISTINCT x.band) AS shared
         FROM d_bands x JOIN d_bands y ON x.pool = y.pool AND x.band = y.band AND x.key = y.key AND x.seq <> y.seq
         GROUP BY x.seq""",
+    "lsh_index_insertions": """SELECT x.seq, least(x.seq, min(y.seq)) AS first_candidate, count(DISTINCT x.band) AS shared
+        FROM d_bands x JOIN d_bands y ON x.pool = y.pool AND x.band = y.band AND x.key = y.key AND x.seq <> y.seq
+        GROUP BY x.seq""",
     "lsh_candidates_planted": """SELECT x.idx, least(x.idx, min(y.idx)) AS first_candidate, count(DISTINCT x.band) AS shared
         FROM buckets x JOIN buckets y ON x.band = y.band AND x.key = y.key AND x.idx <> y.idx GROUP BY x.idx""",
     "near_dup_removed": "SELECT seq FROM d_removed",

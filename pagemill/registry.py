@@ -14,6 +14,7 @@ from pagemill.functions import messages as chat
 from pagemill.functions import text
 from pagemill.functions.draws import choice
 from pagemill.operators import completions, filters, minhash, neardup, selection
+from pagemill.operators.lsh_index import BandIndex
 from pagemill.operators.numbering import global_row_number
 from pagemill.operators.routing import route_categories
 from pagemill.plans.mix import assemble, build_mix, clean_pool, number_mix
@@ -407,6 +408,17 @@ def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.least_candidate(_bucket_table(spark, sf_dir), "seq", neardup.BUCKET_KEY)
 
 
+@query
+def lsh_index_insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of all rows, from an index that three parts of them went into one after another."""
+    path = scratch_path(spark, "index")
+    index = BandIndex(spark, f"bands_{path[-32:]}", path, buckets=8)
+    bands = materialize(_bucket_table(spark, sf_dir), "bands")
+    for part in range(3):
+        index.insert(bands.filter(F.col("seq") % 3 == part))
+    return index.candidates(bands)
+
+
 @query
 def lsh_candidates_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.least_candidate(fixtures.buckets(spark, sf_dir), "idx", ["band", "key"])

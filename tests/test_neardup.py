@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pagemill.fixed_values import BEGIN_OF_TEXT
 from pagemill.functions.text import UNSPACED, token_set
 from pagemill.operators import minhash, neardup
+from pagemill.operators.lsh_index import BandIndex
 
 
 
@@ -219,3 +220,32 @@ def test_own_tokens_and_carried_columns(spark):
 def test_report_of_an_empty_pool(spark):
     empty = spark.createDataFrame([], "pool string, seq bigint")
     assert neardup.dedup_report(empty, empty).collect() == []
+
+
+def test_an_index_that_lasts_gives_the_candidates_of_the_whole(spark, tmp_path):
+    draw = random.Random(4)
+    rows = [(i, draw.randrange(60) if i % 3 else 0, draw.randrange(3)) for i in range(400)]  # one hot bucket
+    bands = spark.createDataFrame(sorted(set(rows)), "seq bigint, k1 bigint, k2 bigint")
+    wanted = {tuple(r) for r in neardup.least_candidate(bands, "seq", neardup.BUCKET_KEY).collect()}
+    index = BandIndex(spark, "lasting", str(tmp_path / "index"), 4)
+    try:
+        assert index.candidates(bands).count() == 0
+        for part in range(2):
+            later = bands.filter((F.col("seq") >= 200) == bool(part))
+            index.insert(later)
+            if not part:
+                alone = neardup.least_candidate(later, "seq", neardup.BUCKET_KEY)
+                assert {tuple(r) for r in index.candidates(later).collect()} == {tuple(r) for r in alone.collect()}
+        # The later rows alone, then all; also in a session that has to register the folder again.
+        found = {tuple(r) for r in index.candidates(later).collect()}
+        assert found == {r for r in wanted if r[0] >= 200} and wanted
+        index.drop()
+        again = BandIndex(spark, "lasting", str(tmp_path / "index"), 4)
+        got = again.candidates(bands)
+        assert {tuple(r) for r in got.collect()} == wanted
+        plan = again.candidates(bands)._jdf.queryExecution().executedPlan().toString()
+        # Only the rows that are looked up are shuffled to the buckets; the index is read as it lies.
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning(k1") == 1
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 2
+    finally:
+        index.drop()
