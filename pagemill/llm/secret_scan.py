@@ -5,7 +5,9 @@ Known forms are found by pattern. Other candidates are runs of at least
 candidate; the counts of its characters change by one in and one out, and with them
 the sum of c * log2(c) that gives the window's Shannon entropy. Hexadecimal and other
 candidates have thresholds of their own. The span from the first to the last window
-over the threshold is a secret, unless the candidate is on the allow list.
+over the threshold is a secret. Two allow lists suppress what is none: a stretch that is all
+words, numbers or dates (``ALLOWED``), and windows that overlap a word that marks a placeholder
+(``MARKERS``); a candidate is cut at these, and the stretches between them are judged by themselves.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Equal
 rows get equal results; an empty table gives an empty one. Other columns are passed
@@ -24,13 +26,13 @@ from pyspark.sql import functions as F
 WINDOW = 20
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW
-# Words, numbers, identifiers of words, dates and placeholders.
+# Words, numbers, dates and identifiers of words.
 ALLOWED = (
-    r"^[A-Za-z]+$",
     r"^[0-9_=+/-]+$",
-    r"^[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*$",
-    r"(?i)example|xxxxxx|placeholder",
+    r"^[-_/+=]*[A-Za-z]+([-_/+=]+[A-Za-z]+)*[-_/+=]*$",
 )
+# Words that stand in for a secret.
+MARKERS = r"(?i:example|placeholder|xxxxxx)"
 ASSIGN = (
     r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
@@ -184,18 +186,41 @@ def high_windows(candidate: Column, hex_bits: float, other_bits: float) -> Colum
     return _bound(codes, slide)
 
 
+def _between(candidate: Column, start: Column, markers: str) -> Column:
+    """Stretches of a candidate that hold no marker: ``start`` and ``found``."""
+
+    def cut(parts: Column) -> Column:
+        words = F.regexp_extract_all(candidate, F.lit(markers), F.lit(0))
+        none = F.lit("")
+        steps = F.zip_with(
+            parts, words, lambda p, w: F.char_length(F.coalesce(p, none)) + F.char_length(F.coalesce(w, none))
+        )
+        return F.zip_with(
+            _before(steps), parts, lambda at, part: F.struct((start + at).alias("start"), part.alias("found"))
+        )
+
+    whole = F.array(F.struct(start.alias("start"), candidate.alias("found")))
+    return F.when(candidate.rlike(markers), _bound(F.split(candidate, markers, -1), cut)).otherwise(whole)
+
+
 def entropy_spans(
-    text: Column, rank: int, hex_bits: float = 3.0, other_bits: float = 3.7, allowed: tuple[str, ...] = ALLOWED
+    text: Column,
+    rank: int,
+    hex_bits: float = 3.0,
+    other_bits: float = 3.7,
+    allowed: tuple[str, ...] = ALLOWED,
+    markers: str = MARKERS,
 ) -> Column:
     """Spans of kind ``entropy``: a candidate's stretch of windows over the threshold."""
 
     def listed(candidate: Column) -> Column:
-        out = F.lit(False)
+        out = F.char_length(candidate) < WINDOW
         for pattern in allowed:
             out = out | candidate.rlike(pattern)
         return out
 
-    found = F.filter(occurrences(text, CANDIDATE), lambda m: ~listed(m["found"]))
+    cut = F.flatten(F.transform(occurrences(text, CANDIDATE), lambda m: _between(m["found"], m["start"], markers)))
+    found = F.filter(cut, lambda m: ~listed(m["found"]))
     scored = F.transform(
         found,
         lambda m: F.struct(m["start"].alias("start"), high_windows(m["found"], hex_bits, other_bits).alias("w")),
