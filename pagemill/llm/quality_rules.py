@@ -174,7 +174,8 @@ def filter_documents(docs: DataFrame, text_column: str = "text", sample_rows: in
     the rule that rejects it."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     order = order_rules(docs, (*BASE_RULES, *RULES), text_column, sample_rows)
-    return docs.where(rejected_by(order, statistics(text, words_of(text)), text).isNull())
+    # The words are cut once for all rules.
+    return docs.where(_bound(words_of(text), lambda w: rejected_by(order, statistics(text, w), text)).isNull())
 
 
 def score_documents(docs: DataFrame, text_column: str = "text", sample_rows: int = 1000) -> DataFrame:
