@@ -232,13 +232,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         return pa.array(out, pa.bool_())
 
     concerned = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    concerned = materialize(concerned, "concerned")
-    texts = docs.join(bounded(concerned, concerned.count()), "node", "left_semi")
+    texts = docs.join(bounded(concerned, 2 * pairs.count()), "node", "left_semi")
     sets = materialize(_shingle_sets(texts).dropDuplicates(["node"]), "sets")
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     tested = materialize(joined.select("a", "b", linked("sa", "sb").alias("linked")), "tested")
-    discard(concerned, sets)
+    discard(sets)
     return tested
 
 
@@ -246,14 +245,18 @@ def _block_pairs(
     component: np.ndarray,
     codes: np.ndarray,
     sizes: np.ndarray,
+    keys: np.ndarray,
+    bounds: np.ndarray,
+    key: int,
     threshold: float,
     partners: int,
     spans: list[tuple[int, int]],
 ) -> Iterator[tuple[int, int, bool]]:
     """Best partners of the nodes of one bucket, or of two of its blocks.
 
-    ``spans`` are the two blocks as ranges, or one range for pairs within a block.
-    Yields pairs of places and whether the first has more partners than those given.
+    ``spans`` are the two blocks as ranges, or one range for pairs within a block. Node i has
+    the bucket ``keys`` between bounds i and i + 1; a pair belongs to its least common bucket, so that it is
+    found in that alone. Yields pairs of places and whether the first has more partners than those given.
     """
     (a0, a1), (b0, b1) = spans[0], spans[-1]
     within = len(spans) == 1
@@ -267,6 +270,14 @@ def _block_pairs(
             return
         estimate, good = may_reach(codes[other], codes[i][None, :], sizes[other], sizes[i], threshold)
         other, estimate = other[good], estimate[good]
+        lesser = keys[bounds[i] : bounds[i + 1]]
+        lesser = lesser[lesser < key]
+        if len(lesser) and len(other):
+            many = bounds[other + 1] - bounds[other]
+            first = np.cumsum(many) - many
+            places = np.arange(int(many.sum())) - np.repeat(first, many) + np.repeat(bounds[other], many)
+            apart = np.add.reduceat(np.isin(keys[places], lesser), first) == 0
+            other, estimate = other[apart], estimate[apart]
         order = np.argsort(-estimate, kind="stable")
         for j in other[order[:partners]]:
             yield i, int(j), len(order) > partners
@@ -284,7 +295,8 @@ def _block_pairs(
 def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame:
     """Best partners across components in buckets that hold several.
 
-    ``alive`` has key, members, node, component, codes and n_shingles. A bucket of
+    ``alive`` has key, members, node, component, codes, n_shingles and the ``keys`` of all
+    buckets of the node. A bucket of
     more than ``BLOCK`` members is dealt to blocks, and each pair of blocks is one
     piece of work.
     """
@@ -304,6 +316,8 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
             component = np.array([str(x) for x in component.tolist()])
         codes = _rows(table.column("codes").combine_chunks())
         sizes = table.column("n_shingles").to_numpy()
+        lists = table.column("keys").combine_chunks()
+        keys, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         block = table.column("block").to_numpy()
         group = np.stack([table.column(c).to_numpy() for c in ("key", "low", "high")])
         cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
@@ -317,7 +331,9 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
                 continue
             else:
                 spans = [(start, middle), (middle, stop)]
-            for i, j, rest in _block_pairs(component, codes, sizes, threshold, partners, spans):
+            for i, j, rest in _block_pairs(
+                component, codes, sizes, keys, bounds, group[0, start], threshold, partners, spans
+            ):
                 left.append(i)
                 right.append(j)
                 more.append(rest)
@@ -345,7 +361,7 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
             yield from compare(pa.Table.from_batches(waiting)).to_batches()
 
     work = ["key", "low", "high"]
-    columns = [*work, "block", "node", "component", "codes", "n_shingles"]
+    columns = [*work, "block", "node", "component", "codes", "n_shingles", "keys"]
     sorted_rows = dealt.select(*columns).repartition(*work).sortWithinPartitions(*work, "block", "node")
     found = sorted_rows.mapInArrow(compare_all, schema)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key", "more")
@@ -394,9 +410,11 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
         named = rest.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         alive = named.join(several.where("low <> high").select("key"), "key")
-        alive = alive.select("key", "members", "node", "component").join(compact, "node")
+        met = F.collect_list(F.struct("key", "members")).alias("met")
+        alive = alive.groupBy("node").agg(F.first("component").alias("component"), met).join(compact, "node")
+        alive = alive.withColumn("keys", F.transform("met", lambda m: m["key"])).select("*", F.inline("met"))
         found = _cross_pairs(alive, threshold, partners).groupBy("a", "b")
-        # A pair that meets in many buckets is one row, with those that hide further partners.
+        # Each node gives its partners, so a pair may come from both, with the bucket if it hides more.
         found = found.agg(F.collect_set(F.when(F.col("more"), F.col("key"))).alias("keys"))
         found = materialize(found, "found")
         fresh = materialize(found.select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "met")
