@@ -41,14 +41,14 @@ from pagemill.session import materialize
 
 LONGEST = 4
 BITS = 1 << 27
-# Rows of the sample, and how often a phrase must stand in it to be proposed.
+# Share of the rows in the sample. A phrase is proposed that stands in it as often as a phrase that
+# is just frequent would on average: a lower bar would propose, and have counted, far more that are not.
 SAMPLE_SHARE = 0.125
-SAMPLE_COUNT = 2
 # Parts that candidates of a language are ranked in before the last ranking.
 RANK_PARTS = 16
 
 # Bytes of texts that are counted together: what a task keeps is some forty times that.
-COUNTED_BYTES = 3 << 20
+COUNTED_BYTES = 2 << 20
 
 _CLASSES = byte_classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 _COUNTED = "lang string, words int, phrase string, hash long, n long, proposed boolean"
@@ -248,11 +248,12 @@ def frequent_phrases(
     text_column: str = "text",
     lang_column: str = "lang",
     sample_share: float = SAMPLE_SHARE,
-    sample_count: int = SAMPLE_COUNT,
+    sample_count: int | None = None,
 ) -> tuple[DataFrame, DataFrame, int]:
     """``lang, words, phrase, n`` of all phrases of up to four words that occur ``least`` times
     or more; ``lang`` and the number of all its words; and the failures of the border."""
     texts = docs.select(text_column, lang_column)
+    sample_count = sample_count or max(2, round(least * sample_share))
     sample = _phrase_rows(texts.sample(False, sample_share, 20_011), text_column, lang_column, _sampled)
     sample = sample.groupBy("hash").agg(F.sum("n").alias("n"))
     proposed = phrase_map(sample.where(F.col("n") >= sample_count))
@@ -281,7 +282,7 @@ def collocations(
     text_column: str = "text",
     lang_column: str = "lang",
     sample_share: float = SAMPLE_SHARE,
-    sample_count: int = SAMPLE_COUNT,
+    sample_count: int | None = None,
 ) -> DataFrame:
     """The first ``top`` phrases of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
