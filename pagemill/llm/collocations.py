@@ -8,7 +8,8 @@ parts are.
 A sample of the rows proposes: every phrase that it holds a few times. One pass over all rows
 then counts exactly the proposed phrases and their negative border, the phrases that are not
 proposed but whose parts all are (of single words, all). A border phrase that turns out to be
-frequent is a failure: its extensions may be frequent and uncounted. A further pass
+frequent is a failure: its extensions may be frequent and uncounted. The full pass is taken twice, by
+hashes first, so that words are written out only for phrases whose hash is frequent. A further pass
 counts every phrase around an occurrence of a failed one that has not been counted yet. Any
 uncounted frequent phrase holds a failed one, so this closes the border, whatever the sample
 was; the sample decides the work and never what is found.
@@ -174,50 +175,77 @@ class _Phrases:
         return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "hash", "n", "proposed"])
 
 
+def _hash_rows(hashes: np.ndarray, n: int) -> pa.RecordBatch:
+    kept, counts = np.unique(hashes, return_counts=True)
+    columns = [pa.array(kept.view(np.int64)), pa.array(np.full(len(kept), n, dtype=np.int32)), pa.array(counts.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["hash", "words", "n"])
+
+
 def _sampled(found: _Phrases) -> Iterator[pa.RecordBatch]:
     """Hashes and counts of all phrases."""
     hashes = found.first
     for n in range(1, LONGEST):  # the longest have no extension, so nobody asks whether they are proposed
         if n > 1:
             hashes = found.longer(hashes, n)
-        kept, counts = np.unique(hashes[found.whole(n) & found.words.own[: len(hashes)]], return_counts=True)
-        columns = [pa.array(kept.view(np.int64)), pa.array(counts.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, names=["hash", "n"])
+        yield _hash_rows(hashes[found.whole(n) & found.words.own[: len(hashes)]], n)
 
 
-def _with_border(found: _Phrases, proposed: PhraseMap) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases whose parts are all proposed."""
+def _proposed_and_border(found: _Phrases, proposed: PhraseMap) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By length: the places and the hashes of the phrases whose parts are all proposed."""
     hashes = found.first
-    yield found.rows(np.arange(len(hashes)), hashes, 1, proposed)
+    yield 1, np.arange(len(hashes)), hashes
     known = proposed.has(found.word_hash)[found.word]
     for n in range(2, LONGEST + 1):
         hashes = found.longer(hashes, n)
         places = np.flatnonzero(known[: len(hashes)] & known[1 : len(hashes) + 1] & found.whole(n))
-        yield found.rows(places, hashes[places], n, proposed)
+        yield n, places, hashes[places]
         known = np.zeros(len(hashes), dtype=bool)
         known[places] = proposed.has(hashes[places])
 
 
-def _around_failures(found: _Phrases, proposed: PhraseMap, failed: PhraseMap) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases that hold a failed one and have not been counted with the border.
-    Their words are all proposed or failed, as others are not frequent."""
-    of_word = failed.has(found.word_hash)
-    word_fails = of_word[found.word]
-    frequent = (of_word | proposed.has(found.word_hash))[found.word]
-    hashes, fails, holds = found.first, word_fails, np.zeros(len(word_fails), dtype=bool)
+def _border_hashes(found: _Phrases, proposed: PhraseMap) -> Iterator[pa.RecordBatch]:
+    """Hashes and counts of the proposed phrases and their border."""
+    for n, places, hashes in _proposed_and_border(found, proposed):
+        yield _hash_rows(hashes[found.words.own[places]], n)
+
+
+def _with_border(found: _Phrases, proposed: PhraseMap, heavy: PhraseMap) -> Iterator[pa.RecordBatch]:
+    """Counts of those of them whose hashes are frequent; and of all words, as the phrase ''."""
+    for n, places, hashes in _proposed_and_border(found, proposed):
+        kept = heavy.has(hashes)
+        yield found.rows(places[kept], hashes[kept], n, proposed)
+    lang, words = np.unique(found.lang[found.words.own], return_counts=True)
+    many = len(lang)
+    columns = [
+        pa.array(found.langs).take(pa.array(lang)), pa.array(np.zeros(many, dtype=np.int32)), pa.array([""] * many, pa.string()),
+        pa.array(np.zeros(many, dtype=np.int64)), pa.array(words.astype(np.int64)), pa.array(np.ones(many, dtype=bool)),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "hash", "n", "proposed"])
+
+
+def _around_failures(
+    found: _Phrases, proposed: PhraseMap, heavy: PhraseMap, failed: PhraseMap
+) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases that hold a failed one and were not counted with the border. Parts
+    that were counted must be frequent, as the phrase is not otherwise."""
+    may = heavy.has(found.word_hash)[found.word]  # all words were counted
+    holds = failed.has(found.word_hash)[found.word]
+    given = proposed.has(found.word_hash)[found.word]
+    hashes = found.first
     for n in range(2, LONGEST + 1):
-        shorter, many = hashes, max(0, len(found.first) - n + 1)
-        either = fails | holds
-        holds = (either[:many] | either[1 : many + 1]) & found.whole(n)
-        frequent = frequent[:many] & frequent[1 : many + 1]
-        hashes = found.longer(shorter, n)
-        places = np.flatnonzero(holds & frequent)
-        fresh = places[~(proposed.has(shorter[places]) & proposed.has(shorter[places + 1]))]
+        hashes = found.longer(hashes, n)
+        many = len(hashes)
+        places = np.flatnonzero(may[:many] & may[1 : many + 1] & found.whole(n))
+        covered = given[places] & given[places + 1]
+        around = holds[places] | holds[places + 1]
+        fresh = places[around & ~covered]
         yield found.rows(fresh, hashes[fresh], n, None)
-        fails = np.zeros(many, dtype=bool)
-        if n < LONGEST:
-            inside = np.flatnonzero(frequent & found.whole(n))
-            fails[inside] = failed.has(hashes[inside])
+        own = hashes[places]
+        may, given, before = np.zeros(many, dtype=bool), np.zeros(many, dtype=bool), around
+        may[places] = ~covered | heavy.has(own)
+        holds = np.zeros(many, dtype=bool)
+        holds[places] = before | failed.has(own)
+        given[places] = covered & proposed.has(own)  # as in the full pass
 
 
 def _phrase_rows(docs: DataFrame, text_column: str, lang_column: str, count, *maps: PhraseMap) -> DataFrame:
@@ -232,7 +260,8 @@ def _phrase_rows(docs: DataFrame, text_column: str, lang_column: str, count, *ma
                     yield from count(_Phrases(words, lang, langs), *maps)
 
     rows = docs.select(F.coalesce(F.col(lang_column), F.lit("und")).alias("lang"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, "hash long, n long" if count is _sampled else _COUNTED)
+    hashed = count in (_sampled, _border_hashes)
+    return rows.mapInArrow(run, "hash long, words int, n long" if hashed else _COUNTED)
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -254,17 +283,21 @@ def frequent_phrases(
     or more; ``lang`` and the number of all its words; and the failures of the border."""
     texts = docs.select(text_column, lang_column)
     sample_count = sample_count or max(2, round(least * sample_share))
-    sample = _phrase_rows(texts.sample(False, sample_share, 20_011), text_column, lang_column, _sampled)
-    sample = sample.groupBy("hash").agg(F.sum("n").alias("n"))
-    proposed = phrase_map(sample.where(F.col("n") >= sample_count))
-    counted = _summed(_phrase_rows(texts, text_column, lang_column, _with_border, proposed))
-    counted = materialize(counted.where((F.col("words") == 1) | (F.col("n") >= least)), "phrases")
-    totals = counted.where("words = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent = counted.where(F.col("n") >= least)
+    columns = text_column, lang_column
+    enough = F.when(F.col("words") == 1, F.lit(min(2, sample_count))).otherwise(sample_count)
+    sample = _phrase_rows(texts.sample(False, sample_share, 20_011), *columns, _sampled)
+    sample = sample.groupBy("hash").agg(F.max("words").alias("words"), F.sum("n").alias("n"))
+    proposed = phrase_map(sample.where(F.col("n") >= enough))
+    border = _phrase_rows(texts, *columns, _border_hashes, proposed).groupBy("hash").agg(F.sum("n").alias("n"))
+    heavy = phrase_map(border.where(F.col("n") >= least))
+    counted = _summed(_phrase_rows(texts, *columns, _with_border, proposed, heavy))
+    counted = materialize(counted.where((F.col("words") == 0) | (F.col("n") >= least)), "phrases")
+    totals = counted.where("words = 0").select("lang", F.col("n").alias("total"))
+    frequent = counted.where((F.col("words") > 0) & (F.col("n") >= least))
     failures = frequent.where(~F.col("proposed") & (F.col("words") < LONGEST))
     failed = failures.count()
     if failed:
-        around = _phrase_rows(texts, text_column, lang_column, _around_failures, proposed, phrase_map(failures))
+        around = _phrase_rows(texts, *columns, _around_failures, proposed, heavy, phrase_map(failures))
         more = _summed(around).where(F.col("n") >= least)
         frequent = frequent.unionByName(materialize(more, "phrases"))
     return frequent.select("lang", "words", "phrase", "n"), totals, failed
