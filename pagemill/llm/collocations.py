@@ -41,7 +41,7 @@ from pagemill.llm.word_arrays import Words, byte_classes, word_blocks
 from pagemill.session import materialize
 
 LONGEST = 4
-BITS = 1 << 27
+BITS = 1 << 26
 # Share of the rows in the sample. A phrase is proposed that stands in it as often as a phrase that
 # is just frequent would on average: a lower bar would propose, and have counted, far more that are not.
 SAMPLE_SHARE = 0.125
@@ -88,7 +88,7 @@ class PhraseMap:
 
 def phrase_map(hashes: DataFrame) -> PhraseMap:
     """The map of a column ``hash``. Cells are set on the executors and joined there; at most
-    BITS / 64 of them come to the driver, 32 MB."""
+    BITS / 64 of them come to the driver, 16 MB."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +249,8 @@ def _around_failures(
 
 
 def _phrase_rows(docs: DataFrame, text_column: str, lang_column: str, count, *maps: PhraseMap) -> DataFrame:
-    """What ``count`` gives for each block of the texts."""
+    """What ``count`` gives for each block of the texts. The maps are broadcast: of bounded size."""
+    sent = docs.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +258,7 @@ def _phrase_rows(docs: DataFrame, text_column: str, lang_column: str, count, *ma
             lang, langs = names.indices.to_numpy(zero_copy_only=False).astype(np.int64), names.dictionary.to_pylist()
             for words in word_blocks(batch.column(1), _CLASSES, LONGEST - 1, COUNTED_BYTES):
                 if len(words.code):
-                    yield from count(_Phrases(words, lang, langs), *maps)
+                    yield from count(_Phrases(words, lang, langs), *sent.value)
 
     rows = docs.select(F.coalesce(F.col(lang_column), F.lit("und")).alias("lang"), F.col(text_column).alias("text"))
     hashed = count in (_sampled, _border_hashes)
