@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from pagemill.llm.word_arrays import Words, byte_classes, word_blocks
-from pagemill.session import materialize
+from pagemill.session import discard, materialize
 
 LONGEST = 4
 BITS = 1 << 26
@@ -100,8 +100,10 @@ def phrase_map(hashes: DataFrame) -> PhraseMap:
             yield pa.RecordBatch.from_arrays(columns, names=["cell", "bits"])
 
     found = hashes.select("hash").mapInArrow(cells, "cell long, bits long")
-    found = found.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = PhraseMap()
+    # Written, so that the shuffle files behind it go at once.
+    table = materialize(found.groupBy("cell").agg(F.bit_or("bits").alias("bits")), "cells")
+    found, out = table.toArrow(), PhraseMap()
+    discard(table)
     out.cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
