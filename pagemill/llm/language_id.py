@@ -13,13 +13,14 @@ or has to fit a task's memory.
 
 A text goes to the language of the lowest cross-entropy per character. ``score`` is that
 language's share if entropies are scaled by a factor fitted on training texts; ``rejected``
-marks a text whose entropy lies above that of all calibration texts of the language. Neither
+marks a text whose entropy lies above that of all training texts of the language. Neither
 changes the choice.
 
 Counts cover all training texts, and a model keeps all grams. ``max_grams``, if it is given,
 leaves each order the grams of the highest counts, at most so many; contexts and their
-back-off weights all stay. The factor and the bound are fitted on at most ``calibration_texts``
-distinct texts per language, those of the least hashes.
+back-off weights all stay. The factor and the bound are fitted on all distinct training texts,
+as sums and maxima that are added up in the shuffle; ``calibration_texts``, if it is given, leaves
+each language at most so many, those of the least hashes.
 
 Texts that are null or have no letter are ``und`` with score 0. Training rows with a null
 text or language are passed over; without any, all texts are ``und``. Equal texts get equal
@@ -50,7 +51,8 @@ from pagemill.session import materialize, scratch_path
 ORDER = 4
 # Rows of one order in a hash range of a stored model, about.
 PART_ROWS = 250_000
-CALIBRATION_TEXTS = 500
+# Factors of entropies that are tried.
+SCALES = tuple(2.0**k for k in range(-2, 8))
 UNDETERMINED = "und"
 START, END = "\x01", "\x02"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -380,8 +382,8 @@ def train(
 # --- scoring -------------------------------------------------------------------------------
 
 
-def _word_scores(model: Model, hashes: list[np.ndarray], before: list[np.ndarray], starts: np.ndarray):
-    """Log-probability of each word under a model."""
+def _gram_scores(model: Model, hashes: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
+    """Log-probability under a model of the last character of each gram, given those before it."""
     size = len(hashes[1])
     out = np.zeros(size)
     open_ = np.arange(size)
@@ -394,7 +396,7 @@ def _word_scores(model: Model, hashes: list[np.ndarray], before: list[np.ndarray
         # A context that was never seen has a back-off weight of 1.
         out[open_] += model.contexts[order - 1].find(before[order - 1][open_])[0]
     out[open_] += model.floor
-    return np.add.reduceat(out, starts)
+    return out
 
 
 def entropies(texts: list[str | None], models: dict[str, Model]) -> np.ndarray:
@@ -413,10 +415,13 @@ def entropies(texts: list[str | None], models: dict[str, Model]) -> np.ndarray:
         # Characters that are predicted: all but the start marks.
         keep = points != ord(START)
         all_hashes = _hashes(points, ORDER)
-        hashes = [h[keep] for h in all_hashes]
-        before = [np.concatenate([h[:1], h[:-1]])[keep] for h in all_hashes]
+        # A gram's score is that of all its places, and sorted hashes are found faster.
+        _, first, gram = np.unique(all_hashes[ORDER][keep], return_index=True, return_inverse=True)
+        hashes = [h[keep][first] for h in all_hashes]
+        before = [np.concatenate([h[:1], h[:-1]])[keep][first] for h in all_hashes]
         starts = np.cumsum(lengths) - lengths
-        scores = np.stack([_word_scores(model, hashes, before, starts) for model in models.values()], axis=1)
+        of_gram = (_gram_scores(model, hashes, before) for model in models.values())
+        scores = np.stack([np.add.reduceat(values[gram], starts) for values in of_gram], axis=1)
         for row, numbers in found:
             used = np.array(numbers)
             sums[row] -= scores[used].sum(axis=0)
@@ -437,6 +442,14 @@ def _choose(values: np.ndarray, langs: list[str], scale: float, bounds: dict[str
         yield langs[best[row]], share, lowest, lowest > bounds.get(langs[best[row]], math.inf)
 
 
+def _losses(values: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How unlikely texts with these entropies are in languages where they have ``own``, under
+    each of ``SCALES`` (columns)."""
+    lowest = values.min(axis=1)
+    of = lambda scale: np.log(np.exp(-scale * (values - lowest[:, None])).sum(axis=1)) + scale * (own - lowest)
+    return np.stack([of(scale) for scale in SCALES], axis=1)
+
+
 def calibrate(values: np.ndarray, true: np.ndarray, langs: list[str]) -> tuple[float, dict[str, float]]:
     """The factor under which the languages ``true`` (numbers) of texts with these entropies are
     likeliest, and the highest entropy of a text in its own language."""
@@ -445,13 +458,42 @@ def calibrate(values: np.ndarray, true: np.ndarray, langs: list[str]) -> tuple[f
     if not len(values):
         return 1.0, {}
     own = values[np.arange(len(true)), true]
+    scale = SCALES[int(np.argmin(_losses(values, own).sum(axis=0)))]
+    return scale, {lang: float(own[true == k].max()) for k, lang in enumerate(langs) if (true == k).any()}
 
-    def loss(scale: float) -> float:
-        return float(np.log(np.exp(-scale * (values - own[:, None])).sum(axis=1)).mean())
 
-    with np.errstate(over="ignore"):
-        scale = min((2.0**k for k in range(-2, 8)), key=loss)
-    return scale, {lang: float(own[true == k].max()) for k, lang in enumerate(langs) if (true == k).any()}
+def _calibrate_on_all(training: DataFrame, text_column: str, lang_column: str, models) -> tuple[float, dict[str, float]]:
+    """``calibrate`` over all distinct texts per language. Texts are scored where they are read, and one row
+    per language comes to the driver."""
+    rows = training.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).dropna()
+    names = [f"loss{k}" for k in range(len(SCALES))]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = _loaded(models)
+        number = {lang: k for k, lang in enumerate(loaded)}
+        for batch in batches:
+            langs, hashes = batch.column("lang").to_pylist(), batch.column("hash").to_pylist()
+            # A training row without letters may be the only one of its language.
+            fresh = {(lang, h): k for k, (lang, h) in enumerate(zip(langs, hashes)) if lang in number}
+            fresh = np.fromiter(fresh.values(), np.int64, len(fresh))
+            values = entropies(batch.column("text").take(pa.array(fresh)).to_pylist(), loaded)
+            usable = ~np.isnan(values[:, 0]) if len(fresh) else np.zeros(0, dtype=bool)
+            fresh, values = fresh[usable], values[usable]
+            if not len(fresh):
+                continue
+            own = values[np.arange(len(fresh)), [number[langs[k]] for k in fresh.tolist()]]
+            kept = batch.select(["lang", "hash"]).take(pa.array(fresh))
+            arrays = [*kept.columns, pa.array(own), *map(pa.array, _losses(values, own).T.copy())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "hash", "own", *names])
+
+    schema = ", ".join(["lang string, hash long, own double", *(f"{name} double" for name in names)])
+    scored = rows.select("lang", F.xxhash64("text").alias("hash"), "text").mapInArrow(score, schema)
+    scored = scored.groupBy("lang", "hash").agg(*[F.first(c).alias(c) for c in ["own", *names]])
+    found = scored.groupBy("lang").agg(F.max("own").alias("own"), *[F.sum(c).alias(c) for c in names]).collect()
+    if not found:
+        return 1.0, {}
+    scale = SCALES[int(np.argmin([sum(row[c] for row in found) for c in names]))]
+    return scale, {row["lang"]: row["own"] for row in found}
 
 
 def _sample_entropies(training: DataFrame, text_column: str, lang_column: str, texts: int, models) -> tuple:
@@ -507,7 +549,7 @@ def identify(
     text_column: str = "text",
     lang_column: str = "lang",
     max_grams: int | None = None,
-    calibration_texts: int = CALIBRATION_TEXTS,
+    calibration_texts: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score``, ``entropy`` and ``rejected``, by models of
     ``training``."""
@@ -515,8 +557,11 @@ def identify(
         raise ValueError(f"columns {sorted(clash)} exist already")
     # File names, and one number per language.
     sent = docs.sparkSession.sparkContext.broadcast(store_models(training, text_column, lang_column, max_grams))
-    sample = _sample_entropies(training, text_column, lang_column, calibration_texts, sent)
-    scale, bounds = calibrate(*sample, list(sent.value.floors))
+    if calibration_texts is None:
+        scale, bounds = _calibrate_on_all(training, text_column, lang_column, sent)
+    else:
+        sample = _sample_entropies(training, text_column, lang_column, calibration_texts, sent)
+        scale, bounds = calibrate(*sample, list(sent.value.floors))
 
     @F.arrow_udf("struct<lang_pred:string,score:double,entropy:double,rejected:boolean>")
     def find(batch: pa.Array) -> pa.Array:

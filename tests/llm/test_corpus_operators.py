@@ -377,3 +377,20 @@ def test_distinct_texts_of_null_and_repeated_ids_stay(spark):
     got = Counter((r["doc_id"], (r["text"] or "").lower()) for r in hyperminhash.drop_near_duplicates(table(spark, rows)).collect())
     wanted = [(1, one), (None, two), (None, three), (7, four), (8, five), (8, "other words"), *[(None, "")] * 3]
     assert got == Counter((number, text.lower()) for number, text in wanted)
+
+
+def test_languages_are_calibrated_on_all_texts(spark):
+    """The text of the highest entropy counts, whatever its hash; copies count once."""
+    rows = [(sentence(i, 30, "abcd"), "aa") for i in range(700)] + [(sentence(i, 30, "cdef"), "bb") for i in range(700)]
+    rows += [rows[3]] * 200 + [("12", "cc"), ("", "aa"), (None, "aa"), ("abc", None)]
+    training = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    sent = spark.sparkContext.broadcast(language_id.store_models(training))
+    distinct = sorted({row for row in rows if None not in row and language_id.words_of(row[0])})
+    models, langs = sent.value.load(), list(sent.value.floors)
+    values = language_id.entropies([text for text, _ in distinct], models)
+    scale, bounds = language_id.calibrate(values, np.array([langs.index(lang) for _, lang in distinct]), langs)
+    got = language_id._calibrate_on_all(training, "text", "lang", sent)
+    assert got[0] == scale and got[1].keys() == bounds.keys()
+    assert all(np.isclose(got[1][lang], bound) for lang, bound in bounds.items())
+    seen = language_id.identify(training.where("lang is not null"), training).where("rejected and lang_pred <> 'und'")
+    assert seen.where("lang = lang_pred").count() == 0
