@@ -198,3 +198,39 @@ def test_broadcast_only_within_the_bound(spark):
     df = spark.range(3)
     assert "broadcast" in bounded(df, 3)._jdf.queryExecution().logical().toString()
     assert "broadcast" not in bounded(df, session.MAX_BROADCAST_ROWS + 1)._jdf.queryExecution().logical().toString()
+
+
+@pytest.mark.parametrize(("rows_per_file", "bytes_per_file", "files"), [(1 << 60, 1 << 60, 4), (50, 1 << 60, None), (1 << 60, 3000, None)])
+def test_long_array_files_are_sorted_in_ranges(spark, tmp_path, monkeypatch, rows_per_file, bytes_per_file, files):
+    """Files that reach over many ranges of keys are those that one sort of each would give."""
+    from pagemill.sources import json_arrays
+
+    monkeypatch.setattr(json_arrays, "RANGE_BYTES", 1000)
+    keys = [*range(-60, 300, 2), 1 << 62, (1 << 62) + 1, -(1 << 62)]
+    rows = [(k, "".join(random.Random(k).choices(TRICKY, k=abs(k) % 40))) for k in keys]
+    df = spark.createDataFrame(rows, "seq long, webpage string").repartition(7)
+    records.write_json_arrays(df, str(tmp_path / "out"), rows_per_file=rows_per_file, bytes_per_file=bytes_per_file)
+    found = [f.read_text() for f in (tmp_path / "out").rglob("part-*")]
+    found = sorted((f for f in found if f), key=lambda f: json.loads(f)[0]["seq"])
+    got = [[r["seq"] for r in json.loads(f)] for f in found]
+    wanted = []
+    if bytes_per_file == 1 << 60:
+        for k in sorted(keys):
+            if wanted and wanted[-1][0] // rows_per_file == k // rows_per_file:
+                wanted[-1].append(k)
+            else:
+                wanted.append([k])
+        assert got == wanted
+    assert [k for f in got for k in f] == sorted(keys)
+    if files:
+        assert len(got) == files
+    if bytes_per_file == 1 << 60 and rows_per_file == 1 << 60:  # a sort for each range of about 1000 bytes
+        assert len(found[2]) > 5000
+        sized = df.select(F.col("seq").alias("_key"), F.octet_length(F.to_json(F.struct("*"))).cast("long").alias("_bytes"))
+        ranges = json_arrays._in_ranges(sized)[0].groupBy("range").agg(F.sum("_bytes").alias("n")).collect()
+        assert len(ranges) > 5 and max(r["n"] for r in ranges) < 2000
+    assert all(f.startswith("[\n{") and f.endswith("}\n]\n") for f in found)
+    back = records.read_json_array(spark, str(tmp_path / "out"), df.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    if bytes_per_file == 3000:
+        assert len(got) > 3 and max(len(f.encode()) for f in found) < 3000 + 400
