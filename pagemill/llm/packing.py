@@ -41,6 +41,9 @@ from pagemill.session import materialize
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pieces of one length that are ranked in one sort.
 RANK_GROUP = 2_000
+# Chunks whose ids a task keeps (twice as many while they are renewed), and texts that it has as strings at a time.
+CHUNK_ENTRIES = 40_000
+TEXT_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -119,7 +122,8 @@ def plan_packing(counts: dict[int, int], capacity: Capacity) -> list[tuple[int,
 @cache
 def _encoder(path: str) -> tuple[tiktoken.Encoding, str | None, int]:
     """The vocabulary of a tokenizers ``.json`` file, in which ids follow the merges."""
-    ranks, special = load_vocabulary(path)
+    # Its merges are of no use here beyond this check, so they are not kept.
+    ranks, special = load_vocabulary.__wrapped__(path)
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
     vocabulary = content["model"]["vocab"]
@@ -136,7 +140,7 @@ def _encoder(path: str) -> tuple[tiktoken.Encoding, str | None, int]:
 def _chunks(path: str) -> TokenCache:
     """Ids, as bytes, of a blank and what stands between it and the next blank."""
     encode = _encoder(path)[0].encode_ordinary
-    return TokenCache(lambda chunk: array("I", encode(" " + chunk)).tobytes())
+    return TokenCache(lambda chunk: array("I", encode(" " + chunk)).tobytes(), CHUNK_ENTRIES)
 
 
 # A blank inside white space that does not end it belongs to the token before it.
@@ -177,7 +181,7 @@ def cut_documents(
     end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part.slice(at, TEXT_ROWS) for part in batches for at in range(0, part.num_rows, TEXT_ROWS)):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 data = encode_text(text or "", vocabulary) + end

@@ -127,12 +127,12 @@ def pretokens(texts: list[str | None], special: str | None) -> Iterator[tuple[np
 class TokenCache(dict):
     """What ``make`` gives for a pre-token, kept for those in recent use."""
 
-    def __init__(self, make: Callable[[str], object]):
+    def __init__(self, make: Callable[[str], object], entries: int | None = None):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.entries, self.older = make, entries, {}
 
     def __missing__(self, token: str):
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= (self.entries or CACHE_ENTRIES):
             self.older = dict(self)
             self.clear()
         value = self.older.get(token)

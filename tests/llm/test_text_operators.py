@@ -238,3 +238,12 @@ def test_secret_spans_and_redaction(spark):
         assert (r["clean"] or "").replace("[secret]", "") == rest
         assert r["clean"] == r["text"] or spans
     assert secret_scan.scan_documents(table(spark, [])).count() == 0
+
+
+def test_kept_chunks_of_packing_are_few():
+    """A task keeps the ids of a bounded number of chunks, those in recent use."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for at in range(0, 120_000, 1_000):
+        packing.encode_text(" ".join(f"w{n}" for n in range(at, at + 1_000)), path)
+    chunks = packing._chunks(path)
+    assert len(chunks) + len(chunks.older) <= 100_000
