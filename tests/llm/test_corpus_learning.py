@@ -275,3 +275,27 @@ def test_toxicity_query_holds_out(spark):
     assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
     for r in got.collect():
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Every labelled text has its word counted, however long; groups and blocks share the work."""
+    rows = [(n, f"only{n} " + "word " * (12_000 if n == 5 else 3), "en", n % 4 == 0) for n in range(400)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], int(r[3])) for r in rows] + [(5, 0), (None, 1), (7, None)], "_id long, _label int")
+    found = toxicity.training_rows(docs, labels, SMALL, "doc_id", "text", "lang").collect()
+    assert len(found) == 400 and max(len(r["_words"]) for r in found) == 4 * 12_001
+    rows = toxic_rows(5, 900)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    settings = toxicity.Settings(steps=400, least_language=20, group_rows=200)
+    network = toxicity.learn_toxicity(docs, labels, settings)
+    scores = toxicity.score_texts(pa.array([r[1] for r in rows]), network)
+    toxic = [score for score, r in zip(scores, rows) if r[3] and r[2] in INSULTS]
+    assert sum(score >= 0.7 for score in toxic) >= 0.8 * len(toxic)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 50)
+    texts = [np.arange(2, 2 + n) % len(network.embeddings) for n in (130, 7, 49)]
+    laid, starts = toxicity._laid_out(texts, len(network.filters))
+    small = toxicity._pool(laid, starts, network)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 1 << 18)
+    for (a, i), (b, j) in zip(small, toxicity._pool(laid, starts, network)):
+        assert np.allclose(a, b)
