@@ -49,6 +49,8 @@ _CLASSES = byte_classes(bytes(c for c in range(128) if not chr(c).isalnum()))
 OUTSIDE, RARE = 0, 1
 # Words that are embedded together while training.
 BLOCK_WORDS = 1 << 18
+# Texts that are scored together.
+TEXT_ROWS = 1024
 # Outputs are counted in steps of this part.
 BINS = 1000
 
@@ -273,7 +275,12 @@ def _output(network: Network, hidden: np.ndarray) -> np.ndarray:
 
 
 def score_texts(texts: pa.Array, network: Network) -> np.ndarray:
-    """Scores of a batch of texts."""
+    """Scores of a batch of texts, ``TEXT_ROWS`` at a time."""
+    parts = [_scores(texts.slice(at, TEXT_ROWS), network) for at in range(0, len(texts), TEXT_ROWS)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
+def _scores(texts: pa.Array, network: Network) -> np.ndarray:
     hidden = np.zeros((len(texts), len(network.weights)), dtype=np.float32)
     spoken = np.zeros((len(texts), network.language.shape[1]))
     for words in word_blocks(texts, _CLASSES, max(len(w) for w in network.filters) - 1):
