@@ -18,7 +18,8 @@ read off its words, by word counts of the labelled rows'
 languages; the language column of a text that is scored is not looked at. A language in which the labels
 cannot be told from the words gets no threshold below 1, so nothing there is flagged.
 
-The driver holds the network and, per language, a count for each bucket that has an embedding.
+The driver holds the network, per language a count for each bucket that has an embedding, and bits of
+the labelled ids' hashes: by these, texts become words where they are read, and no text is shuffled.
 Learning and scoring go over every whole text: of a very long one block by block, keeping the
 greatest answers. Null and empty texts have the score of a text without words. Equal texts
 have equal scores. Of an id with several labels the greatest counts; null ids and labels are not
@@ -49,10 +50,12 @@ _CLASSES = byte_classes(bytes(c for c in range(128) if not chr(c).isalnum()))
 OUTSIDE, RARE = 0, 1
 # Words that are embedded together while training.
 BLOCK_WORDS = 1 << 18
-# Texts that are scored together.
-TEXT_ROWS = 1024
+# Texts that are scored, or become words, together.
+TEXT_ROWS = 256
 # Outputs are counted in steps of this part.
 BINS = 1000
+# Bits that say which hashes of ids have labels, 8 MB.
+ID_BITS = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -254,18 +257,20 @@ def _calibrate(
 def _answers(network: Network, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Greatest answers of all filters for texts that begin at ``starts``, none of them empty.
 
-    What a filter says of a word at a place is looked up, as embeddings times filters.
+    What a filter says of a word at a place is looked up, as embeddings of the words at hand times filters.
     """
+    known, code = np.unique(np.append(rows, OUTSIDE), return_inverse=True)  # OUTSIDE is the least
+    embeddings, rows = network.embeddings[known], code[:-1]
     owner_end = np.append(starts[1:], len(rows))
     longest = max(len(w) for w in network.filters)
     padded = np.append(rows, np.zeros(longest, dtype=rows.dtype))
     left = np.repeat(owner_end, owner_end - starts) - np.arange(len(rows))  # words to the end of the text
     out = []
     for weights, bias in zip(network.filters, network.biases):
-        answers = (network.embeddings @ weights[0]).astype(np.float32)[rows]
+        answers = (embeddings @ weights[0]).astype(np.float32)[rows]
         for j in range(1, len(weights)):
             behind = np.where(left > j, padded[j : j + len(rows)], OUTSIDE)
-            answers += (network.embeddings @ weights[j]).astype(np.float32)[behind]
+            answers += (embeddings @ weights[j]).astype(np.float32)[behind]
         out.append(np.maximum.reduceat(answers, starts, axis=0) + bias.astype(np.float32))
     return np.concatenate(out, axis=1)
 
@@ -301,28 +306,58 @@ def _scores(texts: pa.Array, network: Network) -> np.ndarray:
 # --- the operator -------------------------------------------------------------------------
 
 
+def _id_bits(labels: DataFrame, docs: DataFrame) -> np.ndarray:
+    """Bits set at the hashes of all labelled ids, as 64-bit words; all of them if equal ids may hash apart."""
+    kinds = {frame.schema["_id"].dataType.simpleString() for frame in (labels, docs)}
+    if len(kinds) > 1 or not kinds <= {"tinyint", "smallint", "int", "bigint", "string"}:
+        return np.full(ID_BITS // 64, -1, dtype=np.int64)
+    found = labels.select(_id_hash().alias("h")).groupBy(F.expr("shiftright(h, 6)").alias("word"))
+    found = found.agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).toArrow()
+    words = np.zeros(ID_BITS // 64, dtype=np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return words
+
+
+def _id_hash() -> Column:
+    return F.pmod(F.xxhash64("_id"), F.lit(ID_BITS))
+
+
 def training_rows(
     docs: DataFrame, labels: DataFrame, settings: Settings, id_column: str, text_column: str, lang_column: str
 ) -> DataFrame:
     """All labelled rows, as word buckets: ``_label``, ``_lang``, ``_hash`` of the id, ``_words``, and whether
-    they are ``_held`` back for calibration."""
-    known = labels.where("_id is not null and _label is not null").groupBy("_id")
-    known = known.agg((F.max("_label") > 0).cast("int").alias("_label"))
+    they are ``_held`` back for calibration.
 
-    @F.arrow_udf("binary")
-    def buckets(texts: pa.Array) -> pa.Array:
+    Texts become words where they are read, and only those whose id may have a label: of all others
+    the join gets null words and drops them.
+    """
+    labels = labels.where("_id is not null and _label is not null")
+    known = labels.groupBy("_id").agg((F.max("_label") > 0).cast("int").alias("_label"))
+    rows = docs.select(
+        F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.col(lang_column).alias("_lang")
+    )
+    bits = _id_bits(labels, rows)
+
+    def words_of(texts: pa.Array) -> list[bytes]:
         found: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
         for words in word_blocks(texts, _CLASSES):
             of_word = word_buckets(words.dictionary).astype(np.uint32)[words.code]
             starts = np.flatnonzero(np.diff(words.row, prepend=-1))
             for row, part in zip(words.row[starts].tolist(), np.split(of_word, starts[1:])):
                 found[row].append(part)
-        return pa.array([np.concatenate(parts).tobytes() if parts else b"" for parts in found], pa.binary())
+        return [np.concatenate(parts).tobytes() if parts else b"" for parts in found]
 
-    rows = docs.select(
-        F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), F.col(lang_column).alias("_lang")
-    )
-    rows = rows.join(known, "_id").select("_id", "_label", "_lang", buckets("_text").alias("_words"))
+    @F.arrow_udf("binary")
+    def buckets(texts: pa.Array, hashes: pa.Array) -> pa.Array:
+        at = hashes.to_numpy(zero_copy_only=False)
+        maybe = np.flatnonzero(bits[at >> 6] >> (at & 63) & 1)
+        found: list[bytes | None] = [None] * len(texts)
+        for some in np.split(maybe, range(TEXT_ROWS, len(maybe), TEXT_ROWS)):
+            for row, words in zip(some.tolist(), words_of(texts.take(pa.array(some)))):
+                found[row] = words
+        return pa.array(found, pa.binary())
+
+    rows = rows.select("_id", "_lang", buckets("_text", _id_hash()).alias("_words")).join(known, "_id")
     # Of copies of a row one counts; their languages may differ.
     rows = rows.groupBy("_id", "_words").agg(F.max("_label").alias("_label"), F.min("_lang").alias("_lang"))
     rows = rows.withColumn("_hash", F.xxhash64(F.lit(settings.seed), "_id"))
@@ -394,11 +429,13 @@ def _train_round(dealt: DataFrame, network: Network, settings: Settings) -> Netw
 
     def work(group: pa.Table) -> pa.Table:
         own, before = deepcopy(sent.value), sent.value
-        texts, hashes = _words_of(group), group.column("_hash").to_pylist()
-        order = sorted(range(len(texts)), key=lambda k: (hashes[k], texts[k].tobytes()))
+        texts, hashes = group.column("_words").to_pylist(), group.column("_hash").to_pylist()
+        order = sorted(range(len(texts)), key=lambda k: (hashes[k], texts[k]))
+        placed = [_rows(own, np.frombuffer(texts[k], dtype=np.uint32)).astype(np.int32) for k in order]
+        del texts
         labels = group.column("_label").to_numpy().astype(np.float64)[order]
-        steps = max(-(-settings.steps // settings.rounds), -(-len(texts) // settings.batch))
-        train([_rows(own, texts[k]) for k in order], labels, own, replace(settings, steps=steps))
+        steps = max(-(-settings.steps // settings.rounds), -(-len(placed) // settings.batch))
+        train(placed, labels, own, replace(settings, steps=steps))
         moved = own.embeddings - before.embeddings
         rows = np.flatnonzero(moved.any(axis=1))
         dense = _dense(own) - _dense(before)
@@ -411,6 +448,7 @@ def _train_round(dealt: DataFrame, network: Network, settings: Settings) -> Netw
     schema = ", ".join(["row long", *(f"{name} double" for name in names)])
     found = dealt.groupBy("_group").applyInArrow(work, schema).groupBy("row").agg(*[F.avg(c).alias(c) for c in names])
     found = materialize(found, "moved")
+    sent.destroy()  # its files lie with the driver and with every executor
     moved = found.toArrow()
     discard(found)
     rows, values = moved.column("row").to_numpy(), np.stack([moved.column(c).to_numpy() for c in names], axis=1)
@@ -456,6 +494,7 @@ def _held_back(held: DataFrame, network: Network) -> list[np.ndarray]:
 
     found = held.select("_words", "_label").mapInArrow(answer, "bin long, spoken long, label int")
     found = found.groupBy("bin", "label", "spoken").count().sort("bin", "label", "spoken").toArrow()
+    sent.destroy()
     logits, labels, spoken, rows = (column.to_numpy() for column in found.columns)
     return [logits / BINS, labels.astype(np.float64), spoken, rows.astype(np.float64)]
 

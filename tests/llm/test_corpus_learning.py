@@ -299,3 +299,82 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK_WORDS", 1 << 18)
     for (a, i), (b, j) in zip(small, toxicity._pool(laid, starts, network)):
         assert np.allclose(a, b)
+
+
+def test_toxicity_joins_words_and_not_texts(spark, capsys):
+    """Texts stay where they are read: no exchange has them, whatever the size of the labels."""
+    rows = toxic_rows(6, 60)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[0] < 20], "_id long, _label int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = toxicity.training_rows(docs, labels, SMALL, "doc_id", "text", "lang")
+        found.explain("formatted")
+        inputs = [part.split("\n")[1] for part in capsys.readouterr().out.split("\n\n") if ") Exchange" in part.split("\n")[0]]
+        assert len(inputs) == 2 and not [i for i in inputs if "text" in i] and any("_words" in i for i in inputs)
+        assert found.count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize(
+    ("docs_id", "labels_id"), [("long", "long"), ("int", "long"), ("string", "string"), ("string", "long"), ("double", "double"), ("decimal(9,0)", "int")]
+)
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_toxicity_joins_every_label(spark, monkeypatch, docs_id, labels_id, bits):
+    """Ids of any kinds, copies, null ids and null texts, with bits that are all set or few."""
+    monkeypatch.setattr(toxicity, "ID_BITS", bits)
+    monkeypatch.setattr(toxicity, "TEXT_ROWS", 7)
+    texts = [(n, None if n == 4 else "" if n == 5 else f"word{n % 1000} one two", "en") for n in range(-40, 160)]
+    texts += [(7, "word7 one two", "de"), (7, "other", "en"), (None, "word one", "en")]
+    marks = [(n, n % 2) for n in range(-30, 60)] + [(7, 0), (8, 1), (9, None), (500, 1), (None, 1)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string").withColumn("doc_id", F.col("doc_id").cast(docs_id))
+    labels = spark.createDataFrame(marks, "_id long, _label int").withColumn("_id", F.col("_id").cast(labels_id))
+    got = toxicity.training_rows(docs, labels, SMALL, "doc_id", "text", "lang").collect()
+    known = {n: max(m for i, m in marks if i == n and m is not None) for n, _ in marks if n is not None}
+
+    def words(text: str | None) -> bytes:
+        return toxicity.word_buckets(pa.array((text or "").encode().split(), pa.large_binary())).astype(np.uint32).tobytes()
+
+    langs = defaultdict(list)
+    for n, text, lang in texts:
+        if n in known:
+            langs[n, words(text)].append(lang)
+    wanted = [(w, known[n], min(found)) for (n, w), found in langs.items()]
+    assert same([(bytes(r["_words"]), r["_label"], r["_lang"]) for r in got], wanted)
+
+
+def test_toxicity_leaves_no_broadcast_network(spark, monkeypatch):
+    """What a round sends goes when the round ends."""
+    from pyspark.core.broadcast import Broadcast
+
+    rows = toxic_rows(7, 300)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    sent, gone = [], []
+
+    def keep(value, found):
+        if isinstance(value, toxicity.Network):
+            sent.append(found)
+        return found
+
+    send, destroy = type(spark.sparkContext).broadcast, Broadcast.destroy
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: keep(value, send(self, value)))
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: gone.append(self) or destroy(self, *a))
+    toxicity.learn_toxicity(docs, labels, toxicity.Settings(steps=20, least_language=20))
+    assert len(sent) == 5 and all(any(b is g for g in gone) for b in sent)
+
+
+def test_toxicity_looks_up_only_words_at_hand():
+    """Answers do not depend on what else the network knows, and the words at hand give them."""
+    network = toxicity.new_network(np.arange(0, 5_000, 5), SMALL)
+    rows, starts = np.array([3, 1, 900, 3, 7, 7, 1]), np.array([0, 3, 4])
+    got = toxicity._answers(network, rows, starts)
+    for text, hidden in zip(np.split(rows, starts[1:]), got):
+        padded = np.append(text, [0, 0])
+        wanted = [
+            (sum(network.embeddings[padded[j : j + len(text)]] @ w[j] for j in range(len(w))) + b).max(axis=0)
+            for w, b in zip(network.filters, network.biases)
+        ]
+        assert np.allclose(hidden, np.concatenate(wanted), atol=1e-5)
