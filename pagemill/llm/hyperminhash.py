@@ -2,16 +2,20 @@
 
 A text is the set of its 5-word shingles. In its sketch a shingle's hash picks a register,
 and of the least remaining hash in it the register keeps the number of leading zeros and
-the 10 bits behind the first one, 16 bits in place of 64. Bands of 5 neighbouring registers
-of 256 are the keys by which texts meet; an empty register takes the value of the next
-filled one for that. Of a finer sketch of 512 registers a text keeps four bits each, 0 for empty.
+the 10 bits behind the first one, 16 bits in place of 64. Bands of 5 registers
+are the keys by which texts meet. For that an empty register of the 256 takes the value of
+a filled one that it looks for in an order of its own, so that the registers of a band agree
+one by one with the similarity of the texts however few shingles these have: short texts that have only
+a line in common hardly meet. 84 more registers look for a value the same way, and fill
+another 17 bands. Of a finer sketch of 512 registers a text keeps four bits each, 0 for empty.
 A pair that meets is estimated from those, with the share that agrees by chance taken off,
 and what may reach the threshold is confirmed on the full sets.
 
-At a similarity of exactly 0.75 two large texts meet in none of the 51 bands with a
-probability of 1e-6, above that with less. An estimate is let pass down to five standard
-deviations below the threshold; for sets of fewer shingles than registers they are small,
-as hardly two shingles share one.
+At a similarity of exactly 0.75 two texts meet in none of the 68 bands with a
+probability of 1e-6 at most (1.4e-6 for sets of three and four shingles), above that with less. Sets so small that one more shingle is too many
+have no bands, as none but equal sets reach the threshold with them. An estimate is let pass down
+to five standard deviations below the threshold; for sets of fewer shingles than registers they
+are small, as hardly two shingles share one.
 
 Texts of equal sets are one node, named by their smallest id. Nodes first meet
 the smallest node of their buckets. What is linked is one component and is
@@ -52,14 +56,14 @@ SHINGLE = 5
 REGISTERS = 256
 MANTISSA_BITS = 10
 BAND = 5
-BANDS = REGISTERS // BAND
+BANDS = 68
 EMPTY = np.uint16(0xFFFF)
 # Registers that pairs are estimated from, and the values of a filled one: four bits each.
 FINE_REGISTERS = 512
 VALUES = 15
-_ZERO_HALVES = np.array([(v & 15 == 0) + (v >> 4 == 0) for v in range(256)], dtype=np.uint8)
-# Members of a bucket that are compared in one block.
+# Members of a bucket that are compared in one block, and pairs of them that are estimated at once.
 BLOCK = 2048
+PAIRS = 8192
 # Partners of a node that leave a block in the first round, and how fast that grows.
 PARTNERS, GROWTH = 64, 16
 
@@ -77,6 +81,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _search_order() -> tuple[np.ndarray, np.ndarray]:
+    """Per register of the bands all registers of a sketch, in the order in which it takes
+    a value from them, itself first; and, turned round, the place of each."""
+    own = np.arange(REGISTERS, dtype=np.uint64)
+    draws = _mix(_mix(np.arange(1, BANDS * BAND + 1, dtype=np.uint64))[:, None] + own * _FACTORS[3])
+    draws[own, own] = 0
+    order = np.argsort(draws, axis=1, kind="stable")
+    return order, np.ascontiguousarray(np.argsort(order, axis=1).T.astype(np.uint8))
+
+
+_ORDER, _PLACES = _search_order()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted hashes of the distinct shingles; a text of fewer words is one shingle."""
     words = (text or "").encode().translate(_LOWER).split()
@@ -113,43 +130,62 @@ def fine_codes(hashes: np.ndarray) -> np.ndarray:
 
 
 def _filled(registers: np.ndarray) -> np.ndarray:
-    """Rows of registers with the empty ones filled from the next filled one on the right,
-    around the end, and how far that is."""
-    width = registers.shape[1]
-    twice = np.concatenate([registers, registers], axis=1)
-    places = np.where(twice != EMPTY, np.arange(2 * width), 4 * width)
-    nearest = np.minimum.accumulate(places[:, ::-1], axis=1)[:, ::-1][:, :width]
-    value = np.take_along_axis(twice, np.minimum(nearest, 2 * width - 1), axis=1).astype(np.uint64)
-    return value << np.uint64(16) | (nearest - np.arange(width)).astype(np.uint64)
+    """Rows of the registers of all bands: the first value that each finds, and where it stands."""
+    every = np.arange(BANDS * BAND)
+    found = np.broadcast_to(_ORDER[:, 0], (len(registers), BANDS * BAND)).copy()
+    for k in range(len(registers)):
+        filled = np.flatnonzero(registers[k] != EMPTY)
+        if 0 < len(filled) < REGISTERS:
+            found[k] = _ORDER[every, _PLACES[filled].min(axis=0)]
+    value = np.take_along_axis(registers, found, axis=1).astype(np.uint64)
+    return value << np.uint64(16) | found.astype(np.uint64)
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """A 64-bit key per row and band."""
-    filled = _filled(registers)[:, : BANDS * BAND].reshape(len(registers), BANDS, BAND)
+    filled = _filled(registers).reshape(len(registers), BANDS, BAND)
     total = np.broadcast_to(_mix(np.arange(1, BANDS + 1, dtype=np.uint64)), filled.shape[:2]).copy()
     for k in range(BAND):
         total = _mix(total * _FACTORS[k] + filled[:, :, k])
     return total.view(np.int64)
 
 
+def _may_fit(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of these sizes can reach the threshold."""
+    return np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b)
+
+
+def _filled_halves(codes: np.ndarray) -> np.ndarray:
+    """How many halves of bytes are not zero, by row."""
+    x = np.ascontiguousarray(codes).view(np.uint64)
+    x = x | x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    x &= np.uint64(0x1111111111111111)
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
 def may_reach(
-    a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: float
+    a: np.ndarray,
+    b: np.ndarray,
+    size_a: np.ndarray,
+    size_b: np.ndarray,
+    threshold: float,
+    filled: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Estimated similarities of rows of fine codes, and whether it may be at least the
-    threshold: the estimate less than five deviations below, the sizes not too far apart."""
-    neither = _ZERO_HALVES[a | b].sum(axis=1, dtype=np.int64)
-    used = np.maximum(FINE_REGISTERS - neither, 1)
-    agree = _ZERO_HALVES[a ^ b].sum(axis=1, dtype=np.int64) - neither
-    filled_a = FINE_REGISTERS - _ZERO_HALVES[a].sum(axis=1, dtype=np.int64)
-    filled_b = FINE_REGISTERS - _ZERO_HALVES[b].sum(axis=1, dtype=np.int64)
+    threshold: the estimate less than five deviations below, the sizes not too far apart.
+    ``filled`` are the rows' filled registers, if they are known."""
+    filled_a, filled_b = filled or (_filled_halves(a), _filled_halves(b))
+    either = _filled_halves(a | b)
+    used = np.maximum(either, 1)
+    agree = either - _filled_halves(a ^ b)
     chance = 1 / VALUES
     estimate = (agree - chance * (filled_a + filled_b - used)) / (used * (1 - chance))
     # At the threshold: registers drawn of the union without repetition, and chance.
     union = (size_a + size_b) / (1 + threshold)
     variance = threshold * np.maximum(1 / used - 1 / np.maximum(union, 1), 0) + chance / used
     floor = threshold - 5 * np.sqrt((1 - threshold) * variance)
-    near = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b)
-    return estimate, near & (estimate >= floor)
+    return estimate, _may_fit(size_a, size_b, threshold) & (estimate >= floor)
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -176,7 +212,9 @@ def sketch_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
                 d2.append(_mix(hashes ^ _FACTORS[0]).sum(dtype=np.uint64))
                 registers.append(sketch(hashes))
                 codes.append(fine_codes(hashes).tobytes())
-            keys = band_keys(np.array(registers, dtype=np.uint16).reshape(-1, REGISTERS)).ravel()
+            # A thousand rows at a time, as eight bytes are needed for each register of the bands.
+            parts = [np.array(registers[k : k + 1000], dtype=np.uint16) for k in range(0, len(n), 1000)]
+            keys = np.concatenate([np.zeros(0, dtype=np.int64), *(band_keys(part).ravel() for part in parts)])
             bounds = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -241,9 +279,24 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return tested
 
 
+def _meet_before(a: np.ndarray, b: np.ndarray, keys: np.ndarray, bounds: np.ndarray, key: int) -> np.ndarray:
+    """Whether the nodes of pairs of places have a bucket less than ``key`` in common."""
+
+    def lesser(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        many = bounds[nodes + 1] - bounds[nodes]
+        pair = np.repeat(np.arange(len(nodes)), many)
+        found = keys[np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(bounds[nodes], many)]
+        return pair[found < key], found[found < key]
+
+    (pair_a, key_a), (pair_b, key_b) = lesser(a), lesser(b)
+    both = np.isin(pair_b * (key + 1) + key_b, pair_a * (key + 1) + key_a)
+    return np.bincount(pair_b[both], minlength=len(a)) > 0
+
+
 def _block_pairs(
     component: np.ndarray,
     codes: np.ndarray,
+    filled: np.ndarray,
     sizes: np.ndarray,
     keys: np.ndarray,
     bounds: np.ndarray,
@@ -251,45 +304,42 @@ def _block_pairs(
     threshold: float,
     partners: int,
     spans: list[tuple[int, int]],
-) -> Iterator[tuple[int, int, bool]]:
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Best partners of the nodes of one bucket, or of two of its blocks.
 
     ``spans`` are the two blocks as ranges, or one range for pairs within a block. Node i has
     the bucket ``keys`` between bounds i and i + 1; a pair belongs to its least common bucket, so that it is
     found in that alone. Yields pairs of places and whether the first has more partners than those given.
     """
-    (a0, a1), (b0, b1) = spans[0], spans[-1]
-    within = len(spans) == 1
-    values, counts = np.unique(component[[*range(a0, a1), *range(b0, b1)]], return_counts=True)
+    every = np.concatenate([np.arange(*span) for span in spans])
+    values, counts = np.unique(component[every], return_counts=True)
     largest = values[np.argmax(counts)]
 
-    def best(i: int, lo: int, hi: int):
-        other = np.arange(lo, hi)
-        other = other[component[lo:hi] != component[i]]
-        if not len(other):
+    def best(nodes: np.ndarray, lo: int, hi: int):
+        near = _may_fit(sizes[nodes, None], sizes[lo:hi], threshold)
+        i, j = np.nonzero(near & (component[nodes, None] != component[lo:hi]))
+        if not len(i):
             return
-        estimate, good = may_reach(codes[other], codes[i][None, :], sizes[other], sizes[i], threshold)
-        other, estimate = other[good], estimate[good]
-        lesser = keys[bounds[i] : bounds[i + 1]]
-        lesser = lesser[lesser < key]
-        if len(lesser) and len(other):
-            many = bounds[other + 1] - bounds[other]
-            first = np.cumsum(many) - many
-            places = np.arange(int(many.sum())) - np.repeat(first, many) + np.repeat(bounds[other], many)
-            apart = np.add.reduceat(np.isin(keys[places], lesser), first) == 0
-            other, estimate = other[apart], estimate[apart]
-        order = np.argsort(-estimate, kind="stable")
-        for j in other[order[:partners]]:
-            yield i, int(j), len(order) > partners
-
-    for i in range(a0, a1):
+        i, j = nodes[i], j + lo
+        counted = filled[i], filled[j]
+        estimate, good = may_reach(codes[i], codes[j], sizes[i], sizes[j], threshold, counted)
+        i, j, estimate = i[good], j[good], estimate[good]
+        apart = ~_meet_before(i, j, keys, bounds, key)
+        i, j, estimate = i[apart], j[apart], estimate[apart]
+        order = np.lexsort((-estimate, i))
+        i, j = i[order], j[order]
+        _, first, many = np.unique(i, return_index=True, return_counts=True)
+        place = np.arange(len(i)) - np.repeat(first, many)
+        given = place < partners
+        yield i[given], j[given], np.repeat(many > partners, many)[given]
+
+    for (start, stop), (lo, hi) in dict.fromkeys([(spans[0], spans[-1]), (spans[-1], spans[0])]):
+        nodes = np.arange(start, stop)
         # Pairs with the largest component are found from their other node.
-        if component[i] != largest:
-            yield from best(i, b0, b1)
-    if not within:
-        for i in range(b0, b1):
-            if component[i] != largest:
-                yield from best(i, a0, a1)
+        nodes = nodes[component[start:stop] != largest]
+        step = max(1, PAIRS // (hi - lo))
+        for k in range(0, len(nodes), step):
+            yield from best(nodes[k : k + step], lo, hi)
 
 
 def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame:
@@ -314,14 +364,17 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
         component = table.column("component").to_numpy()
         if component.dtype == object:  # structs come as dicts, which numpy cannot sort
             component = np.array([str(x) for x in component.tolist()])
+        component = np.unique(component, return_inverse=True)[1]
         codes = _rows(table.column("codes").combine_chunks())
+        filled = _filled_halves(codes)
         sizes = table.column("n_shingles").to_numpy()
         lists = table.column("keys").combine_chunks()
-        keys, bounds = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        names, keys = np.unique(lists.flatten().to_numpy(), return_inverse=True)
         block = table.column("block").to_numpy()
         group = np.stack([table.column(c).to_numpy() for c in ("key", "low", "high")])
         cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-        left, right, more = [], [], []
+        left, right, more = ([np.zeros(0, dtype=kind)] for kind in (np.int64, np.int64, np.bool_))
         for start, stop in zip([0, *cuts], [*cuts, table.num_rows]):
             # Rows are sorted by block within the piece of work.
             middle = start + int(np.searchsorted(block[start:stop], block[start], side="right"))
@@ -331,15 +384,15 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
                 continue
             else:
                 spans = [(start, middle), (middle, stop)]
+            key = int(np.searchsorted(names, group[0, start]))
             for i, j, rest in _block_pairs(
-                component, codes, sizes, keys, bounds, group[0, start], threshold, partners, spans
+                component, codes, filled, sizes, keys, bounds, key, threshold, partners, spans
             ):
                 left.append(i)
                 right.append(j)
                 more.append(rest)
-        left, right = pa.array(left, pa.int64()), pa.array(right, pa.int64())
-        key = table.column("key").take(left)
-        return pa.table({"a": ids.take(left), "b": ids.take(right), "key": key, "more": pa.array(more, pa.bool_())})
+        left, right, more = (pa.array(np.concatenate(x)) for x in (left, right, more))
+        return pa.table({"a": ids.take(left), "b": ids.take(right), "key": table.column("key").take(left), "more": more})
 
     def compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A piece of work may reach over batches: its rows wait until its last has come.
@@ -392,7 +445,8 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     nodes = filled.join(classes, ["node", "n_shingles", "d1", "d2"], "left_semi")
     nodes = materialize(nodes.dropDuplicates(["node"]).drop("d1", "d2"), "nodes")
 
-    bands = nodes.select(F.explode_outer("keys").alias("key"), "node")
+    joinable = nodes.where(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1))
+    bands = joinable.select(F.explode_outer("keys").alias("key"), "node")
     compact = nodes.select("node", "n_shingles", "codes")
     shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least"), F.max("node").alias("most"))
     shared = shared.where("least <> most")

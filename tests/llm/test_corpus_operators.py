@@ -207,6 +207,75 @@ def test_estimates_follow_the_similarity():
         assert abs(estimate[0] - common) < 0.12
 
 
+def _sketched(sets):
+    return np.array([hyperminhash.sketch(np.sort(x)) for x in sets], dtype=np.uint16)
+
+
+def test_short_texts_with_a_common_line_hardly_meet():
+    """A tenth of their shingles is common: no bucket holds more than a few of them."""
+    line = sentence(80, 9)
+    texts = [f"{line} {sentence(6_000 + k, 45)}" for k in range(400)]
+    keys = hyperminhash.band_keys(_sketched(map(hyperminhash.shingles, texts)))
+    assert np.unique(keys, return_counts=True)[1].max() < 20
+
+
+@pytest.mark.parametrize("union", [4, 8, 16, 40, 120, 400, 4_000])
+def test_sets_at_the_threshold_meet_whatever_their_size(union):
+    draw = np.random.default_rng(union)
+    first, second = [], []
+    for _ in range(1_000 if union < 4_000 else 100):
+        hashes = draw.integers(0, 2**64, union, dtype=np.uint64)
+        common, rest = hashes[: union * 3 // 4], hashes[union * 3 // 4 :]
+        cut = len(rest) // 2
+        first.append(np.concatenate([common, rest[:cut]]))
+        second.append(np.concatenate([common, rest[cut:]]))
+    a, b = (hyperminhash.band_keys(_sketched(x)) for x in (first, second))
+    assert (a == b).any(axis=1).all()
+
+
+def test_filled_halves_are_counted():
+    codes = np.random.default_rng(4).integers(0, 256, (50, 256)).astype(np.uint8)
+    codes[codes % 3 == 0] &= 15
+    codes[codes % 5 == 0] &= 240
+    wanted = ((codes & 15) > 0).sum(axis=1) + ((codes >> 4) > 0).sum(axis=1)
+    assert (hyperminhash._filled_halves(codes) == wanted).all()
+
+
+@pytest.mark.parametrize("pairs", [hyperminhash.PAIRS, 7])
+def test_best_partners_of_a_bucket(monkeypatch, pairs):
+    """Against pairs one by one: of two components, apart in no lesser bucket, the best first."""
+    monkeypatch.setattr(hyperminhash, "PAIRS", pairs)
+    draw = np.random.default_rng(5)
+    hashes = draw.integers(0, 2**64, 60, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([hashes[draw.permutation(60)[:55]], draw.integers(0, 2**64, k % 9, dtype=np.uint64)])) for k in range(30)]
+    codes = np.array([hyperminhash.fine_codes(x) for x in sets])
+    sizes, component = np.array([len(x) for x in sets]), draw.integers(0, 6, 30)
+    lists = [np.sort(np.append(draw.permutation(9)[:2], 5)) for _ in sets]
+    keys, bounds = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    largest = np.argmax(np.bincount(component))
+    for spans in ([(0, 30)], [(0, 13), (13, 30)]):
+        wanted = set()
+        for i in range(30):
+            others = range(30) if len(spans) == 1 else range(13, 30) if i < 13 else range(13)
+            found = []
+            for j in others:
+                estimate, good = hyperminhash.may_reach(codes[[i]], codes[[j]], sizes[[i]], sizes[[j]], 0.75)
+                before = {*lists[i][lists[i] < 5]} & {*lists[j][lists[j] < 5]}
+                if component[i] not in (component[j], largest) and good[0] and not before:
+                    found.append((-estimate[0], j))
+            wanted |= {(i, j, len(found) > 4) for _, j in sorted(found)[:4]}
+        args = component, codes, hyperminhash._filled_halves(codes), sizes, keys, bounds, 5, 0.75, 4, spans
+        got = [row for found in hyperminhash._block_pairs(*args) for row in zip(*(x.tolist() for x in found))]
+        assert len(got) == len(wanted) > 20 and set(got) == wanted
+
+
+def test_texts_of_one_or_two_shingles_are_linked_to_equal_sets_only(spark):
+    rows = [(k, f"a b c d e w{k}") for k in range(60)] + [(100, "A b c d e  w7"), (101, "a b c d e"), (102, "a b c d e")]
+    rows += [(103, "k l m n o p q"), (104, "k l m n o p q r")]
+    got = hyperminhash.link_components(table(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_components(rows)
+
+
 def test_connected(spark):
     edges = [(9, 8), (8, 7), (7, 6), (6, 5), (3, 1), (3, 2), (5, 5), (20, 10), (10, 20), (9, 8)]
     got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
