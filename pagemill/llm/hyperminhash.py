@@ -279,37 +279,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return tested
 
 
-def _meet_before(a: np.ndarray, b: np.ndarray, keys: np.ndarray, bounds: np.ndarray, key: int) -> np.ndarray:
-    """Whether the nodes of pairs of places have a bucket less than ``key`` in common."""
-
-    def lesser(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        many = bounds[nodes + 1] - bounds[nodes]
-        pair = np.repeat(np.arange(len(nodes)), many)
-        found = keys[np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(bounds[nodes], many)]
-        return pair[found < key], found[found < key]
-
-    (pair_a, key_a), (pair_b, key_b) = lesser(a), lesser(b)
-    both = np.isin(pair_b * (key + 1) + key_b, pair_a * (key + 1) + key_a)
-    return np.bincount(pair_b[both], minlength=len(a)) > 0
-
-
 def _block_pairs(
     component: np.ndarray,
     codes: np.ndarray,
     filled: np.ndarray,
     sizes: np.ndarray,
-    keys: np.ndarray,
-    bounds: np.ndarray,
-    key: int,
+    tops: np.ndarray,
+    top: int,
     threshold: float,
     partners: int,
     spans: list[tuple[int, int]],
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Best partners of the nodes of one bucket, or of two of its blocks.
 
-    ``spans`` are the two blocks as ranges, or one range for pairs within a block. Node i has
-    the bucket ``keys`` between bounds i and i + 1; a pair belongs to its least common bucket, so that it is
-    found in that alone. Yields pairs of places and whether the first has more partners than those given.
+    ``spans`` are the two blocks as ranges, or one range for pairs within a block. ``tops`` has the
+    upper halves of the keys of all bands of a node, ``top`` that of this bucket; a pair belongs to its least
+    common bucket, so that it is found in that alone. Yields pairs of places and whether the first has
+    more partners than those given.
     """
     every = np.concatenate([np.arange(*span) for span in spans])
     values, counts = np.unique(component[every], return_counts=True)
@@ -321,11 +307,12 @@ def _block_pairs(
         if not len(i):
             return
         i, j = nodes[i], j + lo
+        own = tops[i]
+        apart = ~((own == tops[j]) & (own < top)).any(axis=1)
+        i, j = i[apart], j[apart]
         counted = filled[i], filled[j]
         estimate, good = may_reach(codes[i], codes[j], sizes[i], sizes[j], threshold, counted)
         i, j, estimate = i[good], j[good], estimate[good]
-        apart = ~_meet_before(i, j, keys, bounds, key)
-        i, j, estimate = i[apart], j[apart], estimate[apart]
         order = np.lexsort((-estimate, i))
         i, j = i[order], j[order]
         _, first, many = np.unique(i, return_index=True, return_counts=True)
@@ -345,9 +332,9 @@ def _block_pairs(
 def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame:
     """Best partners across components in buckets that hold several.
 
-    ``alive`` has key, members, node, component, codes, n_shingles and the ``keys`` of all
-    buckets of the node. A bucket of
-    more than ``BLOCK`` members is dealt to blocks, and each pair of blocks is one
+    ``alive`` has key, members, node, component, codes, n_shingles and ``tops``, the upper halves
+    of the node's keys by band. A pair that belongs to a bucket which is not alive any more has left
+    it before. A bucket of more than ``BLOCK`` members is dealt to blocks, and each pair of blocks is one
     piece of work.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -368,9 +355,7 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
         codes = _rows(table.column("codes").combine_chunks())
         filled = _filled_halves(codes)
         sizes = table.column("n_shingles").to_numpy()
-        lists = table.column("keys").combine_chunks()
-        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        names, keys = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        tops = table.column("tops").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         block = table.column("block").to_numpy()
         group = np.stack([table.column(c).to_numpy() for c in ("key", "low", "high")])
         cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
@@ -384,10 +369,8 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
                 continue
             else:
                 spans = [(start, middle), (middle, stop)]
-            key = int(np.searchsorted(names, group[0, start]))
-            for i, j, rest in _block_pairs(
-                component, codes, filled, sizes, keys, bounds, key, threshold, partners, spans
-            ):
+            top = group[0, start] >> 32
+            for i, j, rest in _block_pairs(component, codes, filled, sizes, tops, top, threshold, partners, spans):
                 left.append(i)
                 right.append(j)
                 more.append(rest)
@@ -414,7 +397,7 @@ def _cross_pairs(alive: DataFrame, threshold: float, partners: int) -> DataFrame
             yield from compare(pa.Table.from_batches(waiting)).to_batches()
 
     work = ["key", "low", "high"]
-    columns = [*work, "block", "node", "component", "codes", "n_shingles", "keys"]
+    columns = [*work, "block", "node", "component", "codes", "n_shingles", "tops"]
     sorted_rows = dealt.select(*columns).repartition(*work).sortWithinPartitions(*work, "block", "node")
     found = sorted_rows.mapInArrow(compare_all, schema)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key", "more")
@@ -465,8 +448,10 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
         several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         alive = named.join(several.where("low <> high").select("key"), "key")
         met = F.collect_list(F.struct("key", "members")).alias("met")
-        alive = alive.groupBy("node").agg(F.first("component").alias("component"), met).join(compact, "node")
-        alive = alive.withColumn("keys", F.transform("met", lambda m: m["key"])).select("*", F.inline("met"))
+        alive = alive.groupBy("node").agg(F.first("component").alias("component"), met)
+        alive = alive.join(nodes.select("node", "n_shingles", "codes", "keys"), "node")
+        tops = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int"))
+        alive = alive.withColumn("tops", tops).drop("keys").select("*", F.inline("met"))
         found = _cross_pairs(alive, threshold, partners).groupBy("a", "b")
         # Each node gives its partners, so a pair may come from both, with the bucket if it hides more.
         found = found.agg(F.collect_set(F.when(F.col("more"), F.col("key"))).alias("keys"))

@@ -250,8 +250,7 @@ def test_best_partners_of_a_bucket(monkeypatch, pairs):
     sets = [np.sort(np.concatenate([hashes[draw.permutation(60)[:55]], draw.integers(0, 2**64, k % 9, dtype=np.uint64)])) for k in range(30)]
     codes = np.array([hyperminhash.fine_codes(x) for x in sets])
     sizes, component = np.array([len(x) for x in sets]), draw.integers(0, 6, 30)
-    lists = [np.sort(np.append(draw.permutation(9)[:2], 5)) for _ in sets]
-    keys, bounds = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    tops = np.stack([draw.integers(0, 4, 30), np.full(30, 5), draw.integers(6, 9, 30), draw.integers(3, 6, 30)], axis=1)
     largest = np.argmax(np.bincount(component))
     for spans in ([(0, 30)], [(0, 13), (13, 30)]):
         wanted = set()
@@ -260,11 +259,11 @@ def test_best_partners_of_a_bucket(monkeypatch, pairs):
             found = []
             for j in others:
                 estimate, good = hyperminhash.may_reach(codes[[i]], codes[[j]], sizes[[i]], sizes[[j]], 0.75)
-                before = {*lists[i][lists[i] < 5]} & {*lists[j][lists[j] < 5]}
+                before = any(x == y < 5 for x, y in zip(tops[i], tops[j]))
                 if component[i] not in (component[j], largest) and good[0] and not before:
                     found.append((-estimate[0], j))
             wanted |= {(i, j, len(found) > 4) for _, j in sorted(found)[:4]}
-        args = component, codes, hyperminhash._filled_halves(codes), sizes, keys, bounds, 5, 0.75, 4, spans
+        args = component, codes, hyperminhash._filled_halves(codes), sizes, tops, 5, 0.75, 4, spans
         got = [row for found in hyperminhash._block_pairs(*args) for row in zip(*(x.tolist() for x in found))]
         assert len(got) == len(wanted) > 20 and set(got) == wanted
 
